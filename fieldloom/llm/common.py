@@ -4,12 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may not have it, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parents[2]
+    packed = Path(tempfile.mkdtemp(prefix="fieldloom-")) / "fieldloom.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted((top / "fieldloom").rglob("*.py")):
+            out.write(file, file.relative_to(top))
+    spark.sparkContext.addPyFile(str(packed))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import mixture, simhash, urlfilter
+from fieldloom.llm import decontaminate, mixture, pii, quality, simhash, tokens, urlfilter
 from fieldloom.llm.common import table
 
 
@@ -16,8 +16,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_quality": quality.query,
+    "op4_decontaminate": decontaminate.query,
+    "op6_pii": pii.query,
     "op7_url_filter": urlfilter.query,
     "op8_mixture": mixture.query,
+    "op9_tokens": tokens.query,
 }
 
 ORACLES = {
