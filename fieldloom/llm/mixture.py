@@ -3,7 +3,8 @@
 Each source s has a mean repetition rate: target share times the size of the mixture, over the rows it has.  A
 row's uniform number comes from a seeded digest of its doc_id; the row's copy count is the inverse of the Poisson
 distribution at that number.  The copies are dealt globally by a second digest.  Only one row for each source is
-gathered for the rates; it is joined back, and broadcast only where Spark finds it small.
+gathered for the rates.  It is broadcast where all sources together have at most BROADCAST_VALUES numbers, so that the
+texts are shuffled once only; beyond that it is joined by source, and Spark splits the hot ones.
 
 Defined results: a null source is a source of its own; a null doc_id counts as the text 'null'; repeated rows get
 equal counts; a null or empty text is replicated like any other; no rows give no rows; further columns are carried
@@ -15,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import cut
+
 DIGITS = 13
+BROADCAST_VALUES = 2_000_000
 
 
 def unit(seed: str, *cols: Column) -> Column:
@@ -53,7 +57,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """docs with each row repeated by its Poisson count: plus copies, copy (from 1) and shuffle_key, dealt by that key."""
     own = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
     base = docs.select(*own)
-    rate = rates(base, weights, temperature, total).select(F.col("source").alias("rate_source"), "cdf")
+    rate = cut(rates(base, weights, temperature, total).select(F.col("source").alias("rate_source"), "cdf"), "mixture-rates")
+    if (rate.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_VALUES:
+        rate = F.broadcast(rate)
     drawn = base.withColumn("rate_u", unit(seed, F.col("doc_id"))).join(rate, F.col("source").eqNullSafe(F.col("rate_source")))
     counted = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c < F.col("rate_u")))).where("copies > 0").drop("cdf", "rate_u", "rate_source")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
