@@ -31,7 +31,7 @@ from fieldloom.llm.common import cut
 MAGIC, VERSION, HEADER = b"FLTK", 1, struct.Struct("<4sHHQIIII")
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 2048, 256
-CACHED_CHUNKS = 400_000
+CACHED_PIECES = 1_000_000  # about 200 MB a worker
 
 
 class FrequencyTable:
@@ -120,37 +120,82 @@ def decode_frame(payload: bytes, table: FrequencyTable, first_point: int = 0, n_
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, from a bounded memory of white-space separated pieces.
 
-    Only for tokenizers whose ids never depend on what stands beyond white space; a text with a rare separator or what may
-    be a special token goes to the tokenizer whole.
+    Only for tokenizers whose ids never depend on what stands beyond white space; a text with a rare separator or a
+    special token goes to the tokenizer whole.
     """
 
-    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+    RARE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+
+    TAIL = ".,;:!?*#%$&)"  # signs that stand as one run after a word
+    LINE = 256  # words encoded in one call
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.odd = (*self.RARE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.known: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(size, bool)
+        if suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        """Words of letters alone: each ends with its only token that carries the end-of-word mark."""
+        lines = [words[i : i + self.LINE] for i in range(0, len(words), self.LINE)]
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            data = np.array(coded.ids, self.kind)
+            end = (np.flatnonzero(self.ends_word[data]) + 1) * self.kind.itemsize
+            if len(end) != len(line):
+                self.known.update((w, self.ids(w)) for w in line)
+                continue
+            data, end = data.tobytes(), end.tolist()
+            self.known.update((w, data[a:b]) for w, a, b in zip(line, [0, *end], end, strict=False))
+
+    def learn(self, pieces: list[str]) -> None:
+        """New pieces.  A Latin word and the signs after it are looked up apart, for the tokenizer splits them anyway."""
+        known, parts, words, rest = self.known, [], set(), []
+        if not self.ends_word.any():
+            rest = pieces
+        else:
+            for piece in pieces:
+                low = piece.lower()
+                core = low.rstrip(self.TAIL)
+                if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                    parts.append((piece, core, low[len(core) :]))
+                    if core not in known:
+                        words.add(core)
+                else:
+                    rest.append(piece)
+        self.learn_words(list(words))
+        for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[piece] = np.array(coded.ids, self.kind).tobytes()
+        for piece, core, tail in parts:
+            if tail and tail not in known:
+                known[tail] = self.ids(tail)
+            known[piece] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.kind).tobytes()
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > CACHED_PIECES:
             self.known.clear()
+        split = [None if any(c in text for c in self.odd) else text.split() for text in texts]
+        found = [None if s is None else list(map(self.known.get, s)) for s in split]
+        new = {p for s, f in zip(split, found, strict=True) if s and None in f for p, got in zip(s, f, strict=True) if got is None}
+        if new:
+            self.learn(list(new))
         out = []
-        for text in texts:
-            if any(c in text for c in self.ODD):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + end)
-                continue
-            pieces = text.split()
-            parts = list(map(self.known.get, pieces))
-            if None in parts:
-                new = list({p for p, got in zip(pieces, parts, strict=True) if got is None})
-                coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                self.known.update(zip(new, (np.array(c.ids, self.kind).tobytes() for c in coded), strict=True))
-                parts = map(self.known.__getitem__, pieces)
-            out.append(b"".join(parts) + end)
+        for text, s, f in zip(texts, split, found, strict=True):
+            if s is None:
+                out.append(self.ids(text) + end)
+            else:
+                out.append(b"".join(map(self.known.__getitem__, s) if None in f else f) + end)
         return out
 
 
