@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, mixture, pii, quality, simhash, tokens, urlfilter
+from fieldloom.llm import decontaminate, mixture, pii, quality, search, simhash, tokens, urlfilter
 from fieldloom.llm.common import table
 
 
@@ -16,6 +16,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_search": search.query,
     "op3_quality": quality.query,
     "op4_decontaminate": decontaminate.query,
     "op6_pii": pii.query,
@@ -25,6 +26,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_search": search.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
     "op8_mixture": mixture.ORACLE,
 }
