@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, mixture, pii, quality, search, simhash, tokens, urlfilter
+from fieldloom.llm import decontaminate, mixture, pii, quality, search, simhash, substrings, tokens, urlfilter
 from fieldloom.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_search": search.query,
     "op3_quality": quality.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_substrings": substrings.query,
     "op6_pii": pii.query,
     "op7_url_filter": urlfilter.query,
     "op8_mixture": mixture.query,
