@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_OF_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which may not have it, once for each application."""
+    """Send this package to the executors, which may not have it, once for each application.
+
+    Texts can be long, so where Arrow's batches still have their default of 10,000 rows they get a tenth of it.
+    """
+    if spark.conf.get(ROWS_OF_BATCH) == "10000":
+        spark.conf.set(ROWS_OF_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

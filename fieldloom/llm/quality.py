@@ -171,8 +171,8 @@ class Field:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         out = []
-        for part in range(0, len(texts), 512):
-            some = self.evidence(*line_features(texts[part : part + 512]))
+        for part in range(0, len(texts), 128):
+            some = self.evidence(*line_features(texts[part : part + 128]))
             out.append(1 / (1 + np.exp(-np.clip(self.slope * some + self.offset, -30, 30))))
         return np.concatenate(out) if out else np.empty(0)
 
@@ -223,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                own = batch.slice(part, 256)
+            for part in range(0, batch.num_rows, 128):
+                own = batch.slice(part, 128)
                 x, counts, length = line_features([(t.as_py() or "").encode() for t in own.column(1)])
                 ends = np.cumsum(counts)
                 rows = [[x[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], [length[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]]
