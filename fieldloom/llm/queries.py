@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, mixture, pii, quality, search, simhash, substrings, tokens, urlfilter
+from fieldloom.llm import decontaminate, mixture, passages, pii, quality, search, simhash, substrings, tokens, urlfilter
 from fieldloom.llm.common import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op7_url_filter": urlfilter.query,
     "op8_mixture": mixture.query,
     "op9_tokens": tokens.query,
+    "op10_passages": passages.query,
 }
 
 ORACLES = {
