@@ -30,8 +30,9 @@ from fieldloom.llm.common import cut
 
 MAGIC, VERSION, HEADER = b"FLTK", 1, struct.Struct("<4sHHQIIII")
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
-FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 2048, 256
-CACHED_PIECES = 1_000_000  # about 200 MB a worker
+FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 4096, 128
+BATCH_CHARS = 3_000_000  # of texts encoded together
+CACHED_PIECES = 1_000_000  # about 180 MB a worker
 
 
 class FrequencyTable:
@@ -118,16 +119,16 @@ def decode_frame(payload: bytes, table: FrequencyTable, first_point: int = 0, n_
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, from a bounded memory of white-space separated pieces.
+    """Ids of whole texts, as the tokenizer gives them, by way of their distinct words.
 
-    Only for tokenizers whose ids never depend on what stands beyond white space; a text with a rare separator or a
-    special token goes to the tokenizer whole.
+    Only for tokenizers that fold case and whose ids never depend on what stands beyond white space.  Words are runs between
+    ASCII white space, without the signs that follow their last letter or digit, which the tokenizer splits off too; those of a batch are told apart by their bytes in NumPy, so only distinct ones are looked up, in a bounded memory of
+    words that outlives the batch, and only new ones are encoded.  A text with a special token goes to the tokenizer whole.
     """
 
-    RARE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
-
-    TAIL = ".,;:!?*#%$&)"  # signs that stand as one run after a word
+    TAIL = b".,;:!?*#%$&)"  # signs that stand as one run after a word
     LINE = 256  # words encoded in one call
+    WIDE = 24  # bytes of a word that are compared at once; longer words are looked up one by one
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,67 +137,110 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.odd = (*self.RARE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self.known: dict[str, bytes] = {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends_word = np.zeros(size, bool)
         if suffix:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        blank, self.plain = b"\t\n\x0b\x0c\r ", np.zeros(256, bool)
+        self.plain[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+        self.kinds = np.array([0 if c in blank else 1 if c in self.TAIL else 2 for c in range(256)], np.uint8)
+        self.cased = bool(self.ids("A") != self.ids("a"))
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn_words(self, words: list[str]) -> None:
-        """Words of letters alone: each ends with its only token that carries the end-of-word mark."""
-        lines = [words[i : i + self.LINE] for i in range(0, len(words), self.LINE)]
-        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+    def learn(self, words: list[bytes]) -> None:
+        """New words.  Latin letters alone end with their only token that carries the end-of-word mark, so that many are encoded
+        in one line; anything else is encoded by itself."""
+        latin, rest = [], []
+        if self.ends_word.any():
+            for word in words:
+                if word.isalpha() or (not word.isascii() and (text := word.decode()).isalpha() and max(text) < "\u0250"):
+                    latin.append(word)
+                else:
+                    rest.append(word)
+        else:
+            rest = words
+        lines = [latin[i : i + self.LINE] for i in range(0, len(latin), self.LINE)]
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
             data = np.array(coded.ids, self.kind)
             end = (np.flatnonzero(self.ends_word[data]) + 1) * self.kind.itemsize
-            if len(end) != len(line):
-                self.known.update((w, self.ids(w)) for w in line)
-                continue
-            data, end = data.tobytes(), end.tolist()
-            self.known.update((w, data[a:b]) for w, a, b in zip(line, [0, *end], end, strict=False))
-
-    def learn(self, pieces: list[str]) -> None:
-        """New pieces.  A Latin word and the signs after it are looked up apart, for the tokenizer splits them anyway."""
-        known, parts, words, rest = self.known, [], set(), []
-        if not self.ends_word.any():
-            rest = pieces
-        else:
-            for piece in pieces:
-                low = piece.lower()
-                core = low.rstrip(self.TAIL)
-                if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                    parts.append((piece, core, low[len(core) :]))
-                    if core not in known:
-                        words.add(core)
-                else:
-                    rest.append(piece)
-        self.learn_words(list(words))
-        for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[piece] = np.array(coded.ids, self.kind).tobytes()
-        for piece, core, tail in parts:
-            if tail and tail not in known:
-                known[tail] = self.ids(tail)
-            known[piece] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.kind).tobytes()
+            if len(end) == len(line):
+                data, end = data.tobytes(), end.tolist()
+                self.known.update(zip(line, [data[a:b] for a, b in zip([0, *end], end, strict=False)], strict=True))
+            else:
+                rest += line
+        for word, coded in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.known[word] = np.array(coded.ids, self.kind).tobytes()
+
+    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of data, which begins and ends with white space."""
+        low = np.frombuffer(data, np.uint8, len(data) - self.WIDE - 8)
+        kind = self.kinds[low]
+        edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1  # starts of runs of a kind, but for the first run
+        of = kind[edge]
+        after = np.r_[of[1:], 0].astype(np.uint8)
+        tail = edge[(of == 1) & (after == 0) & self.plain[low[edge - 1]]]
+        start = edge[(of > 0) & (kind[edge - 1] == 0)]
+        end = edge[of == 0]
+        return np.sort(np.concatenate([start, tail])), np.sort(np.concatenate([end, tail]))
+
+    def distinct(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one place of each distinct word, number of each word among them); data has WIDE bytes of padding."""
+        size = end - start
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        parts = [eight[start + k] & self.masks[np.clip(size - k, 0, 8)] for k in range(0, self.WIDE, 8)]
+        h = size.astype(np.uint64)
+        for part in parts:
+            h = (h ^ part ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]] if len(order) else np.zeros(0, bool)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        place = order[new]
+        alone = size > self.WIDE  # a longer word may only start like another
+        same = ~alone
+        for x in (size, *parts):
+            same &= x[place][number] == x
+        odd = np.flatnonzero(~same)
+        number[odd] = len(place) + np.arange(len(odd))
+        return np.r_[place, odd], number
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with an end id after each, ids of each text)."""
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        split = [None if any(c in text for c in self.odd) else text.split() for text in texts]
-        found = [None if s is None else list(map(self.known.get, s)) for s in split]
-        new = {p for s, f in zip(split, found, strict=True) if s and None in f for p, got in zip(s, f, strict=True) if got is None}
+        whole = {i: self.ids(t) for i, t in enumerate(texts) if any(c in t for c in self.special)}
+        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        data = b"\n".join([b"", *raw, bytes(self.WIDE + 8)])
+        if not self.cased:
+            data = data.lower()
+        start, end = self.bounds(data)
+        place, number = self.distinct(data, start, end)
+        words = [data[a:b] for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)]
+        new = [w for w in words if w not in self.known]
         if new:
-            self.learn(list(new))
-        out = []
-        for text, s, f in zip(texts, split, found, strict=True):
-            if s is None:
-                out.append(self.ids(text) + end)
-            else:
-                out.append(b"".join(map(self.known.__getitem__, s) if None in f else f) + end)
-        return out
+            self.learn(new)
+        coded = [*map(self.known.__getitem__, words), np.array([end_id], self.kind).tobytes(), *whole.values()]
+        table = np.frombuffer(b"".join(coded), self.kind)
+        count = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        offset = np.cumsum(count) - count
+        stops = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]) + 1)  # words before the end of each text
+        after = np.full(len(texts), len(words))
+        number = np.insert(number, stops, after)
+        if whole:
+            at = stops[list(whole)] + list(whole)  # just before those texts' end ids
+            number = np.insert(number, at, len(words) + 1 + np.arange(len(whole)))
+        last = np.flatnonzero(number == len(words))
+        own = count[number]
+        total = np.cumsum(own)
+        ids = table[np.repeat(offset[number] - (total - own), own) + np.arange(int(total[-1]) if len(total) else 0)]
+        return ids, np.diff(np.r_[0, total[last]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -209,37 +253,48 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(shard, ordinal, doc_id, ids binary), ordered by doc_id over the shards."""
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int) -> DataFrame:
+    """(shard, ordinal, doc_id, ids binary, counts binary), ordered by doc_id over the shards; a row of ordinal -1 has counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
+        done, counts = 0, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = encoder(tokenizer_path).encode([t.as_py() or "" for t in batch.column(1)], end_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(done, done + len(ids)), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ordinal", "ids"])
-                done += len(ids)
+            coder = encoder(tokenizer_path)
+            at = 0
+            while at < whole.num_rows:
+                texts, held = [], 0
+                while at + len(texts) < whole.num_rows and held < BATCH_CHARS:
+                    texts.append(whole.column(1)[at + len(texts)].as_py() or "")
+                    held += len(texts[-1])
+                ids, sizes = coder.encode(texts, end_id)
+                found = np.bincount(ids, minlength=vocabulary)
+                counts = found if counts is None else counts + found
+                ends = (np.r_[0, np.cumsum(sizes)] * coder.kind.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(texts)), pa.array(range(done, done + len(texts)), pa.int64()), packed, pa.nulls(len(texts), pa.binary())], ["doc_id", "ordinal", "ids", "counts"])
+                at += len(texts)
+                done += len(texts)
+        if counts is not None:  # how often the task has seen each id
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()])], ["doc_id", "ordinal", "ids", "counts"])
 
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     dealt = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    coded = dealt.mapInArrow(run, "doc_id long, ordinal long, ids binary")
-    return coded.select(F.spark_partition_id().alias("shard"), "ordinal", "doc_id", "ids")
+    coded = dealt.mapInArrow(run, "doc_id long, ordinal long, ids binary, counts binary")
+    return coded.select(F.spark_partition_id().alias("shard"), "ordinal", "doc_id", "ids", "counts")
 
 
-def count_ids(ids: DataFrame, kind: str, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+def count_ids(ids: DataFrame, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur in all documents and how often; at most one row for each id of the vocabulary comes here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.column(0).slice(part, 512)
-                total += np.bincount(np.frombuffer(b"".join(x.as_py() for x in rows), kind), minlength=vocabulary)
+            for row in batch.column(0):
+                total += np.frombuffer(row.as_py(), "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    rows = ids.where("ordinal < 0").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
@@ -269,7 +324,7 @@ def encode_frames(ids: DataFrame, table: FrequencyTable, kind: str) -> DataFrame
             yield out()
 
     schema = "shard int, first long, doc_ids array<long>, lengths array<long>, n_tokens long, payload binary"
-    return ids.select("shard", "ordinal", "doc_id", "ids").mapInArrow(run, schema)
+    return ids.where("ordinal >= 0").select("shard", "ordinal", "doc_id", "ids").mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[DataFrame, FrequencyTable]:
@@ -278,8 +333,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[DataFr
 
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    ids = cut(tokenize(docs, tokenizer_path, end_id), "token-ids")
-    table = FrequencyTable(*count_ids(ids, kind, vocabulary), vocabulary)
+    ids = cut(tokenize(docs, tokenizer_path, end_id, vocabulary), "token-ids")
+    table = FrequencyTable(*count_ids(ids, vocabulary), vocabulary)
     return cut(encode_frames(ids, table, kind), "token-frames"), table
 
 
