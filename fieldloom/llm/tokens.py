@@ -31,8 +31,8 @@ from fieldloom.llm.common import cut
 MAGIC, VERSION, HEADER = b"FLTK", 1, struct.Struct("<4sHHQIIII")
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 4096, 128
-BATCH_CHARS = 3_000_000  # of texts encoded together
-CACHED_PIECES = 1_000_000  # about 180 MB a worker
+BATCH_CHARS = 1_500_000  # of texts encoded together
+CACHED_PIECES = 1_000_000  # about 60 MB a worker
 
 
 class FrequencyTable:
@@ -138,7 +138,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends_word = np.zeros(size, bool)
         if suffix:
@@ -152,29 +152,64 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """New words.  Latin letters alone end with their only token that carries the end-of-word mark, so that many are encoded
-        in one line; anything else is encoded by itself."""
+    def forget(self) -> None:
+        """Known words: sorted hashes, the bytes that they stand for, and where their ids lie in the pool."""
+        self.hashes, self.keys = np.empty(0, np.uint64), np.empty((0, 1 + self.WIDE // 8), np.uint64)
+        self.places, self.counts, self.pool = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, self.kind)
+
+    def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each word in them, ids of each word).  Latin letters alone end with their only token that carries the
+        end-of-word mark, so that many are encoded in one line; anything else is encoded by itself."""
         latin, rest = [], []
-        if self.ends_word.any():
-            for word in words:
-                if word.isalpha() or (not word.isascii() and (text := word.decode()).isalpha() and max(text) < "\u0250"):
-                    latin.append(word)
-                else:
-                    rest.append(word)
-        else:
-            rest = words
+        marked = bool(self.ends_word.any())
+        for n, word in enumerate(words):
+            if marked and (word.isalpha() or (not word.isascii() and (text := word.decode()).isalpha() and max(text) < "\u0250")):
+                latin.append(n)
+            else:
+                rest.append(n)
         lines = [latin[i : i + self.LINE] for i in range(0, len(latin), self.LINE)]
-        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+        ids, order, counts = [], [], []
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([b" ".join([words[n] for n in x]).decode() for x in lines], add_special_tokens=False), strict=True):
             data = np.array(coded.ids, self.kind)
-            end = (np.flatnonzero(self.ends_word[data]) + 1) * self.kind.itemsize
+            end = np.flatnonzero(self.ends_word[data]) + 1
             if len(end) == len(line):
-                data, end = data.tobytes(), end.tolist()
-                self.known.update(zip(line, [data[a:b] for a, b in zip([0, *end], end, strict=False)], strict=True))
+                ids.append(data)
+                order += line
+                counts.append(np.diff(end, prepend=0))
             else:
                 rest += line
-        for word, coded in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, self.kind).tobytes()
+        for n, coded in zip(rest, self.tokenizer.encode_batch_fast([words[n].decode() for n in rest], add_special_tokens=False), strict=True):
+            ids.append(np.array(coded.ids, self.kind))
+            order.append(n)
+            counts.append([len(coded.ids)])
+        count = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
+        place, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        place[order], size[order] = np.cumsum(count) - count, count
+        return np.concatenate(ids) if ids else np.empty(0, self.kind), place, size
+
+    def look_up(self, words: list[bytes], hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each word in them, ids of each word), learning what is new."""
+        if len(self.hashes) > CACHED_PIECES:
+            self.forget()
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(at, max(0, len(self.hashes) - 1))
+        taken = self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(words), bool)
+        short = keys[:, 0] <= self.WIDE
+        known = taken & short & ((self.keys[near] == keys).all(axis=1) if len(self.hashes) else False)
+        new = np.flatnonzero(~known)
+        place, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        place[known], count[known] = self.places[near[known]], self.counts[near[known]]
+        ids, own, size = self.code([words[i] for i in new.tolist()])
+        place[new], count[new] = own + len(self.pool), size
+        table = np.concatenate([self.pool, ids])
+        keep = new[short[new] & ~taken[new]]
+        keep = keep[np.argsort(hashes[keep])]
+        keep = keep[np.r_[True, np.diff(hashes[keep]) > 0]] if len(keep) else keep
+        if len(keep):
+            where = np.searchsorted(self.hashes, hashes[keep])
+            self.hashes, self.keys = np.insert(self.hashes, where, hashes[keep]), np.insert(self.keys, where, keys[keep], axis=0)
+            self.places, self.counts, self.pool = np.insert(self.places, where, place[keep]), np.insert(self.counts, where, count[keep].astype(np.int32)), table
+        return table, place, count
 
     def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words of data, which begins and ends with white space."""
@@ -188,8 +223,9 @@ class Encoder:
         end = edge[of == 0]
         return np.sort(np.concatenate([start, tail])), np.sort(np.concatenate([end, tail]))
 
-    def distinct(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(one place of each distinct word, number of each word among them); data has WIDE bytes of padding."""
+    def distinct(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(one place of each distinct word, number of each word among them, and the distinct words' hashes and bytes);
+        data has WIDE bytes of padding."""
         size = end - start
         eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
         parts = [eight[start + k] & self.masks[np.clip(size - k, 0, 8)] for k in range(0, self.WIDE, 8)]
@@ -209,27 +245,24 @@ class Encoder:
             same &= x[place][number] == x
         odd = np.flatnonzero(~same)
         number[odd] = len(place) + np.arange(len(odd))
-        return np.r_[place, odd], number
+        place = np.r_[place, odd]
+        return place, number, h[place], np.stack([size.astype(np.uint64), *parts], axis=1)[place]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, ids of each text)."""
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
         whole = {i: self.ids(t) for i, t in enumerate(texts) if any(c in t for c in self.special)}
         raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
         data = b"\n".join([b"", *raw, bytes(self.WIDE + 8)])
         if not self.cased:
             data = data.lower()
         start, end = self.bounds(data)
-        place, number = self.distinct(data, start, end)
+        place, number, hashes, keys = self.distinct(data, start, end)
         words = [data[a:b] for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)]
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        coded = [*map(self.known.__getitem__, words), np.array([end_id], self.kind).tobytes(), *whole.values()]
-        table = np.frombuffer(b"".join(coded), self.kind)
-        count = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
-        offset = np.cumsum(count) - count
+        table, offset, count = self.look_up(words, hashes, keys)
+        extra = [np.array([end_id], self.kind), *(np.frombuffer(x, self.kind) for x in whole.values())]
+        sizes = np.array([len(x) for x in extra])
+        offset, count = np.r_[offset, len(table) + np.cumsum(sizes) - sizes], np.r_[count, sizes]
+        table = np.concatenate([table, *extra])
         stops = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]) + 1)  # words before the end of each text
         after = np.full(len(texts), len(words))
         number = np.insert(number, stops, after)
