@@ -1,4 +1,889 @@
-"""The registered queries over numeric fields, and their SQL."""
+"""The registered queries over numeric fields, each next to its SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.functions import bits, metadata
+from fieldloom.operators import predict, sampling, selection, ssim, stats
+from fieldloom.operators.codecs import CODECS
+from fieldloom.operators.surrogates import szp, szx
+from fieldloom.operators.windows import prefix_sum, shifted
+from fieldloom.sources.fixtures import coords, fixture, with_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+STEP = 10.0  # the reconstruction that metrics compare with rounds to 1 / STEP
+D = "CAST(v AS DOUBLE)"
+Y = f"CAST(CAST(floor({D} * 10 + 0.5) / 10 AS FLOAT) AS DOUBLE)"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if it has any."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(c):
+    return (F.floor(c.cast("double") * STEP + 0.5) / STEP).cast("float")
+
+
+def pairs(field) -> DataFrame:
+    """(idx, x, y) of a field and its rounded self; one scan, as both come from the same cells."""
+    return field.cells.select("idx", F.col("v").cast("double").alias("x"), rounded(F.col("v")).cast("double").alias("y"))
+
+
+def pairs_sql(view: str, extra: str = "") -> str:
+    return f"pairs AS (SELECT idx{extra}, {D} AS x, {Y} AS y FROM {view})"
+
+
+# --- catalog, statistics, metrics -------------------------------------------------------------------------------------
+
+
+@query("""SELECT * FROM (
+  SELECT 'events' AS field_id, 'float' AS dtype, 1 AS ndim, CAST(count(*) AS VARCHAR) AS dims, count(*) AS num FROM events
+  UNION ALL SELECT 'orders', 'float', 1, CAST(count(*) AS VARCHAR), count(*) FROM orders
+  UNION ALL SELECT 'part', 'float', 1, CAST(count(*) AS VARCHAR), count(*) FROM part
+  UNION ALL SELECT 'emb2d', 'float', 2, count(*) || 'x' || max(len(embedding)), count(*) * max(len(embedding)) FROM embeddings)""")
+def field_catalog(spark, d):
+    rows = []
+    for name in ("events", "orders", "part", "emb2d"):
+        f = fixture(spark, d, name)
+        rows.append((name, f.dtype, len(f.dims), "x".join(map(str, f.dims)), f.n))
+    return spark.createDataFrame(rows, "field_id string, dtype string, ndim int, dims string, num long")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS field_id, CAST(min({c}) AS DOUBLE) AS min_v, CAST(max({c}) AS DOUBLE) AS max_v, CAST(max({c}) - min({c}) AS DOUBLE) AS value_range FROM (SELECT CAST({s} AS FLOAT) AS {c} FROM {n})" for n, c, s in (("events", "v", "value"), ("orders", "v", "o_totalprice"), ("part", "v", "p_retailprice"))))
+def value_range(spark, d):
+    out = None
+    for name in ("events", "orders", "part"):
+        row = stats.value_range(fixture(spark, d, name).cells).select(F.lit(name).alias("field_id"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(with_sql("walk") + " SELECT CAST(max(v) AS DOUBLE) AS get_range FROM walk")
+def get_range_max(spark, d):
+    return stats.get_range(fixture(spark, d, "walk").cells)
+
+
+@query(with_sql("events") + ", " + pairs_sql("f_events") + """ SELECT round(sqrt(avg((x-y)*(x-y))), 6) AS rmse, round(max(abs(x-y)), 6) AS linf,
+  round(10*log10((max(x)-min(x))*(max(x)-min(x))/avg((x-y)*(x-y))), 6) AS psnr, min(x) AS min_v, max(x) AS max_v FROM pairs""")
+def calc_stats(spark, d):
+    return stats.calc_stats(pairs(fixture(spark, d, "events")))
+
+
+@query(with_sql("events") + ", " + pairs_sql("f_events") + """ SELECT round(max(abs(x-y)), 6) AS max_abs_err, round(max(abs(x-y))/(max(x)-min(x)), 6) AS max_rel_err,
+  round(max(CASE WHEN x <> 0 THEN abs((x-y)/x) END), 6) AS max_pw_rel_err, round(20*log10(max(x)-min(x)) - 10*log10(avg((x-y)*(x-y))), 6) AS psnr,
+  round(sqrt(avg((x-y)*(x-y)))/(max(x)-min(x)), 6) AS nrmse, round(sqrt(sum((x-y)*(x-y))), 4) AS norm_err,
+  round(sqrt(sum((x-y)*(x-y)))/sqrt(sum(x*x)), 6) AS normed_norm_err, round(corr(x, y), 6) AS pearson FROM pairs""")
+def verify_stats(spark, d):
+    return stats.verify(pairs(fixture(spark, d, "events")))
+
+
+@query(with_sql("walk") + f" SELECT round(var_pop({D})/((max({D})-min({D}))*(max({D})-min({D}))), 6) AS normed_variance FROM walk")
+def normed_variance(spark, d):
+    return stats.normed_variance(fixture(spark, d, "walk").cells)
+
+
+@query(with_sql("events") + ", " + pairs_sql("f_events") + """ SELECT round(avg((x-y)*(x-y)), 6) AS mse, round(sqrt(avg((x-y)*(x-y))), 6) AS rmse,
+  round(-20*log10(sqrt(avg((x-y)*(x-y)))/(max(x)-min(x)) + 1e-16), 6) AS psnr FROM pairs""")
+def psnr_eps(spark, d):
+    return stats.psnr(pairs(fixture(spark, d, "events")))
+
+
+LAG1 = """m AS (SELECT avg(a) AS m, var_pop(a) AS var, count(*) AS n FROM e),
+  near AS (SELECT a, lead(a) OVER (ORDER BY idx) AS b FROM e)
+  SELECT round(CASE WHEN max(var) = 0 THEN {constant} ELSE sum((a-m)*(b-m))/(max(n)-1)/max(var) END, 6) AS autocorrelation FROM near, m WHERE b IS NOT NULL"""
+
+
+@query(with_sql("walk") + f", e AS (SELECT idx, {D} AS a FROM walk), " + LAG1.format(constant="0.0::DOUBLE"))
+def autocorr_data(spark, d):
+    return stats.lag1(fixture(spark, d, "walk").cells, "v", 0.0)
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + ", e AS (SELECT idx, x - y AS a FROM pairs), " + LAG1.format(constant="1.0::DOUBLE"))
+def autocorr_error(spark, d):
+    return stats.lag1(pairs(fixture(spark, d, "walk")).select("idx", (F.col("x") - F.col("y")).alias("e")), "e", 1.0)
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + """, e AS (SELECT idx // 100 AS block_id, idx, x - y AS a FROM pairs),
+  m AS (SELECT block_id, avg(a) AS m, var_pop(a) AS var, count(*) AS n FROM e GROUP BY ALL),
+  near AS (SELECT block_id, a, lead(a) OVER (PARTITION BY block_id ORDER BY idx) AS b FROM e)
+  SELECT block_id, round(CASE WHEN max(var) = 0 THEN 1.0::DOUBLE ELSE sum((a-m)*(b-m))/(max(n)-1)/max(var) END, 4) AS autocorrelation
+  FROM near JOIN m USING (block_id) WHERE b IS NOT NULL GROUP BY block_id""")
+def autocorr_error_block(spark, d):
+    return stats.lag1_blocks(pairs(fixture(spark, d, "walk")), 100)
+
+
+@query(with_sql("emb2d") + f" SELECT c0 // 8 AS b0, c1 // 8 AS b1, count(*) AS cells, round(avg({D}), 6) AS mean, round(var_pop({D}), 4) AS variance, round(max({D})-min({D}), 6) AS value_range FROM emb2d GROUP BY ALL")
+def block_profile(spark, d):
+    return stats.block_profile(fixture(spark, d, "emb2d").with_coords(), 8, 2)
+
+
+@query(with_sql("cube3d") + f" SELECT c0 // 5 AS b0, c1 // 5 AS b1, c2 // 5 AS b2, round(covar_pop({D}, {Y}), 4) AS covariance FROM cube3d GROUP BY ALL")
+def block_covariance(spark, d):
+    return stats.block_covariance(fixture(spark, d, "cube3d").with_coords().withColumn("w", rounded(F.col("v"))), 5, 3)
+
+
+@query(with_sql("walk") + f""", s AS (SELECT CASE WHEN n % 2048 = 0 THEN 2048 WHEN n % 1024 = 0 THEN 1024 WHEN n % 512 = 0 THEN 512 WHEN n % 256 = 0 THEN 256 WHEN n % 128 = 0 THEN 128 WHEN n % 64 = 0 THEN 64
+    WHEN n % 32 = 0 THEN 32 WHEN n % 16 = 0 THEN 16 WHEN n % 8 = 0 THEN 8 WHEN n % 4 = 0 THEN 4 WHEN n % 2 = 0 THEN 2 ELSE 1 END AS s, n FROM (SELECT count(*) AS n FROM walk)),
+  e AS (SELECT idx // (n // s) AS k, avg({D}) AS m, avg({D}*{D}) AS q FROM walk, s GROUP BY ALL)
+  SELECT count(*) AS strides, round(avg(m), 6) AS mean, round(sqrt(avg(q)), 6) AS rms FROM e""")
+def mean_rms_strides(spark, d):
+    f = fixture(spark, d, "walk")
+    return stats.mean_rms_strides(f.cells, f.n)
+
+
+@query(with_sql("part") + " SELECT idx // 10 AS block_id, min(v) = max(v) AS is_constant, CAST(min(v) AS DOUBLE) AS value FROM (SELECT idx, CAST(floor(CAST(v AS DOUBLE) / 50) AS FLOAT) AS v FROM f_part) GROUP BY ALL")
+def constant_blocks(spark, d):
+    cells = fixture(spark, d, "part").cells
+    return stats.constant_blocks(cells.withColumn("v", F.floor(F.col("v").cast("double") / 50).cast("float")), 10)
+
+
+@query(with_sql("walk") + f" SELECT round(var_pop({D}), 4) AS variance, round(sum({D}), 4) AS total FROM walk")
+def stride_variance(spark, d):
+    return stats.stride_variance(fixture(spark, d, "walk").cells)
+
+
+@query(with_sql("walk") + f" SELECT round(sqrt(avg(r*r)), 6) AS rmse FROM (SELECT {D} - 0.75*floor({D}/0.75+0.5) AS r FROM walk)")
+def rmse_at_step(spark, d):
+    return stats.rmse_at_step(fixture(spark, d, "walk").cells, 0.75)
+
+
+# --- windowed similarity ----------------------------------------------------------------------------------------------
+
+
+def ssim_sql(axes: list[tuple[str, str]], extra: str = "") -> str:
+    """axes: (window expression, condition that the window is whole)."""
+    keys = ", ".join(f"{e} AS w{i}" for i, (e, _) in enumerate(axes))
+    where = " AND ".join(c for _, c in axes)
+    return f""", m AS (SELECT {keys}, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cov, max(x) - min(x) AS r0 FROM pairs{extra} WHERE {where} GROUP BY ALL),
+  c AS (SELECT *, CASE WHEN r0 = 0 THEN 1.0 ELSE r0 END AS r FROM m), k AS (SELECT *, (0.01*r)*(0.01*r) AS c1, (0.03*r)*(0.03*r) AS c2 FROM c)
+  SELECT count(*) AS windows, round(avg((2*mx*my+c1)/(mx*mx+my*my+c1) * ((2*sqrt(vx)*sqrt(vy)+c2)/(vx+vy+c2)) * ((cov+c2/2)/(sqrt(vx)*sqrt(vy)+c2/2))), 6) AS ssim FROM k"""
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + ssim_sql([("idx // 8", "idx // 8 <= (SELECT (count(*) - 8) // 8 FROM walk)")]))
+def ssim_1d(spark, d):
+    f = fixture(spark, d, "walk")
+    return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims)
+
+
+@query(with_sql("emb2d") + ", " + pairs_sql("emb2d", ", c0, c1") + ssim_sql([("c0 // 8", "c0 // 8 <= (SELECT (max(c0) + 1 - 8) // 8 FROM emb2d)"), ("c1 // 8", "c1 // 8 <= (SELECT (max(c1) + 1 - 8) // 8 FROM emb2d)")]))
+def ssim_2d(spark, d):
+    f = fixture(spark, d, "emb2d")
+    return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims)
+
+
+@query(with_sql("cube3d") + ", " + pairs_sql("cube3d", ", c0, c1, c2") + ssim_sql([(f"c{i} // 8", f"c{i} // 8 <= (SELECT (d{i} - 8) // 8 FROM shape3)") for i in range(3)]))
+def ssim_3d(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims)
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + ", n AS (SELECT count(*) AS n FROM walk)" + ", ex AS (SELECT x, y, unnest(range(greatest(0, (idx - 8 + 3) // 3), least((n - 8) // 3, idx // 3) + 1)) AS w FROM pairs, n)" + ssim_sql([("w", "true")]).replace("FROM pairs", "FROM ex"))
+def ssim_overlap(spark, d):
+    f = fixture(spark, d, "walk")
+    return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims, 8, 3)
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + """, m AS (SELECT idx // 50 AS block_id, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cov FROM pairs GROUP BY ALL)
+  SELECT block_id, round((2*mx*my+0.01)*(2*cov+0.03)/((mx*mx+my*my+0.01)*(vx+vy+0.03)), 6) AS ssim FROM m""")
+def ssim_moments(spark, d):
+    m = pairs(fixture(spark, d, "walk")).groupBy(F.expr("idx div 50").alias("block_id")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cov"))
+    return m.select("block_id", F.round(ssim.compact(*(F.col(c) for c in ("mx", "my", "vx", "vy", "cov")), F.lit(0.01), F.lit(0.03)), 6).alias("ssim"))
+
+
+# --- order-dependent --------------------------------------------------------------------------------------------------
+
+
+@query(with_sql("part") + """, c AS (SELECT idx, CAST(floor(CAST(v AS DOUBLE)/25) AS BIGINT) AS value FROM f_part), l AS (SELECT *, CASE WHEN lag(value) OVER (ORDER BY idx) IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS new FROM c),
+  r AS (SELECT *, sum(new) OVER (ORDER BY idx) AS run FROM l) SELECT min(idx) AS start, min(value) AS value, count(*) AS length FROM r GROUP BY run""")
+def rle_runs(spark, d):
+    cells = fixture(spark, d, "part").cells
+    return predict.runs(cells.select("idx", F.floor(F.col("v").cast("double") / 25).cast("long").alias("value")), "value")
+
+
+@query(with_sql("walk") + """, s AS (SELECT idx // 256 AS idx, CAST(sum(CASE WHEN v < 0 THEN 5 ELSE 3 END) AS BIGINT) AS bytes FROM walk GROUP BY ALL)
+  SELECT idx AS chunk, bytes, CAST(sum(bytes) OVER (ORDER BY idx) AS BIGINT) - bytes AS "offset" FROM s""")
+def chunk_offsets(spark, d):
+    s = fixture(spark, d, "walk").cells.groupBy(F.expr("idx div 256").alias("idx")).agg(F.sum(F.when(F.col("v") < 0, 5).otherwise(3)).alias("bytes"))
+    return prefix_sum(s, "bytes", "upto").select(F.col("idx").alias("chunk"), "bytes", (F.col("upto") - F.col("bytes")).alias("offset"))
+
+
+@query("""WITH axis AS (SELECT * FROM (VALUES (0, 25, 8), (1, 20, 8), (2, 20, 6)) t(a, size, step)),
+  n AS (SELECT *, greatest(1, size // step + CASE WHEN size % step > step // 2 THEN 1 ELSE 0 END) AS n FROM axis),
+  t AS (SELECT a, i * step AS start, CASE WHEN i + 1 < n THEN step ELSE size - i * step END AS len FROM (SELECT *, unnest(range(n)) AS i FROM n))
+  SELECT x.start AS s0, x.len AS l0, y.start AS s1, y.len AS l1, z.start AS s2, z.len AS l2 FROM t x, t y, t z WHERE x.a = 0 AND y.a = 1 AND z.a = 2""")
+def chunk_volume(spark, d):
+    return spark.createDataFrame(sampling.chunk_volume((25, 20, 20), (8, 8, 6)), "s0 long, l0 long, s1 long, l1 long, s2 long, l2 long")
+
+
+# --- samples ----------------------------------------------------------------------------------------------------------
+
+
+@query(with_sql("walk") + ", n AS (SELECT count(*) // 32 AS whole FROM walk) SELECT (idx // 32) // 5 * 32 + idx % 32 AS idx, v, idx AS source_idx FROM walk, n WHERE idx // 32 < whole AND (idx // 32) % 5 = 0")
+def sample_1d(spark, d):
+    f = fixture(spark, d, "walk")
+    return sampling.sample_blocks(f.with_coords(), f.dims, 32, 5)[0]
+
+
+@query(with_sql("emb2d") + """, n AS (SELECT (max(c0) + 1) // 8 AS w0, (max(c1) + 1) // 8 AS w1 FROM emb2d)
+  SELECT CAST(((c0 // 8) // 3 * 8 + c0 % 8) AS BIGINT) * (((w1 + 2) // 3) * 8) + ((c1 // 8) // 3 * 8 + c1 % 8) AS idx, v, idx AS source_idx FROM emb2d, n
+  WHERE c0 // 8 < w0 AND c1 // 8 < w1 AND (c0 // 8) % 3 = 0 AND (c1 // 8) % 3 = 0""")
+def sample_2d(spark, d):
+    f = fixture(spark, d, "emb2d")
+    return sampling.sample_blocks(f.with_coords(), f.dims, 8, 3)[0]
+
+
+@query(with_sql("cube3d") + """, n AS (SELECT d0 // 4 AS w0, d1 // 4 AS w1, d2 // 4 AS w2 FROM shape3)
+  SELECT (CAST((c0 // 4) // 2 * 4 + c0 % 4 AS BIGINT) * (((w1 + 1) // 2) * 4) + ((c1 // 4) // 2 * 4 + c1 % 4)) * (((w2 + 1) // 2) * 4) + ((c2 // 4) // 2 * 4 + c2 % 4) AS idx, v, idx AS source_idx FROM cube3d, n
+  WHERE c0 // 4 < w0 AND c1 // 4 < w1 AND c2 // 4 < w2 AND (c0 // 4) % 2 = 0 AND (c1 // 4) % 2 = 0 AND (c2 // 4) % 2 = 0""")
+def sample_3d(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.sample_blocks(f.with_coords(), f.dims, 4, 2)[0]
+
+
+SZX_SAMPLE = "s AS (SELECT idx // 384 AS block_id, CAST(idx % 384 AS INTEGER) AS pos, v FROM {view}, (SELECT count(*) // 384 AS nb FROM {view}) WHERE idx // 384 < nb AND idx % 384 < 128)"
+
+
+@query(with_sql("walk") + ", " + SZX_SAMPLE.format(view="walk") + " SELECT * FROM s")
+def sample_szx(spark, d):
+    f = fixture(spark, d, "walk")
+    return sampling.sample_szx(f.cells, f.n, 3)[0]
+
+
+@query(with_sql("walk") + """, p AS (SELECT n, m, m // 4 AS blocks, greatest(1, CAST(floor((n // 4) / (m // 4) + 0.5) AS BIGINT)) * 4 AS step FROM (SELECT n, CAST(floor(n * 0.2) AS BIGINT) // 4 * 4 AS m FROM (SELECT count(*) AS n FROM walk))),
+  hit AS (SELECT idx // step * 4 + idx % step AS idx, v, idx AS source_idx FROM walk, p WHERE idx // step < blocks AND idx % step < 4 AND idx // step * step + 4 < n)
+  SELECT g.idx, coalesce(v, 0.0::FLOAT) AS v, source_idx FROM (SELECT unnest(range(m)) AS idx FROM p) g LEFT JOIN hit USING (idx)""")
+def sample_zfp_1d(spark, d):
+    f = fixture(spark, d, "walk")
+    return sampling.sample_zfp(f.with_coords(), f.dims)[0]
+
+
+def zfp_sample_sql(rank: int, sizes: list[str], view: str, extra: str = "") -> str:
+    """Starts along each axis by the rule, joined to the cells."""
+    ctes, joins, at = [], [], "0::BIGINT"
+    for i, size in enumerate(sizes):
+        ctes.append(f"k{i} AS (SELECT blocks, greatest(1, CAST(floor(pow(0.2, 1.0/{rank}) * blocks) AS BIGINT)) AS k FROM (SELECT ({size}) // 4 AS blocks))")
+        ctes.append(f"s{i} AS (SELECT i, k, CASE WHEN k > 1 THEN CAST(floor(i / (k - 1) * (blocks - 1) + 0.5) AS BIGINT) * 4 ELSE 0 END AS s FROM (SELECT *, unnest(range(k)) AS i FROM k{i}))")
+        joins.append(f"JOIN s{i} ON c{i} // 4 * 4 = s{i}.s")
+        at = f"({at} * (s{i}.k * 4) + s{i}.i * 4 + c{i} % 4)"
+    return with_sql(view) + ", " + ", ".join(ctes) + f" SELECT CAST({at} AS BIGINT) AS idx, v, idx AS source_idx FROM {view} " + " ".join(joins)
+
+
+@query(zfp_sample_sql(2, ["SELECT max(c0) + 1 FROM emb2d", "SELECT max(c1) + 1 FROM emb2d"], "emb2d"))
+def sample_zfp_2d(spark, d):
+    f = fixture(spark, d, "emb2d")
+    return sampling.sample_zfp(f.with_coords(), f.dims)[0]
+
+
+@query(zfp_sample_sql(3, ["SELECT d0 FROM shape3", "SELECT d1 FROM shape3", "SELECT d2 FROM shape3"], "cube3d"))
+def sample_zfp_3d(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.sample_zfp(f.with_coords(), f.dims)[0]
+
+
+SPERR_MEMBERS = """n AS (SELECT len(range(0, d0 - 8, 8)) AS n0, len(range(0, d1 - 8, 8)) AS n1, len(range(0, d2 - 8, 8)) AS n2 FROM shape3),
+  b AS (SELECT x AS b0, y AS b1, z AS b2, (x * n1 + y) * n2 + z AS block_id FROM n, unnest(range(n0)) a(x), unnest(range(n1)) bb(y), unnest(range(n2)) c(z)),
+  members AS (SELECT block_id, CAST(((c0 - b0 * 8) * 9 + (c1 - b1 * 8)) * 9 + (c2 - b2 * 8) AS INTEGER) AS pos, v FROM cube3d JOIN b ON c0 BETWEEN b0 * 8 AND b0 * 8 + 8 AND c1 BETWEEN b1 * 8 AND b1 * 8 + 8 AND c2 BETWEEN b2 * 8 AND b2 * 8 + 8)"""
+
+
+@query(with_sql("cube3d") + ", " + SPERR_MEMBERS + " SELECT block_id, pos, v FROM members WHERE block_id % 2 = 0")
+def sample_sperr_blocks(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.sample_sperr(f.with_coords(), f.dims, 8, 0.5)
+
+
+@query(with_sql("cube3d") + ", " + SPERR_MEMBERS + """ SELECT block_id, CAST(max(v) - min(v) AS DOUBLE) AS corner_range FROM members
+  WHERE (pos % 9) % 4 = 0 AND (pos // 9 % 9) % 4 = 0 AND (pos // 81) % 4 = 0 GROUP BY ALL HAVING max(v) - min(v) > 100""")
+def profile_filter(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.profile_blocks(sampling.sperr_members(f.with_coords(), f.dims, 8), 3, 8, 100.0, 4)
+
+
+@query(with_sql("cube3d") + ", " + SPERR_MEMBERS + """, var AS (SELECT block_id, var_pop(CAST(v AS DOUBLE)) AS var FROM members GROUP BY ALL)
+  SELECT block_id, pos, v FROM members WHERE block_id IN (SELECT block_id FROM var ORDER BY var DESC, block_id LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.5) AS BIGINT)) FROM b))""")
+def variance_top_blocks(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.sample_sperr(f.with_coords(), f.dims, 8, 0.5, var_first=True)
+
+
+@query(with_sql("cube3d") + " SELECT idx, v, c0, c1, c2 FROM cube3d WHERE c0 % 8 = 0 AND c1 % 8 = 0 AND c2 % 8 = 0")
+def anchor_grid(spark, d):
+    return sampling.anchor_grid(fixture(spark, d, "cube3d").with_coords(), 3, 8).select("idx", "v", "c0", "c1", "c2")
+
+
+@query(with_sql("emb2d") + """, h AS (SELECT idx, v, CASE WHEN c0 % 16 < 4 AND c1 % 16 < 4 THEN 0 WHEN c0 % 16 BETWEEN 8 AND 11 AND c1 % 16 BETWEEN 8 AND 11 THEN 1 END AS half FROM emb2d)
+  SELECT idx, v, half FROM h WHERE half IS NOT NULL""")
+def tile_pairs(spark, d):
+    return sampling.tile_pairs(fixture(spark, d, "emb2d").with_coords(), 2, 16, 4).select("idx", "v", "half")
+
+
+@query(with_sql("cube3d") + " SELECT idx, CASE WHEN v BETWEEN -50 AND 50 THEN v ELSE 0.0::FLOAT END AS v FROM cube3d")
+def prefilter_range(spark, d):
+    return sampling.prefilter(fixture(spark, d, "cube3d").cells, -50.0, 50.0, 0.0)
+
+
+@query(with_sql("cube3d") + f" SELECT idx, CASE WHEN abs({D}) <= 25 THEN 0.0::FLOAT ELSE v END AS v FROM cube3d")
+def trim_to_zero(spark, d):
+    return sampling.trim_to_zero(fixture(spark, d, "cube3d").cells, 25.0)
+
+
+@query(with_sql("cube3d") + " SELECT (CAST(c2 AS BIGINT) * d0 + c0) * d1 + c1 AS idx, v FROM cube3d, shape3")
+def transpose_axes(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return sampling.transpose(f.with_coords(), f.dims, (2, 0, 1))
+
+
+@query(with_sql("cube3d") + " SELECT (CAST(c0 - 2 AS BIGINT) * 4 + (c1 - 3)) * 6 + (c2 - 1) AS idx, v FROM cube3d WHERE c0 BETWEEN 2 AND 6 AND c1 BETWEEN 3 AND 6 AND c2 BETWEEN 1 AND 6")
+def gather_chunk(spark, d):
+    return sampling.gather_chunk(fixture(spark, d, "cube3d").with_coords(), (2, 5, 3, 4, 1, 6))
+
+
+@query(with_sql("cube3d") + " SELECT idx, v FROM cube3d WHERE c0 BETWEEN 2 AND 6 AND c1 BETWEEN 3 AND 6 AND c2 BETWEEN 1 AND 6")
+def scatter_chunk(spark, d):
+    f, tile = fixture(spark, d, "cube3d"), (2, 5, 3, 4, 1, 6)
+    return sampling.scatter_chunk(sampling.gather_chunk(f.with_coords(), tile), tile, f.dims)
+
+
+# --- quantization and codes -------------------------------------------------------------------------------------------
+
+QUANT = f"""p AS (SELECT idx, v, coalesce(lag(v) OVER (ORDER BY idx), 0.0::FLOAT) AS pred FROM walk),
+  s AS (SELECT *, {D} - CAST(pred AS DOUBLE) AS diff, CAST((trunc(abs({D} - CAST(pred AS DOUBLE)) / 4.0) + 1) AS BIGINT) // 2 AS steps FROM p),
+  r AS (SELECT *, CASE WHEN diff < 0 THEN -steps ELSE steps END AS q, CAST(CAST(pred AS DOUBLE) + 2 * (CASE WHEN diff < 0 THEN -steps ELSE steps END) * 4.0::DOUBLE AS FLOAT) AS recon0 FROM s),
+  quant AS (SELECT idx, v, pred, CASE WHEN steps < 32768 AND abs(CAST(recon0 AS DOUBLE) - {D}) <= 4.0 THEN CAST(q + 32768 AS INTEGER) ELSE 0 END AS code,
+    CASE WHEN steps < 32768 AND abs(CAST(recon0 AS DOUBLE) - {D}) <= 4.0 THEN recon0 ELSE v END AS recon FROM r)"""
+
+
+def _quantized(spark, d):
+    return predict.quantized_1d(fixture(spark, d, "walk").cells, 4.0)
+
+
+@query(with_sql("walk") + ", " + QUANT + " SELECT idx, code, recon FROM quant")
+def linear_quantize(spark, d):
+    return _quantized(spark, d).select("idx", "code", "recon")
+
+
+@query(with_sql("walk") + ", " + QUANT + " SELECT idx, recon AS v FROM quant")
+def dequantize(spark, d):
+    q = _quantized(spark, d)
+    return q.select("idx", F.when(F.col("code") == 0, F.col("v")).otherwise(predict.dequantize(F.col("pred"), F.col("code"), 4.0)).alias("v"))
+
+
+@query(with_sql("walk") + ", " + QUANT + " SELECT code, count(*) AS cnt FROM quant GROUP BY ALL")
+def quant_histogram(spark, d):
+    return predict.code_histogram(_quantized(spark, d))
+
+
+ENTROPY = """h AS (SELECT code, count(*) AS cnt FROM {codes} GROUP BY ALL), t AS (SELECT sum(cnt)::DOUBLE AS total FROM h), pr AS (SELECT code, cnt / total AS p, -log2(cnt / total) AS bit FROM h, t),
+  e AS (SELECT sum(CASE WHEN code = 0 THEN p * 32 WHEN bit >= 32 THEN 0 WHEN bit < 1 THEN p * CASE WHEN code = 32768 THEN 1 WHEN abs(code - 32768) = 1 THEN 2.5 ELSE 4 END ELSE p * bit END) AS bits,
+    coalesce(max(CASE WHEN code = 32768 THEN p END), 0) AS p0 FROM pr)"""
+
+
+@query(with_sql("walk") + ", " + QUANT + ", " + ENTROPY.format(codes="quant") + """, g AS (SELECT *, CASE WHEN p0 > 0.5 THEN p0 / bits WHEN p0 > 0 THEN -(p0 * log2(p0)) / bits ELSE 0 END AS s FROM e)
+  SELECT round(bits, 6) AS bits, round(32 / bits, 6) AS cr, round(32 / (bits / (1 / ((1 - p0) * s + (1 - s)))), 6) AS lossless_cr FROM g""")
+def entropy_bits(spark, d):
+    e = predict.after_lossless(predict.entropy(predict.code_histogram(_quantized(spark, d))))
+    return e.select(*[F.round(c, 6).alias(c) for c in ("bits", "cr", "lossless_cr")])
+
+
+@query(with_sql("walk") + ", " + QUANT + " SELECT code - 32768 AS bin, count(*) AS cnt FROM quant WHERE code <> 0 AND abs(code - 32768) <= 5 GROUP BY ALL")
+def near_zero_bins(spark, d):
+    return predict.near_zero_bins(_quantized(spark, d))
+
+
+@query(with_sql("walk") + ", " + QUANT + " SELECT code, count(*) AS cnt FROM quant GROUP BY ALL ORDER BY cnt DESC, code LIMIT 5")
+def topk_codes(spark, d):
+    return predict.top_codes(predict.code_histogram(_quantized(spark, d)))
+
+
+@query()
+def huffman_bits(spark, d):
+    return predict.huffman_bits(_quantized(spark, d))
+
+
+# --- predictors -------------------------------------------------------------------------------------------------------
+
+NEAR = ", ".join(f"CAST({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER (ORDER BY idx) AS DOUBLE) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in (-5, -3, -1, 1, 3, 5))
+
+
+@query(with_sql("walk") + f", n AS (SELECT idx, {NEAR} FROM walk) SELECT idx, " + ", ".join(f"round({' + '.join(f'{w!r} * {n}' for n, w in zip(*predict.STENCILS[k], strict=True))}, 4) AS {k}" for k in predict.STENCILS) + " FROM n")
+def interp_formulas(spark, d):
+    names = {("m" if k < 0 else "p") + str(abs(k)): ("v", k) for k in (-5, -3, -1, 1, 3, 5)}
+    near = shifted(fixture(spark, d, "walk").cells, names)
+    at = {n: F.col(n).cast("double") for n in names}
+    return near.select("idx", *[F.round(predict.interpolate(k, **at), 4).alias(k) for k in predict.STENCILS])
+
+
+def lorenzo_sql(view: str, rank: int, order: int) -> str:
+    """The prediction as the value less its differences along all axes."""
+    out, last = [f"l0 AS (SELECT *, {D} AS e0 FROM {view})"], "l0"
+    for a in range(rank):
+        part = ", ".join(f"c{i}" for i in range(rank) if i != a)
+        w = f"({'PARTITION BY ' + part if part else ''} ORDER BY c{a})"
+        e = f"e{a} - coalesce(lag(e{a}) OVER {w}, 0)" if order == 1 else f"e{a} - 2 * coalesce(lag(e{a}) OVER {w}, 0) + coalesce(lag(e{a}, 2) OVER {w}, 0)"
+        out.append(f"l{a + 1} AS (SELECT *, {e} AS e{a + 1} FROM {last})")
+        last = f"l{a + 1}"
+    return ", ".join(out) + f", lz AS (SELECT *, {D} - e{rank} AS pred FROM {last})"
+
+
+@query(with_sql("walk") + f" SELECT idx, coalesce(CAST(lag(v) OVER (ORDER BY idx) AS DOUBLE), 0) AS pred FROM walk")
+def lorenzo1_1d(spark, d):
+    return predict.lorenzo_1d(fixture(spark, d, "walk").cells).select("idx", "pred")
+
+
+@query(with_sql("walk") + f" SELECT idx, round(2 * coalesce(CAST(lag(v) OVER (ORDER BY idx) AS DOUBLE), 0) - coalesce(CAST(lag(v, 2) OVER (ORDER BY idx) AS DOUBLE), 0), 6) AS pred FROM walk")
+def lorenzo2_1d(spark, d):
+    return predict.lorenzo_1d(fixture(spark, d, "walk").cells, 2).select("idx", F.round("pred", 6).alias("pred"))
+
+
+@query(with_sql("emb2d") + ", " + lorenzo_sql("emb2d", 2, 1) + " SELECT idx, round(pred, 5) AS pred FROM lz")
+def lorenzo1_2d(spark, d):
+    return predict.lorenzo_nd(fixture(spark, d, "emb2d").with_coords(), 2).select("idx", F.round("pred", 5).alias("pred"))
+
+
+@query(with_sql("emb2d") + ", " + lorenzo_sql("emb2d", 2, 2) + " SELECT idx, round(pred, 5) AS pred FROM lz")
+def lorenzo2_2d(spark, d):
+    return predict.lorenzo_nd(fixture(spark, d, "emb2d").with_coords(), 2, 2).select("idx", F.round("pred", 5).alias("pred"))
+
+
+@query(with_sql("cube3d") + ", " + lorenzo_sql("cube3d", 3, 1) + " SELECT idx, round(pred, 4) AS pred FROM lz")
+def lorenzo1_3d(spark, d):
+    return predict.lorenzo_nd(fixture(spark, d, "cube3d").with_coords(), 3).select("idx", F.round("pred", 4).alias("pred"))
+
+
+REGRESSION = f"""rs AS (SELECT c0 // 6 AS b0, c1 // 6 AS b1, count(*) AS num, sum({D}) AS s, sum(c0 % 6 * {D}) AS s0, sum(c1 % 6 * {D}) AS s1, max(c0 % 6) + 1 AS d0, max(c1 % 6) + 1 AS d1 FROM emb2d GROUP BY ALL),
+  rc AS (SELECT *, CASE WHEN d0 > 1 THEN (2 * s0 / (d0 - 1) - s) * 6 / (num * (d0 + 1)) END AS slope0, CASE WHEN d1 > 1 THEN (2 * s1 / (d1 - 1) - s) * 6 / (num * (d1 + 1)) END AS slope1 FROM rs),
+  reg AS (SELECT *, s / num - (d0 - 1) * slope0 / 2 - (d1 - 1) * slope1 / 2 AS constant FROM rc)"""
+
+
+@query(with_sql("emb2d") + ", " + REGRESSION + " SELECT b0, b1, round(slope0, 4) + 0.0 AS slope0, round(slope1, 4) + 0.0 AS slope1, round(constant, 4) + 0.0 AS constant FROM reg")
+def regression_block_coeffs(spark, d):
+    f = fixture(spark, d, "emb2d")
+    return predict.regression_blocks(f.with_coords(), f.dims, 6).select("b0", "b1", *[(F.round(c, 4) + 0.0).alias(c) for c in ("slope0", "slope1", "constant")])
+
+
+@query(with_sql("emb2d") + ", " + lorenzo_sql("emb2d", 2, 1).replace("l0 ", "u0 ").replace("l1", "u1").replace("l2", "u2").replace("FROM l0", "FROM u0").replace("lz AS", "one AS") + ", " + lorenzo_sql("emb2d", 2, 2).replace("lz AS", "two AS") + ", " + REGRESSION
+       + f""", er AS (SELECT e.c0 // 6 AS b0, e.c1 // 6 AS b1, sum(abs(CAST(e.v AS DOUBLE) - one.pred) + 0.81 * 0.01) AS lorenzo1, sum(abs(CAST(e.v AS DOUBLE) - two.pred) + 2.76 * 0.01) AS lorenzo2,
+    sum(abs(CAST(e.v AS DOUBLE) - (constant + slope0 * (e.c0 % 6) + slope1 * (e.c1 % 6)))) AS regression
+    FROM emb2d e JOIN one USING (idx) JOIN two USING (idx) JOIN reg ON reg.b0 = e.c0 // 6 AND reg.b1 = e.c1 // 6 WHERE e.c0 % 6 = e.c1 % 6 GROUP BY ALL)
+  SELECT b0, b1, CASE WHEN lorenzo1 <= lorenzo2 AND (lorenzo1 <= regression OR regression IS NULL) THEN 'lorenzo1' WHEN lorenzo2 <= regression OR regression IS NULL THEN 'lorenzo2' ELSE 'regression' END AS predictor FROM er""")
+def predictor_choice(spark, d):
+    f = fixture(spark, d, "emb2d")
+    errors = predict.predictor_errors(f.with_coords(), f.dims, 6, 0.01).where("err is not null")
+    return predict.best_predictor(errors, 2)
+
+
+@query(with_sql("cube3d") + ", " + lorenzo_sql("cube3d", 3, 1) + f""", h AS (SELECT least(CAST(floor((round(abs({D} - pred), 4) / 0.5 + 1) / 2) AS BIGINT), 65535) AS bin, count(*) AS cnt FROM lz GROUP BY ALL),
+  c AS (SELECT bin, sum(cnt) OVER (ORDER BY bin) AS upto, sum(cnt) OVER () AS total FROM h), f AS (SELECT coalesce(min(bin), 65535) AS bin FROM c WHERE upto > total * 0.999)
+  SELECT bin, CAST(greatest(32, pow(2, ceil(log2(2 * (bin + 1))))) AS BIGINT) AS intervals FROM f""")
+def quant_intervals(spark, d):
+    e = predict.lorenzo_nd(fixture(spark, d, "cube3d").with_coords(), 3).select(F.round(F.abs(F.col("v").cast("double") - F.col("pred")), 4).alias("err"))
+    return predict.quantization_intervals(e, 0.5)
+
+
+@query(with_sql("walk") + f""", b AS (SELECT CAST(floor({D} / 10) AS BIGINT) AS bin, count(*) AS cnt FROM walk GROUP BY ALL), p AS (SELECT a.bin, a.cnt + coalesce(n.cnt, 0) AS pair_count FROM b a LEFT JOIN b n ON n.bin = a.bin + 1)
+  SELECT bin, pair_count, (bin + 1) * 10.0::DOUBLE AS position FROM p ORDER BY pair_count DESC, bin LIMIT 1""")
+def dense_position(spark, d):
+    return predict.dense_position(fixture(spark, d, "walk").cells, 10.0)
+
+
+@query(with_sql("walk") + f" SELECT round(avg({D}), 6) AS rough_mean FROM walk WHERE idx % 100 = 0")
+def rough_mean(spark, d):
+    return predict.rough_mean(fixture(spark, d, "walk").cells, 100)
+
+
+# --- scalars and configurations ---------------------------------------------------------------------------------------
+
+
+@query(with_sql("walk") + f""", r AS (SELECT CAST(max(v) - min(v) AS DOUBLE) AS r, count(*) AS n FROM walk)
+  SELECT m AS mode, round(CASE m WHEN 'abs' THEN 0.5 WHEN 'rel' THEN 0.001 * r WHEN 'psnr' THEN r * pow(10, (60 + 10 * log10(1 - 2.0::DOUBLE / 3 * 0.99)) / -20) WHEN 'norm' THEN sqrt(3.0 / n) * 7
+    WHEN 'abs_and_rel' THEN least(0.5, 0.001 * r) ELSE greatest(0.5, 0.001 * r) END, 8) AS eb FROM r, unnest(['abs', 'rel', 'psnr', 'norm', 'abs_and_rel', 'abs_or_rel']) t(m)""")
+def error_bound_modes(spark, d):
+    f = fixture(spark, d, "walk")
+    rows = [(m, stats.error_bound(m, f.range, f.n, abs_=0.5, rel=0.001, psnr_=60.0, norm=7.0)) for m in stats.MODES]
+    return spark.createDataFrame(rows, "mode string, eb double").withColumn("eb", F.round("eb", 8))
+
+
+@query("""SELECT m AS method, CAST(CAST(('0b' || right(CAST(CAST(eb AS BIT) AS VARCHAR), 32)) AS VARCHAR) AS VARCHAR) AS low, ('0b' || left(CAST(CAST(eb AS BIT) AS VARCHAR), 32)) AS high, 65536 + m AS word
+  FROM (SELECT unnest([1, 3, 7, 12, 13]) AS m, 1e-4::DOUBLE AS eb)""")
+def cd_values_words(spark, d):
+    rows = []
+    for m in (1, 3, 7, 12, 13):
+        low, high, word = metadata.cd_values(1e-4, m)
+        rows.append((m, f"0b{low:032b}", f"0b{high:032b}", word))
+    return spark.createDataFrame(rows, "method int, low string, high string, word int")
+
+
+@query("SELECT i AS method, ['eb','psnr','ssim','cr'][i // 4 + 1] || '_' || ['eb','psnr','ssim','cr'][i % 4 + 1] AS goal FROM range(16) t(i)")
+def method_names(spark, d):
+    return spark.range(16).select(F.col("id").alias("method"), metadata.method_name(F.col("id")).alias("goal"))
+
+
+@query("SELECT n AS length, CAST(CASE WHEN n < 8 THEN 0 ELSE least(6, floor(log2(n / 8)) + 1) END AS INTEGER) AS levels FROM unnest([7, 8, 16, 31, 64, 100, 1000]) t(n)")
+def wavelet_levels(spark, d):
+    return spark.createDataFrame([(n, bits.wavelet_levels(n)) for n in (7, 8, 16, 31, 64, 100, 1000)], "length int, levels int")
+
+
+@query("SELECT b AS bits, CAST(b // 8 * 31 + CASE WHEN b % 8 = 0 THEN 0 ELSE (b % 8 * 31 - 1) // 8 + 1 END AS BIGINT) AS bytes, CAST(CASE WHEN b = 0 THEN 5 ELSE 9 + b // 8 * 31 + CASE WHEN b % 8 = 0 THEN 0 ELSE (b % 8 * 31 - 1) // 8 + 1 END END AS BIGINT) AS record FROM range(33) t(b)")
+def saved_bit_bytes(spark, d):
+    rows = spark.createDataFrame([(b, szp.record_bytes(32, b)) for b in range(33)], "bits long, record long")
+    return rows.select("bits", bits.saved_bit_bytes(31, F.col("bits")).cast("long").alias("bytes"), "record")
+
+
+@query("""SELECT d AS dims, CASE WHEN len(k) = 0 THEN '1' ELSE array_to_string(k, 'x') END AS kept, CAST(coalesce(list_product(k), 1) AS BIGINT) AS num,
+  CASE WHEN len(k) = len(a) THEN 0 WHEN len(k) > 0 THEN 1 ELSE 2 END AS status
+  FROM (SELECT d, a, list_filter(a, lambda x: x > 1) AS k FROM (SELECT unnest(['1x500x1x100', '500x500x100', '1', '1x1', '7']) AS d, list_transform(string_split(d, 'x'), lambda x: x::BIGINT) AS a))""")
+def dims_normalised(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("1x500x1x100", "500x500x100", "1", "1x1", "7")], "dims string")
+    own = F.transform(F.split("dims", "x"), lambda x: x.cast("long"))
+    return rows.select("dims", F.array_join(metadata.normalise_dims(own), "x").alias("kept"), metadata.product(metadata.normalise_dims(own)).alias("num"), metadata.dims_status(own).alias("status"))
+
+
+@query(with_sql("walk") + f""" SELECT idx, round(1 / (1 + exp(-{D} / 100)), 6) AS sigmoid, round(ln(p / (1 - p)), 4) AS logit, round(0.5 * ln((1 + t) / (1 - t)), 4) AS arctanh, round(tanh({D} / 1000), 6) AS tanh
+  FROM (SELECT *, least(greatest(abs({D}) / 2000, 1e-7), 1 - 1e-7) AS p, least(greatest({D} / 2000, 1e-7 - 1), 1 - 1e-7) AS t FROM walk)""")
+def transform_functions(spark, d):
+    v = F.col("v").cast("double")
+    return fixture(spark, d, "walk").cells.select("idx", F.round(bits.sigmoid(v / 100), 6).alias("sigmoid"), F.round(bits.logit(F.abs(v) / 2000), 4).alias("logit"), F.round(bits.arctanh(v / 2000), 4).alias("arctanh"), F.round(F.tanh(v / 1000), 6).alias("tanh"))
+
+
+BITS = "CAST(CAST({0} AS BIT) AS VARCHAR)"
+UINT = "CAST(CAST({0} AS BIT) AS UINTEGER)"
+
+
+@query(with_sql("events") + f" SELECT idx, CAST({UINT.format('v')} AS BIGINT) AS raw, CAST(({UINT.format('v')} >> 23) & 255 AS INTEGER) - 127 AS exponent, CAST({UINT.format('v')} & 4294901760 AS BIGINT) AS kept FROM f_events WHERE idx % 10 = 0")
+def float_fields(spark, d):
+    rows = fixture(spark, d, "events").cells.where("idx % 10 = 0")
+    raw = bits.float_bits(F.col("v"))
+    return rows.select("idx", raw.cast("long").alias("raw"), bits.exponent(raw).alias("exponent"), bits.float_bits(bits.truncate_float(F.col("v"), 2)).cast("long").alias("kept"))
+
+
+# --- estimators -------------------------------------------------------------------------------------------------------
+
+OPTIONS = {"szx": {"stride": 3}, "cuszp": {"chunk": 256}, "sperr": {"block": 8, "rate": 0.5}, "sz3": {"stride": 3}}
+REL = 0.001
+EB = "eb AS (SELECT CAST(0.001 * CAST(max(v) - min(v) AS DOUBLE) AS FLOAT)::DOUBLE AS eb, CAST(max(v) - min(v) AS DOUBLE) AS rng, count(*) AS n FROM walk)"
+
+
+def _est(spark, d, name: str, metric: str, field: str = "walk", rel: float = REL, **more):
+    f = fixture(spark, d, field)
+    options = {k: v for k, v in OPTIONS.get(name, {}).items()} | more
+    return selection.estimate(f, name, f.bound(rel), metric, **options).select("codec", F.round("value", 6).alias("value"))
+
+
+SZX = SZX_SAMPLE.format(view="walk") + f""", {EB},
+  xb AS (SELECT block_id, min(v) AS low, CAST(CAST(max(v) - min(v) AS DOUBLE) / 2 AS FLOAT) AS radius FROM s GROUP BY ALL),
+  xc AS (SELECT *, CAST(low + radius AS FLOAT) AS med, CAST(radius AS DOUBLE) <= eb AS con,
+    greatest(9, 9 + (CAST(({UINT.format('radius')} >> 23) & 255 AS INTEGER) - 127) - (CAST((CAST(CAST(eb AS BIT) AS UBIGINT) >> 52) & 2047 AS INTEGER) - 1023) + 1) AS len0 FROM xb, eb),
+  blk AS (SELECT block_id, radius, con, CASE WHEN len0 > 32 AND NOT con THEN 0.0::FLOAT ELSE med END AS med, (least(len0, 32) + 7) // 8 AS bytes, (8 - least(len0, 32) % 8) % 8 AS sh FROM xc),
+  xv AS (SELECT block_id, pos, bytes, {UINT.format('CAST(v - med AS FLOAT)')} >> sh AS b FROM s JOIN blk USING (block_id) WHERE NOT con),
+  xl AS (SELECT bytes, xor(b, coalesce(lag(b) OVER (PARTITION BY block_id ORDER BY pos), 0::UINTEGER)) AS x FROM xv),
+  ld AS (SELECT coalesce(sum(least(CASE WHEN x >> 8 = 0 THEN 3 WHEN x >> 16 = 0 THEN 2 WHEN x >> 24 = 0 THEN 1 ELSE 0 END, bytes)), 0) AS lead_bytes FROM xl),
+  cm AS (SELECT count(*) AS blocks, sum(con::INTEGER) AS constant_blocks, coalesce(sum(CASE WHEN NOT con THEN bytes END), 0) AS req_bytes FROM blk)"""
+
+
+@query(with_sql("walk") + ", " + SZX + " SELECT CAST(blocks AS BIGINT) AS blocks, CAST(constant_blocks AS BIGINT) AS constant_blocks, CAST(req_bytes AS BIGINT) AS req_bytes, CAST(lead_bytes AS BIGINT) AS "leading" FROM cm, ld")
+def szx_components(spark, d):
+    f = fixture(spark, d, "walk")
+    return szx.components(f, f.bound(REL), 3)
+
+
+SZX_CR = """4 * 128 / (13.0 * 128 / n + 33 / 8 + (1 + (0.25 + CASE WHEN blocks > constant_blocks THEN req_bytes / (blocks - constant_blocks) ELSE 4 END) * 128
+  - CASE WHEN blocks > constant_blocks THEN lead_bytes / (blocks - constant_blocks) ELSE 0 END) * (1 - constant_blocks / blocks))"""
+
+
+@query(with_sql("walk") + ", " + SZX + f" SELECT 'szx' AS codec, round({SZX_CR}, 6) AS value FROM cm, ld, eb")
+def szx_cr(spark, d):
+    return _est(spark, d, "szx", "cr")
+
+
+SZX_PSNR = "(SELECT -20*log10(sqrt(sum(CASE WHEN con THEN (CAST(v AS DOUBLE)-CAST(med AS DOUBLE))*(CAST(v AS DOUBLE)-CAST(med AS DOUBLE)) ELSE eb*eb END)/max(n))/max(rng) + 1e-16) FROM s JOIN blk USING (block_id), eb)"
+
+
+@query(with_sql("walk") + ", " + SZX + f" SELECT 'szx' AS codec, round({SZX_PSNR}, 6) AS value")
+def szx_psnr(spark, d):
+    return _est(spark, d, "szx", "psnr")
+
+
+@query()
+def szx_ssim(spark, d):
+    return _est(spark, d, "szx", "ssim")
+
+
+SZP = f"""{EB}, zs AS (SELECT idx // 32 AS block_id, idx % 32 AS pos, v FROM walk, eb WHERE idx // 32 >= n // 32 OR (idx // 32) % 5 = 0),
+  zc AS (SELECT block_id, pos, CAST(trunc({D} * (1 / eb)) AS BIGINT) AS code FROM zs, eb),
+  zd AS (SELECT block_id, abs(code - lag(code) OVER (PARTITION BY block_id ORDER BY pos)) AS step FROM zc),
+  zb AS (SELECT block_id, count(*) AS cells, count(*) - 1 AS m, coalesce(max(step), 0) AS most FROM zd GROUP BY ALL),
+  zw AS (SELECT *, CASE WHEN most = 0 THEN 0 ELSE len(bin(most)) END AS w FROM zb),
+  zz AS (SELECT block_id, cells, CAST(5 + CASE WHEN most > 0 THEN (m + 7) // 8 + w // 8 * m + CASE WHEN w % 8 = 0 THEN 0 ELSE (w % 8 * m - 1) // 8 + 1 END ELSE 0 END AS BIGINT) AS bytes FROM zw)"""
+
+
+@query(with_sql("walk") + ", " + SZP + " SELECT block_id, cells, bytes FROM zz")
+def szp_block_bytes(spark, d):
+    f = fixture(spark, d, "walk")
+    return szp.block_sizes(szp.sampled(f, 5, 32), f.bound(REL))
+
+
+SZP_CR = "(SELECT 4 * sum(cells - 1) / sum(bytes) FROM zz)"
+
+
+@query(with_sql("walk") + ", " + SZP + f" SELECT 'szp' AS codec, round({SZP_CR}, 6) AS value")
+def szp_cr(spark, d):
+    return _est(spark, d, "szp", "cr")
+
+
+HALF = "(trunc({0} * (0.5 / eb) + 0.5) - CASE WHEN {0} * (0.5 / eb) < -0.5 THEN 1 ELSE 0 END)".format(D)
+SZP_PSNR = f"(SELECT -20*log10(sqrt(avg(({D} - {HALF}*2*eb)*({D} - {HALF}*2*eb)))/CAST(max(v)-min(v) AS DOUBLE) + 1e-16) FROM zs, eb WHERE pos > 0)"
+
+
+@query(with_sql("walk") + ", " + SZP + f" SELECT 'szp' AS codec, round({SZP_PSNR}, 6) AS value")
+def szp_psnr(spark, d):
+    return _est(spark, d, "szp", "psnr")
+
+
+@query(with_sql("walk") + f", {EB}, pairs AS (SELECT (idx // 32) // 5 * 32 + idx % 32 AS idx, {D} AS x, CASE WHEN idx % 32 = 0 THEN 0.0 ELSE CAST(CAST({HALF}*(2*eb) AS FLOAT) AS DOUBLE) END AS y FROM walk, eb WHERE idx // 32 < n // 32 AND (idx // 32) % 5 = 0)"
+       + ssim_sql([("idx // 8", "true")]).replace("SELECT count(*) AS windows, round(avg(", "SELECT 'szp' AS codec, round(avg(").replace("AS ssim FROM k", "AS value FROM k"))
+def szp_ssim(spark, d):
+    return _est(spark, d, "szp", "ssim")
+
+
+CUSZP = f"""{EB}, us AS (SELECT idx, v FROM walk, eb WHERE idx // 256 < n // 256 AND (idx // 256) % 5 = 0),
+  ud AS (SELECT idx // 32 AS b, abs({HALF} - coalesce(lag({HALF}) OVER (PARTITION BY idx // 32 ORDER BY idx), 0)) AS step FROM us, eb),
+  ub AS (SELECT b, count(*) AS cells, CAST(max(step) AS BIGINT) AS most FROM ud GROUP BY ALL)"""
+
+
+@query(with_sql("walk") + ", " + CUSZP + " SELECT 'cuszp' AS codec, round(4 * sum(cells) / sum(CASE WHEN most = 0 THEN 1 ELSE (len(bin(most)) + 1) * 4 END), 6) AS value FROM ub")
+def cuszp_cr(spark, d):
+    return _est(spark, d, "cuszp", "cr")
+
+
+UKEPT = f"{EB}, uk AS (SELECT idx, v FROM walk, eb WHERE idx // 256 < n // 256 AND (idx // 32) % 8 % 5 = 0)"
+
+
+@query(with_sql("walk") + ", " + UKEPT + f" SELECT 'cuszp' AS codec, round(-20*log10(sqrt(avg(({D} - {HALF}*2*eb)*({D} - {HALF}*2*eb)))/CAST(max(v)-min(v) AS DOUBLE) + 1e-16), 6) AS value FROM uk, eb")
+def cuszp_psnr(spark, d):
+    return _est(spark, d, "cuszp", "psnr")
+
+
+@query(with_sql("walk") + ", " + UKEPT + f", pairs AS (SELECT (idx // 256 * 2 + (idx // 32) % 8 // 5) * 32 + idx % 32 AS idx, {D} AS x, CAST(CAST({HALF}*(2*eb) AS FLOAT) AS DOUBLE) AS y FROM uk, eb)"
+       + ssim_sql([("idx // 8", "true")]).replace("SELECT count(*) AS windows, round(avg(", "SELECT 'cuszp' AS codec, round(avg(").replace("AS ssim FROM k", "AS value FROM k"))
+def cuszp_ssim(spark, d):
+    return _est(spark, d, "cuszp", "ssim")
+
+
+SZ3 = f"""{EB}, nt AS (SELECT idx, v, {NEAR} FROM walk),
+  ip AS (SELECT idx, v, CASE WHEN idx >= 3 AND idx + 3 < n AND (idx - 3) % 6 = 0 THEN -m3/16 + 9*m1/16 + 9*p1/16 - p3/16 WHEN idx = 1 THEN 3*m1/8 + 6*p1/8 - p3/8
+    WHEN idx = CASE WHEN n % 2 = 0 THEN n - 3 ELSE n - 2 END THEN -m3/8 + 6*m1/8 + 3*p1/8 WHEN n % 2 = 0 AND idx = n - 1 THEN 3*m5/8 - 10*m3/8 + 15*m1/8 END AS pred FROM nt, eb WHERE idx % 2 = 1),
+  iq AS (SELECT idx, v, pred, {D} - pred AS diff, CAST(trunc(abs({D} - pred) / eb) + 1 AS BIGINT) // 2 AS steps, eb FROM ip, eb WHERE pred IS NOT NULL),
+  ir AS (SELECT *, CAST(pred + 2 * (CASE WHEN diff < 0 THEN -steps ELSE steps END) * eb AS FLOAT) AS recon FROM iq),
+  ic AS (SELECT idx, CASE WHEN steps < 32768 AND abs(CAST(recon AS DOUBLE) - {D}) <= eb THEN 32768 + CASE WHEN diff < 0 THEN -steps ELSE steps END ELSE 0 END AS code FROM ir)"""
+
+
+@query(with_sql("walk") + ", " + SZ3 + " SELECT idx, CAST(code AS INTEGER) AS code FROM ic")
+def sz3_codes(spark, d):
+    from fieldloom.operators.surrogates import sz3
+
+    f = fixture(spark, d, "walk")
+    return sz3.codes(f, f.bound(REL), 3)
+
+
+SZ3_CR = "(SELECT 32 / bits FROM e)"
+
+
+@query(with_sql("walk") + ", " + SZ3 + ", " + ENTROPY.format(codes="ic") + f" SELECT 'sz3' AS codec, round({SZ3_CR}, 6) AS value")
+def sz3_cr(spark, d):
+    return _est(spark, d, "sz3", "cr")
+
+
+@query()
+def sz3_psnr(spark, d):
+    return _est(spark, d, "sz3", "psnr")
+
+
+@query()
+def sz3_ssim(spark, d):
+    return _est(spark, d, "sz3", "ssim")
+
+
+@query()
+def sz3_cr_3d(spark, d):
+    return _est(spark, d, "sz3", "cr", "cube3d")
+
+
+@query()
+def zfp_cr(spark, d):
+    return _est(spark, d, "zfp", "cr")
+
+
+@query()
+def zfp_psnr(spark, d):
+    return _est(spark, d, "zfp", "psnr", "emb2d")
+
+
+@query()
+def zfp_ssim(spark, d):
+    return _est(spark, d, "zfp", "ssim", "cube3d")
+
+
+@query()
+def sperr_cr(spark, d):
+    return _est(spark, d, "sperr", "cr", "cube3d")
+
+
+@query()
+def sperr_psnr(spark, d):
+    return _est(spark, d, "sperr", "psnr", "emb2d")
+
+
+@query()
+def sperr_ssim(spark, d):
+    return _est(spark, d, "sperr", "ssim", "cube3d")
+
+
+# --- selection --------------------------------------------------------------------------------------------------------
+
+NATIVE = ("szx", "szp", "sz3")
+
+
+def _best(spark, d, metric: str, codecs=NATIVE):
+    f = fixture(spark, d, "walk")
+    rows = selection.best(selection.estimates(f, codecs, f.bound(REL), metric, OPTIONS))
+    return rows.select("field", "codec", F.round("value", 6).alias("value"))
+
+
+PICK = "SELECT 'walk' AS field, codec, round(value, 6) AS value FROM ({0}) ORDER BY value DESC, r LIMIT 1"
+
+
+@query(with_sql("walk") + ", " + SZX + ", " + SZP.replace(EB + ", ", "") + ", " + SZ3.replace(EB + ", ", "") + ", " + ENTROPY.format(codes="ic") + " "
+       + PICK.format(f"SELECT 'sz3' AS codec, 0 AS r, {SZ3_CR} AS value UNION ALL SELECT 'szx', 1, (SELECT {SZX_CR} FROM cm, ld, eb) UNION ALL SELECT 'szp', 2, {SZP_CR}"))
+def best_codec_cr(spark, d):
+    return _best(spark, d, "cr")
+
+
+@query(with_sql("walk") + ", " + SZX + ", " + SZP.replace(EB + ", ", "") + " " + PICK.format(f"SELECT 'szx' AS codec, 0 AS r, {SZX_PSNR} AS value UNION ALL SELECT 'szp', 1, {SZP_PSNR}"))
+def best_codec_psnr(spark, d):
+    return _best(spark, d, "psnr", ("szx", "szp"))
+
+
+@query()
+def best_codec_ssim(spark, d):
+    return _best(spark, d, "ssim")
+
+
+def sweep_sql(bounds: str) -> str:
+    return with_sql("walk") + f""", bs AS ({bounds}), zs AS (SELECT idx // 32 AS block_id, idx % 32 AS pos, v FROM walk, (SELECT count(*) AS n FROM walk) WHERE idx // 32 >= n // 32 OR (idx // 32) % 5 = 0),
+  zc AS (SELECT i, eb, block_id, pos, CAST(trunc({D} * (1 / eb)) AS BIGINT) AS code FROM zs, bs),
+  zd AS (SELECT i, eb, block_id, abs(code - lag(code) OVER (PARTITION BY i, block_id ORDER BY pos)) AS step FROM zc),
+  zb AS (SELECT i, eb, block_id, count(*) AS cells, count(*) - 1 AS m, coalesce(max(step), 0) AS most FROM zd GROUP BY ALL),
+  zw AS (SELECT *, CASE WHEN most = 0 THEN 0 ELSE len(bin(most)) END AS w FROM zb)
+  SELECT round(eb, 8) AS eb, round(4 * sum(cells - 1) / sum(5 + CASE WHEN most > 0 THEN (m + 7) // 8 + w // 8 * m + CASE WHEN w % 8 = 0 THEN 0 ELSE (w % 8 * m - 1) // 8 + 1 END ELSE 0 END), 6) AS value FROM zw GROUP BY i, eb"""
+
+
+def _sweep(spark, d, bounds):
+    rows = selection.sweep(fixture(spark, d, "walk"), ("szp",), bounds, "cr")
+    return rows.select(F.round("eb", 8).alias("eb"), F.round("value", 6).alias("value"))
+
+
+@query(sweep_sql("SELECT i, (i + 1) / 16 AS eb FROM range(16) t(i)"))
+def eb_sweep_linear(spark, d):
+    return _sweep(spark, d, [(i + 1) / 16 for i in range(16)])
+
+
+@query(sweep_sql("SELECT i, pow(10.0::DOUBLE, -i / 3) AS eb FROM range(16) t(i)"))
+def eb_sweep_log(spark, d):
+    return _sweep(spark, d, [10 ** (-i / 3) for i in range(16)])
+
+
+def _search(spark, d, goal: str, target: float, **more):
+    f = fixture(spark, d, "walk")
+    rows = selection.choose(f, goal, target, ("szx", "szp"), OPTIONS, **more)
+    return rows.select("field", "codec", F.round(F.log10("eb"), 6).alias("log_eb"), "metric", F.round("value", 6).alias("value"))
+
+
+@query()
+def search_cr_eb(spark, d):
+    return _search(spark, d, "cr_eb", 4.0)
+
+
+@query()
+def search_psnr_cr(spark, d):
+    return _search(spark, d, "psnr_cr", 60.0)
+
+
+@query()
+def search_cr_psnr(spark, d):
+    return _search(spark, d, "cr_psnr", 4.0)
+
+
+@query()
+def target_ratio_bounds(spark, d):
+    """For target ratios, the bound found for a codec and the ratio that it really gets there."""
+    f = fixture(spark, d, "walk").keep()
+    rows = []
+    for target in (1.5, 2.0, 3.0):
+        eb, estimated = selection.find_bound(f, "szp", "cr", target, OPTIONS)[-1]
+        rows.append((target, eb, estimated, selection.measure(f, "szp", eb, "cr")))
+    return spark.createDataFrame(rows, "target double, eb double, estimated double, real double")
+
+
+@query()
+def autotuned_bound(spark, d):
+    f = fixture(spark, d, "walk").keep()
+    eb, value = selection.autotune(f, "szp", "cr", 3.0, 0.02, 24)
+    return spark.createDataFrame([(eb, value)], "eb double, cr double")
+
+
+# --- codecs -----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def compress_chunks(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return selection.compress(f, "sz3", f.bound(REL), cells=2000).select("field", "chunk_id", "codec", "eb", "method_id", "dtype", "dims", "start", "payload_bytes")
+
+
+@query(with_sql("cube3d") + " SELECT idx, true AS within_bound FROM cube3d")
+def decompress_chunks(spark, d):
+    f = fixture(spark, d, "cube3d")
+    eb = f.bound(REL)
+    back = selection.decompress(selection.compress(f, "sz3", eb, cells=2000))
+    return stats.zipped(f.cells, back).select("idx", (F.abs(F.col("x") - F.col("y")) <= eb).alias("within_bound"))
+
+
+def _round_trips(spark, d, name: str, rank: int):
+    f = fixture(spark, d, name)
+    eb, out = f.bound(REL), None
+    for codec in CODECS:
+        pairs_ = stats.zipped(f.cells, selection.decompress(selection.compress(f, codec, eb)))
+        row = pairs_.agg(F.lit(codec).alias("codec"), F.count("*").alias("cells"), (F.max(F.abs(F.col("x") - F.col("y"))) <= eb).alias("within_bound"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+TRIPS = " SELECT codec, count(*) AS cells, true AS within_bound FROM {0}, unnest(['sz3', 'zfp', 'szx', 'sperr', 'szp', 'qoz', 'trunc']) t(codec) GROUP BY ALL"
+
+
+@query(with_sql("walk") + TRIPS.format("walk"))
+def round_trip_1d(spark, d):
+    return _round_trips(spark, d, "walk", 1)
+
+
+@query(with_sql("emb2d") + TRIPS.format("emb2d"))
+def round_trip_2d(spark, d):
+    return _round_trips(spark, d, "emb2d", 2)
+
+
+@query(with_sql("cube3d") + TRIPS.format("cube3d"))
+def round_trip_3d(spark, d):
+    return _round_trips(spark, d, "cube3d", 3)
