@@ -32,7 +32,7 @@ def components(field: Field, eb: float, stride: int = STRIDE) -> DataFrame:
     values = sampled.join(b.where(~F.col("constant")), "block_id")
     moved = values.withColumn("bits", shift_right(float_bits((F.col("v") - F.col("median")).cast("float")), F.col("shift")))
     before = F.lag("bits", 1, 0).over(Window.partitionBy("block_id").orderBy("pos"))
-    lead = moved.select(F.least(leading_bytes(F.col("bits").bitwiseXOR(before)), F.col("bytes")).alias("lead")).agg(F.coalesce(F.sum("lead"), F.lit(0)).alias("leading"))
+    lead = moved.select(F.least(leading_bytes(F.col("bits").bitwiseXOR(before)), F.col("bytes")).alias("lead")).agg(F.coalesce(F.sum("lead"), F.lit(0)).alias("lead_bytes"))
     whole = b.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.col("constant").cast("long")), F.lit(0)).alias("constant_blocks"), F.coalesce(F.sum(F.when(~F.col("constant"), F.col("bytes").cast("long"))), F.lit(0)).alias("req_bytes"))
     return whole.crossJoin(F.broadcast(lead))
 
@@ -40,7 +40,7 @@ def components(field: Field, eb: float, stride: int = STRIDE) -> DataFrame:
 def cr(field: Field, eb: float, stride: int = STRIDE) -> DataFrame:
     open_ = F.col("blocks") - F.col("constant_blocks")
     need = F.when(open_ > 0, F.col("req_bytes") / open_).otherwise(F.lit(4.0))
-    lead = F.when(open_ > 0, F.col("leading") / open_).otherwise(F.lit(0.0))
+    lead = F.when(open_ > 0, F.col("lead_bytes") / open_).otherwise(F.lit(0.0))
     share = F.col("constant_blocks") / F.col("blocks")
     value = 4 * BLOCK / (13.0 * BLOCK / field.n + 33 / 8 + (1 + (0.25 + need) * BLOCK - lead) * (1 - share))
     return components(field, eb, stride).select(value.alias("value"))

@@ -593,7 +593,7 @@ SZX = SZX_SAMPLE.format(view="walk") + f""", {EB},
   cm AS (SELECT count(*) AS blocks, sum(con::INTEGER) AS constant_blocks, coalesce(sum(CASE WHEN NOT con THEN bytes END), 0) AS req_bytes FROM blk)"""
 
 
-@query(with_sql("walk") + ", " + SZX + " SELECT CAST(blocks AS BIGINT) AS blocks, CAST(constant_blocks AS BIGINT) AS constant_blocks, CAST(req_bytes AS BIGINT) AS req_bytes, CAST(lead_bytes AS BIGINT) AS "leading" FROM cm, ld")
+@query(with_sql("walk") + ", " + SZX + " SELECT CAST(blocks AS BIGINT) AS blocks, CAST(constant_blocks AS BIGINT) AS constant_blocks, CAST(req_bytes AS BIGINT) AS req_bytes, CAST(lead_bytes AS BIGINT) AS lead_bytes FROM cm, ld")
 def szx_components(spark, d):
     f = fixture(spark, d, "walk")
     return szx.components(f, f.bound(REL), 3)
