@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import decontaminate, mixture, quality, simhash, tokens
-from fieldloom.llm.common import cut, ship, table
+from fieldloom.llm.common import columns_of, cut, ship, table
 
 #: Word shingles and radius of the near-duplicate stage: five words; 3 of 64 bits is where SimHash puts a similarity of 0.8 and more.
 SHINGLE_WORDS, RADIUS = 5, 3
@@ -30,7 +30,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mixture.mix(docs).select(*docs.columns)
+    return mixture.mix(docs).select(*columns_of(docs))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

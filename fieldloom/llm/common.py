@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +66,15 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def columns_of(df: DataFrame) -> list:
+    """All columns by name, names with dots included."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def keep_rows(df: DataFrame, keep: Callable[[Iterator], Iterator]) -> DataFrame:
+    """df with the batches that keep passes on; keep gets columns by place, as any name may occur."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import keep_rows
+
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
@@ -184,7 +186,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
         return run
 
     for index in blocks(benchmark, min_match, block_chars):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = keep_rows(docs, keeper(index))
     return docs
 
 

@@ -55,15 +55,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: str = "mix", deal: bool = True) -> DataFrame:
     """docs with each row repeated by its Poisson count: plus copies, copy (from 1) and shuffle_key, dealt by that key."""
-    own = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
-    base = docs.select(*own)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
+    base = docs.select(F.col("source"), unit(seed, F.col("doc_id")).alias("u"), F.struct(*own).alias("row"))
     rate = cut(rates(base, weights, temperature, total).select(F.col("source").alias("rate_source"), "cdf"), "mixture-rates")
     if (rate.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_VALUES:
         rate = F.broadcast(rate)
-    drawn = base.withColumn("rate_u", unit(seed, F.col("doc_id"))).join(rate, F.col("source").eqNullSafe(F.col("rate_source")))
-    counted = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c < F.col("rate_u")))).where("copies > 0").drop("cdf", "rate_u", "rate_source")
+    drawn = base.join(rate, F.col("source").eqNullSafe(F.col("rate_source")))
+    counted = drawn.select("row", F.size(F.filter("cdf", lambda c: c < F.col("u"))).alias("copies")).where("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = copied.withColumn("shuffle_key", unit(seed + "-order", F.col("doc_id"), F.col("copy")))
+    keyed = copied.select("row.*", "copies", "copy", unit(seed + "-order", F.col("row.doc_id"), F.col("copy")).alias("shuffle_key"))
     return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if deal else keyed
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import keep_rows
+
 TRAIN_DOCS = 4000
 THRESHOLD = 0.7
 
@@ -260,7 +262,7 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> Da
             found = field.score([(t.as_py() or "").encode() for t in batch.column(at)])
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

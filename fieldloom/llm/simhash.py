@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import connected_components, cut
+from fieldloom.llm.common import columns_of, connected_components, cut
 
 BITS = 64
 
@@ -181,8 +181,9 @@ def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> Da
         bare = docs.where("doc_id is null")
         marked = fingerprints(bare.select(F.xxhash64(text_key()).alias("doc_id"), "text"), words_per_shingle).join(alone, "fp", "left_semi")
         pick = marked.groupBy("fp").agg(F.min("doc_id").alias("key")).select("key")
-        kept = kept.unionByName(bare.withColumn("key", F.xxhash64(text_key())).join(pick, "key", "left_semi").dropDuplicates(["key"]).drop("key"))
-    return kept.select(*docs.columns)
+        held = bare.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(text_key()).alias("key"))
+        kept = kept.unionByName(held.join(pick, "key", "left_semi").dropDuplicates(["key"]).select("row.*"))
+    return kept.select(*columns_of(docs))
 
 
 def text_key() -> Column:
