@@ -45,14 +45,19 @@ def lose_mantissa_bits(c: Column, bits: Column) -> Column:
     return bits_float(float_bits(c).bitwiseAND(F.bitwise_not(cleared)))
 
 
+def whole(x: Column) -> Column:
+    """Truncation; what a search tries far below a float's digits stays within a long."""
+    return F.greatest(F.least(x, F.lit(4e18)), F.lit(-4e18)).cast("long")
+
+
 def quantize_half_away(c: Column, eb: float) -> Column:
     """Steps of 2 eb: truncation of x + 0.5, one less below -0.5."""
     x = c.cast("double") * (0.5 / eb)
-    return (x + 0.5).cast("long") - F.when(x < -0.5, F.lit(1)).otherwise(F.lit(0))
+    return whole(x + 0.5) - F.when(x < -0.5, F.lit(1)).otherwise(F.lit(0))
 
 
 def quantize_truncate(c: Column, eb: float) -> Column:
-    return (c.cast("double") * (1 / eb)).cast("long")
+    return whole(c.cast("double") * (1 / eb))
 
 
 def sign_bytes(n: int) -> int:

@@ -41,7 +41,7 @@ def quantize(v: Column, pred: Column, eb: float, radius: int = RADIUS) -> Column
     """
     value, p = v.cast("double"), pred.cast("double")
     diff = value - p
-    steps = F.expr("cast(0 as long)") + F.floor((F.floor(F.abs(diff) / eb) + 1) / 2)
+    steps = F.floor((F.floor(F.least(F.abs(diff) / eb, F.lit(4e18))) + 1) / 2)
     signed = F.when(diff < 0, -steps).otherwise(steps)
     recon = (p + 2 * signed * F.lit(eb)).cast("float")
     holds = (steps < radius) & (F.abs(recon.cast("double") - value) <= eb)
@@ -248,3 +248,62 @@ def interpolation_pass(cells: DataFrame, dims: Sequence[int], level: int, axis:
         if n % 2 == 0:
             pred = pred.when(i == n - 1, interpolate("quad_3", **at))
     return rows.where(i % 2 == 1).withColumn("pred", pred).where("pred is not null").select("idx", "v", "pred")
+
+
+def interpolate_cross(kind: str, along_axes: Sequence[dict[str, Column]]) -> Column:
+    """The mean of an interpolator over several axes through a point."""
+    out = F.lit(0.0)
+    for values in along_axes:
+        out = out + interpolate(kind, **values)
+    return out / len(along_axes)
+
+
+def akima(m3: Column, m1: Column, p1: Column, p3: Column) -> Column:
+    """Midpoint of the Akima spline through four points: the mean, corrected by slopes weighted towards the smaller change."""
+    left, middle, right = m1 - m3, p1 - m1, p3 - p1
+    a, b = F.abs(middle - left), F.abs(right - middle)
+    at_left = F.when(a + b == 0, (left + middle) / 2).otherwise((b * left + a * middle) / (a + b))
+    at_right = F.when(a + b == 0, (middle + right) / 2).otherwise((b * middle + a * right) / (a + b))
+    return (m1 + p1) / 2 + (at_left - at_right) / 8
+
+
+def polynomial_terms(rank: int) -> list[tuple[int, ...]]:
+    """Exponents of the terms up to the second degree: constant, linear, then products."""
+    import itertools
+
+    return sorted((e for e in itertools.product(range(3), repeat=rank) if sum(e) <= 2), key=lambda e: (sum(e), e))
+
+
+def quadratic_blocks(cells: DataFrame, dims: Sequence[int], block: int) -> DataFrame:
+    """Least-squares coefficients of each block over the terms up to the second degree, one row a term.
+
+    The sums of products are an ordinary aggregate; only they reach Python, (terms + 1) * terms / 2 numbers a block.
+    """
+    rank = len(dims)
+    terms = polynomial_terms(rank)
+    local = [F.expr(f"cast(c{i} % {block} as double)") for i in range(rank)]
+
+    def value(e: tuple[int, ...]) -> Column:
+        out = F.lit(1.0)
+        for x, power in zip(local, e, strict=True):
+            for _ in range(power):
+                out = out * x
+        return out
+
+    keys = [f"b{i}" for i in range(rank)]
+    rows = cells.select(*[F.expr(f"cast(c{i} div {block} as int)").alias(f"b{i}") for i in range(rank)], F.col("v").cast("double").alias("v"), *[value(e).alias(f"t{n}") for n, e in enumerate(terms)])
+    count = len(terms)
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"a{i}_{j}") for i in range(count) for j in range(i, count)], *[F.sum(F.col(f"t{i}") * F.col("v")).alias(f"y{i}") for i in range(count)])
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(count)] for i in range(count)])
+                c = np.linalg.lstsq(a, np.array([row[f"y{i}"] for i in range(count)]), rcond=None)[0]
+                out += [(*(row[k] for k in keys), n, float(c[n])) for n in range(count)]
+            yield pd.DataFrame(out, columns=[*keys, "term", "coefficient"])
+
+    return sums.mapInPandas(run, ", ".join([*(f"{k} int" for k in keys), "term int", "coefficient double"]))

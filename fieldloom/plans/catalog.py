@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions import bits, metadata
+from fieldloom.functions import bits, kit, metadata
 from fieldloom.operators import predict, sampling, selection, ssim, stats
 from fieldloom.operators.codecs import CODECS
 from fieldloom.operators.surrogates import szp, szx
@@ -887,3 +887,86 @@ def round_trip_2d(spark, d):
 @query(with_sql("cube3d") + TRIPS.format("cube3d"))
 def round_trip_3d(spark, d):
     return _round_trips(spark, d, "cube3d", 3)
+
+
+# --- more of the kit --------------------------------------------------------------------------------------------------
+
+
+@query(with_sql("walk") + f""", n AS (SELECT idx, v, lag(v) OVER (ORDER BY idx) AS b FROM walk), x AS (SELECT idx, xor({UINT.format('v')}, {UINT.format('b')}) AS x, CAST({BITS.format('v')} AS VARCHAR) AS bit_string FROM n WHERE b IS NOT NULL)
+  SELECT idx, CAST(CASE WHEN x = 0 THEN 4 WHEN x >> 8 = 0 THEN 3 WHEN x >> 16 = 0 THEN 2 WHEN x >> 24 = 0 THEN 1 ELSE 0 END AS INTEGER) AS shared, bit_string, true AS restored FROM x""")
+def shared_bytes(spark, d):
+    near = shifted(fixture(spark, d, "walk").cells, {"b": ("v", -1)}).where("b is not null")
+    n = kit.shared_leading_bytes(F.col("b"), F.col("v"))
+    rows = near.withColumn("shared", n).withColumn("rest", kit.strip_shared(F.col("b"), F.col("v")))
+    return rows.select("idx", "shared", kit.bit_string(F.col("v")).alias("bit_string"), (kit.join_shared(F.col("b"), F.col("rest"), F.col("shared")) == F.col("v")).alias("restored"))
+
+
+@query(with_sql("emb2d") + """, n AS (SELECT idx, c0, c1, """ + ", ".join(f"CAST({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER (PARTITION BY c{1 - a} ORDER BY c{a}) AS DOUBLE) AS {'m' if k < 0 else 'p'}{abs(k)}_{a}" for a in (0, 1) for k in (-3, -1, 1, 3)) + """ FROM emb2d)
+  SELECT idx, round(((m1_0 + p1_0) / 2 + (m1_1 + p1_1) / 2) / 2, 5) + 0.0 AS linear2, round(((-m3_0 + 9*m1_0 + 9*p1_0 - p3_0) / 16 + (-m3_1 + 9*m1_1 + 9*p1_1 - p3_1) / 16) / 2, 5) + 0.0 AS cubic2 FROM n""")
+def interp_cross(spark, d):
+    from fieldloom.operators.windows import along
+
+    rows, names = fixture(spark, d, "emb2d").with_coords(), [{}, {}]
+    for a in (0, 1):
+        for k in (-3, -1, 1, 3):
+            name = f"{'m' if k < 0 else 'p'}{abs(k)}"
+            names[a][name] = F.col(f"{name}_{a}")
+            move = F.lag("v", -k) if k < 0 else F.lead("v", k)
+            rows = rows.withColumn(f"{name}_{a}", move.over(along(a, 2)).cast("double"))
+    return rows.select("idx", (F.round(predict.interpolate_cross("linear", names), 5) + 0.0).alias("linear2"), (F.round(predict.interpolate_cross("cubic", names), 5) + 0.0).alias("cubic2"))
+
+
+@query(with_sql("walk") + f""", n AS (SELECT idx, {NEAR} FROM walk), s AS (SELECT *, m1 - m3 AS l, p1 - m1 AS c, p3 - p1 AS r FROM n),
+  w AS (SELECT *, abs(c - l) AS a, abs(r - c) AS b FROM s)
+  SELECT idx, round((m1 + p1) / 2 + (CASE WHEN a + b = 0 THEN (l + c) / 2 ELSE (b * l + a * c) / (a + b) END - CASE WHEN a + b = 0 THEN (c + r) / 2 ELSE (b * c + a * r) / (a + b) END) / 8, 4) AS akima FROM w""")
+def interp_akima(spark, d):
+    names = {n: ("v", k) for n, k in (("m3", -3), ("m1", -1), ("p1", 1), ("p3", 3))}
+    near = shifted(fixture(spark, d, "walk").cells, names)
+    return near.select("idx", F.round(predict.akima(*(F.col(n).cast("double") for n in names)), 4).alias("akima"))
+
+
+@query()
+def quadratic_block_coeffs(spark, d):
+    f = fixture(spark, d, "emb2d")
+    return predict.quadratic_blocks(f.with_coords(), f.dims, 8)
+
+
+@query("SELECT l AS level, round(CASE WHEN l >= 3 THEN 0.005 ELSE 0.01 END, 8) AS by_ratio, round(0.01 / least(pow(1.5, l - 1), 4.0), 8) AS by_power, round(0.01 * greatest(1 - (l - 1) * 0.2, 0.1), 8) AS by_share FROM range(1, 9) t(l)")
+def level_bounds(spark, d):
+    rows = [(l, bits.level_bound(0.01, l), bits.level_bound(0.01, l, 1.5, 4.0), bits.level_bound(0.01, l, 0.2, 0.1)) for l in range(1, 9)]
+    return spark.createDataFrame(rows, "level long, by_ratio double, by_power double, by_share double").select("level", *[F.round(c, 8).alias(c) for c in ("by_ratio", "by_power", "by_share")])
+
+
+@query(with_sql("walk") + ", " + pairs_sql("walk") + """, fix AS (SELECT idx, x - y AS err FROM pairs WHERE abs(x - y) > 0.03) SELECT p.idx, round(y + coalesce(err, 0), 6) AS v FROM pairs p LEFT JOIN fix USING (idx)""")
+def outlier_fix(spark, d):
+    """Sparse corrections on a dense reconstruction."""
+    p = pairs(fixture(spark, d, "walk"))
+    fix = p.where(F.abs(F.col("x") - F.col("y")) > 0.03).select("idx", (F.col("x") - F.col("y")).alias("err"))
+    return p.join(fix, "idx", "left").select("idx", F.round(F.col("y") + F.coalesce("err", F.lit(0.0)), 6).alias("v"))
+
+
+@query()
+def cdf97_energy(spark, d):
+    """How much of each wavelet block's energy its low band keeps."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.operators.codecs import wavelet
+
+    f = fixture(spark, d, "cube3d")
+    members = sampling.sperr_members(f.with_coords(), f.dims, 8).withColumn("block_id", F.col("block_id").cast("long"))
+
+    def run(key, table):
+        a = table.sort_by("pos").column("v").to_numpy().reshape(9, 9, 9)
+        c = wavelet.dwt(a - a.mean())
+        whole = float((c**2).sum())
+        return pa.table({"block_id": [key[0].as_py()], "low_share": [float((c[:5, :5, :5] ** 2).sum()) / whole if whole else 1.0], "inverts": [bool(np.allclose(wavelet.idwt(c), a - a.mean(), atol=1e-6 * max(1.0, abs(a).max())))]})
+
+    return members.groupBy("block_id").applyInArrow(run, "block_id long, low_share double, inverts boolean")
+
+
+@query()
+def search_ssim_cr(spark, d):
+    f = fixture(spark, d, "walk")
+    return selection.choose(f, "ssim_cr", 0.99, ("szx", "szp"), OPTIONS).select("field", "codec", "metric", F.round("value", 6).alias("value"))
+

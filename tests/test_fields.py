@@ -11,9 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import __spark_entry__
-from fieldloom.functions import bits, metadata
+from fieldloom.functions import bits, kit, metadata
 from fieldloom.operators import legacy, sampling, selection, stats
-from fieldloom.operators.codecs import CODECS, packing, transform, wavelet
+from fieldloom.operators.codecs import CODECS, arithmetic, packing, transform, wavelet
 from fieldloom.operators.surrogates import szp, szx
 from fieldloom.plans import catalog
 from fieldloom.sources import config, raw
@@ -69,6 +69,16 @@ def test_codecs_hold_their_bound(name, seed, shape, rel, kind):
 def test_huffman_round_trip(values):
     data = np.array(values, np.int64)
     assert packing.huffman_decode(packing.huffman_encode(data)).tolist() == values
+    assert arithmetic.decode(arithmetic.encode(data)).tolist() == values
+    assert kit.unpack_flags(kit.pack_flags(data > 0), len(data)).tolist() == (data > 0).tolist()
+    assert kit.from_bytes(kit.to_bytes(data), "i8").tolist() == values
+
+
+def test_finest_steps():
+    c = np.random.default_rng(0).normal(size=1000)
+    step = kit.finest_step_psnr(c, 60.0, float(np.ptp(c)))
+    rmse = np.sqrt(np.mean((c - step * np.rint(c / step)) ** 2))
+    assert rmse <= np.ptp(c) * 1e-3 and kit.finest_step_pwe(2.0) == 3.0 and kit.mask_code(5) == 31
 
 
 @settings(max_examples=40, deadline=None)
