@@ -279,11 +279,11 @@ def slow_removed(rows: list[tuple[int | None, bytes]], least: int) -> list[bytes
     return out
 
 
-@pytest.mark.parametrize(("least", "gram"), [(50, 20), (24, 8)])
-def test_substrings(docs, texts, least, gram):
+@pytest.mark.parametrize(("least", "gram", "hot"), [(50, 20, 1000), (24, 8, 1000), (50, 20, 1), (24, 8, 0)])
+def test_substrings(docs, texts, least, gram, hot):
     raw = [(d, (t or "").encode()) for d, t in texts]
     want = Counter((d, len(b), k) for (d, b), k in zip(raw, slow_removed(raw, least), strict=True))
-    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in substrings.dedup(docs, least, gram).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in substrings.dedup(docs, least, gram, hot).collect())
     assert got == want
 
 
