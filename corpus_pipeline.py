@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldloom.llm import decontaminate, mixture, quality, simhash, tokens
 from fieldloom.llm.common import columns_of, cut, ship, table
 
-#: Word shingles and radius of the near-duplicate stage: five words; 3 of 64 bits is where SimHash puts a similarity of 0.8 and more.
-SHINGLE_WORDS, RADIUS = 5, 3
+#: Of the near-duplicate stage: similarity of sets of word shingles, and their words.
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_one(docs, RADIUS, SHINGLE_WORDS)
+    return simhash.keep_one(docs, SIMILARITY, SHINGLE_WORDS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

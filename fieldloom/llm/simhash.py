@@ -6,6 +6,8 @@ packed plane for each bit position) and all pairs at one lag of the sorted bucke
 XORed planes are added into carry-save counters, and a lag is abandoned when every pair in it has exceeded the
 radius.  A bucket emits a spanning forest of its links, never all pairs.
 
+similar() and keep_one() compare sets of five-word shingles for a similarity, by longer fingerprints; see there.
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other;
 repeated rows share a component; a null doc_id never names a component; no rows give no rows; further columns of
 the input are ignored.
@@ -13,6 +15,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -94,15 +97,21 @@ def within(planes: list[np.ndarray], live: np.ndarray, radius: int) -> np.ndarra
     return ~over & ~above
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (src, dst) that span the pairs within the radius among distinct rows sorted by key."""
+def forest(keys: np.ndarray, fps: np.ndarray, radius: int, names: np.ndarray | None = None, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (src, dst) that span the pairs within the radius among distinct rows sorted by key.
+
+    names: what to give for a row instead of its fingerprint.  wide: longer fingerprints, rows of words, that a pair
+    within the radius has to hold as well, within wide_radius.
+    """
+    names = fps if names is None else names
     src, dst = [], []
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     power = np.frexp(lengths)[1]  # runs of like length go together, so that few lags are wasted
     for p in np.unique(power[lengths > 1]):
         own = np.repeat(power, lengths) == p
-        k, f = keys[own], fps[own]
+        k, f, called = keys[own], fps[own], names[own]
+        long = None if wide is None else wide[own]
         parent = np.arange(len(k))
         bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
         shifted: dict[int, np.ndarray] = {r: np.packbits(bits[:, r:], axis=1) for r in range(8)}
@@ -115,6 +124,8 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
             near = within([shifted[0][b, :n] ^ shifted[r][b, q : q + n] for b in range(BITS)], live, radius)
             hit = np.flatnonzero(np.unpackbits(near, count=len(same)))
             hit = hit[parent[hit] != parent[hit + lag]]
+            if long is not None and len(hit):
+                hit = hit[np.bitwise_count(long[hit] ^ long[hit + lag]).sum(axis=1) <= wide_radius]
             if not len(hit):
                 continue
             for i in hit.tolist():
@@ -128,9 +139,9 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
             while (parent != parent[parent]).any():
                 parent = parent[parent]
         linked = np.flatnonzero(parent != np.arange(len(k)))
-        src.append(f[linked])
-        dst.append(f[parent[linked]])
-    return (np.concatenate(src), np.concatenate(dst)) if src else (fps[:0], fps[:0])
+        src.append(called[linked])
+        dst.append(called[parent[linked]])
+    return (np.concatenate(src), np.concatenate(dst)) if src else (names[:0], names[:0])
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -166,21 +177,112 @@ def components(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) ->
     return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
-    """docs without all but one document of each component; the one with the smallest doc_id stays.
+WORDS, WIDE_WORDS, KEYS, SIMILARITY = 5, 8, 8, 0.8
+STEPS = np.array([(0x9E3779B97F4A7C15 * i) & (2**64 - 1) for i in range(16)], np.uint64)
+
 
-    Rows without a doc_id stay only where no row with one is in their component, one of them for each fingerprint.
+def radii(similarity: float, wide_words: int = WIDE_WORDS) -> tuple[int, int]:
+    """Radii over the first 64 bits and over all that pairs of a similarity keep within.
+
+    Sets of equal size and Jaccard similarity j have cosine 2 j / (1 + j); each bit differs with probability
+    arccos(cosine) / pi.  The short radius leaves three deviations more, the long one a bit over one.
     """
-    found = cut(components(docs, radius, words_per_shingle), "simhash-kept")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    long = BITS * wide_words
+    return (math.ceil(BITS * share + 3.3 * math.sqrt(BITS * share * (1 - share))), math.ceil(long * share + 1.3 * math.sqrt(long * share * (1 - share))))
+
+
+def sketch(text: bytes, words_per_shingle: int, wide_words: int, keys: int) -> tuple[int, int, bytes, list[int]]:
+    """(two digests of the set of shingles, its long SimHash, its smallest hashes)."""
+    import xxhash
+
+    words, k = text.lower().split(), words_per_shingle
+    line = b" ".join(words)
+    at = [n + i for i, n in enumerate(accumulate(map(len, words), initial=0))]
+    shingles = {line[a : b - 1] for a, b in zip(at, at[k:], strict=False)} if len(words) > k else {line}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    ones = np.zeros(BITS * wide_words, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        for part in range(0, len(h), 4096):
+            rows = h[part : part + 4096, None] + STEPS[None, :wide_words]
+            rows = (rows ^ (rows >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+            rows ^= rows >> np.uint64(31)
+            ones += np.add.reduce(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+        low = np.sort(np.partition(mixed, keys)[:keys] if len(mixed) > keys else mixed)
+        first, second = int(h.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed))
+    return first, second, np.packbits(2 * ones > len(h), bitorder="little").tobytes(), low.view(np.int64).tolist()
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS, wide_words: int = WIDE_WORDS, keys: int = KEYS) -> DataFrame:
+    """(doc_id, set_a, set_b, component_id): texts whose sets of shingles have a similarity of about ``similarity`` or more.
+
+    64 bits within a few do not reach down to a similarity of 0.8, so fingerprints have 64 * wide_words bits here, and two
+    texts meet if they share one of the ``keys`` smallest of their hashes (similar sets miss with probability
+    (1 - similarity) ** keys).  There the first 64 bit planes are compared bit-sliced, and who is near in them by all bits.
+    Texts with one set of shingles are one from the start; every bucket emits a spanning forest.
+    """
+    short, long = radii(similarity, wide_words)
+    schema = "doc_id long, set_a long, set_b long, fp binary, keys array<long>"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch((t.as_py() or "").encode(), words_per_shingle, wide_words, keys) for t in batch.column(1)]
+            first, second, prints, lows = zip(*found, strict=True) if found else ((), (), (), ())
+            digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *digests, pa.array(prints, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "fp", "keys"])
+
+    seen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, schema), "sketches")
+    sets = seen.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    sets = cut(sets, "sketch-sets")
+    keyed = sets.where("first_id is not null").select(F.explode("keys").alias("k"), "first_id", "fp").repartition("k").sortWithinPartitions("k", "first_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(k: np.ndarray, ids: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+            wide = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), wide_words)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(k, wide[:, 0].view(np.int64).copy(), short, ids, wide, long)], ["src", "dst"])
+
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
+            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < 100_000:
+                continue
+            k, ids, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]]
+            end = int(np.searchsorted(k, k[-1]))
+            held = [(k[end:], ids[end:], raw[end:])]
+            yield out(k[:end], ids[:end], raw[:end])
+        if held:
+            yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]])
+
+    label = connected_components(keyed.mapInArrow(compare, "src long, dst long"))
+    named = sets.select("set_a", "set_b", "first_id").join(label.withColumnRenamed("node", "first_id"), "first_id", "left")
+    named = named.select("set_a", "set_b", F.coalesce("label", "first_id").alias("component_id"))
+    return seen.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "set_a", "set_b", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS) -> DataFrame:
+    """docs without all but one document of each group of similar texts; the one with the smallest doc_id stays.
+
+    Rows without a doc_id stay only where no row with one has their set of shingles, one of them for each set.
+    """
+    found = cut(similar(docs, similarity, words_per_shingle), "simhash-kept")
     firsts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(firsts.select("doc_id"), "doc_id", "left_semi")
     if firsts.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     if found.where("component_id is null").limit(1).count():
-        alone = found.where("component_id is null").select("fp").distinct()
+        alone = found.where("component_id is null").select("set_a", "set_b").distinct()
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [sketch((t.as_py() or "").encode(), words_per_shingle, 1, 1)[:2] for t in batch.column(1)]
+                columns = [pa.array(np.array([x[i] for x in sets], np.uint64).view(np.int64)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "set_a", "set_b"])
+
         bare = docs.where("doc_id is null")
-        marked = fingerprints(bare.select(F.xxhash64(text_key()).alias("doc_id"), "text"), words_per_shingle).join(alone, "fp", "left_semi")
-        pick = marked.groupBy("fp").agg(F.min("doc_id").alias("key")).select("key")
+        marked = bare.select(F.xxhash64(text_key()).alias("key"), "text").mapInArrow(read, "key long, set_a long, set_b long")
+        pick = marked.join(alone, ["set_a", "set_b"], "left_semi").groupBy("set_a", "set_b").agg(F.min("key").alias("key")).select("key")
         held = bare.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(text_key()).alias("key"))
         kept = kept.unionByName(held.join(pick, "key", "left_semi").dropDuplicates(["key"]).select("row.*"))
     return kept.select(*columns_of(docs))

@@ -98,7 +98,7 @@ def test_components_of_long_chains(spark):
 
 
 def test_keep_one(docs, texts):
-    kept = simhash.keep_one(docs, 3, 5)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
     assert ids[0] == 1 and not ids[40] and not ids[41] and ids[53] == 1 or ids[7] == 1
@@ -106,6 +106,25 @@ def test_keep_one(docs, texts):
     assert all(n == 1 for d, n in ids.items())
 
 
+def test_similar_sets_group(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(4)
+    rows, base = [], [prose(rng, 200).split() for _ in range(60)]
+    for i, words in enumerate(base):
+        rows.append((i, " ".join(words)))
+        near = list(words)
+        for at in rng.sample(range(10, 190), 1 + i % 3):  # each change costs five shingles of either side
+            near[at] = "changed"
+        rows.append((100 + i, " ".join(near)))
+        rows.append((200 + i, " ".join(words[:60] + prose(rng, 140).split())))  # a passage in common is not a copy
+    rows += [(300, rows[0][1].encode().upper().decode()), (301, "")]
+    got = {d: c for d, _, _, c in rows_of(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[300] == 0 and got[301] == 301
+    assert all(got[100 + i] == i for i in range(60))
+    assert all(got[200 + i] == 200 + i for i in range(60))
+
+
 # --- search -----------------------------------------------------------------------------------------------------------
 
 
