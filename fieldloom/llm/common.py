@@ -71,10 +71,29 @@ def columns_of(df: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back to the system at the end of a task: Python workers live on between stages."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def keep_rows(df: DataFrame, keep: Callable[[Iterator], Iterator]) -> DataFrame:
     """df with the batches that keep passes on; keep gets columns by place, as any name may occur."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*df.columns)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import keep_rows
+from fieldloom.llm.common import keep_rows, tidy
 
 TRAIN_DOCS = 4000
 THRESHOLD = 0.7
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *[pa.array(r, pa.binary()) for r in rows]], ["doc_id", "y", "x", "length"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = base.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary, length binary")
+    sample = base.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(tidy(run), "doc_id long, y int, x binary, length binary")
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     n = PLAIN * 3 + 4
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, n) for r in got]
@@ -250,7 +250,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             found = field.score([(t.as_py() or "").encode() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import columns_of, connected_components, cut
+from fieldloom.llm.common import columns_of, connected_components, cut, tidy
 
 BITS = 64
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
             found = [fingerprint((t.as_py() or "").encode(), words_per_shingle, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bucket_keys(fp: str, radius: int) -> list[Column]:
@@ -233,7 +233,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle:
             digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *digests, pa.array(prints, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "fp", "keys"])
 
-    seen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(read, schema), "sketches")
+    seen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(read), schema), "sketches")
     sets = seen.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     sets = cut(sets, "sketch-sets")
     keyed = sets.where("first_id is not null").select(F.explode("keys").alias("k"), "first_id", "fp").repartition("k").sortWithinPartitions("k", "first_id")
@@ -246,7 +246,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle:
         held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
-            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < 100_000:
+            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < 50_000:
                 continue
             k, ids, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]]
             end = int(np.searchsorted(k, k[-1]))
@@ -255,7 +255,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle:
         if held:
             yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]])
 
-    label = connected_components(keyed.mapInArrow(compare, "src long, dst long"))
+    label = connected_components(keyed.mapInArrow(tidy(compare), "src long, dst long"))
     named = sets.select("set_a", "set_b", "first_id").join(label.withColumnRenamed("node", "first_id"), "first_id", "left")
     named = named.select("set_a", "set_b", F.coalesce("label", "first_id").alias("component_id"))
     return seen.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "set_a", "set_b", "component_id")

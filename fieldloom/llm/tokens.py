@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import cut
+from fieldloom.llm.common import cut, tidy
 
 MAGIC, VERSION, HEADER = b"FLTK", 1, struct.Struct("<4sHHQIIII")
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 4096, 128
-BATCH_CHARS = 1_500_000  # of texts encoded together
-CACHED_PIECES = 1_000_000  # about 60 MB a worker
+BATCH_CHARS = 800_000  # of texts encoded together
+CACHED_PIECES = 600_000  # about 40 MB a worker
 
 
 class FrequencyTable:
@@ -312,7 +312,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int)
 
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     dealt = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    coded = dealt.mapInArrow(run, "doc_id long, ordinal long, ids binary, counts binary")
+    coded = dealt.mapInArrow(tidy(run), "doc_id long, ordinal long, ids binary, counts binary")
     return coded.select(F.spark_partition_id().alias("shard"), "ordinal", "doc_id", "ids", "counts")
 
 
@@ -357,7 +357,7 @@ def encode_frames(ids: DataFrame, table: FrequencyTable, kind: str) -> DataFrame
             yield out()
 
     schema = "shard int, first long, doc_ids array<long>, lengths array<long>, n_tokens long, payload binary"
-    return ids.where("ordinal >= 0").select("shard", "ordinal", "doc_id", "ids").mapInArrow(run, schema)
+    return ids.where("ordinal >= 0").select("shard", "ordinal", "doc_id", "ids").mapInArrow(tidy(run), schema)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[DataFrame, FrequencyTable]:
@@ -384,7 +384,7 @@ def read(frames: DataFrame, table: FrequencyTable) -> DataFrame:
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([first] * n, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - np.array(lengths)), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["shard", "first", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    each = frames.select("shard", "first", "doc_ids", "lengths", "payload").mapInArrow(run, "shard int, first long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    each = frames.select("shard", "first", "doc_ids", "lengths", "payload").mapInArrow(tidy(run), "shard int, first long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     size = frames.select("shard", "first", "n_tokens")
     shards = size.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row for each task that wrote
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
