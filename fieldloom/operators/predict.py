@@ -64,7 +64,7 @@ def code_histogram(codes: DataFrame) -> DataFrame:
 
 def entropy(histogram: DataFrame, zero: int = RADIUS) -> DataFrame:
     """Expected bits a value: -log2 p each; under one bit: 1 at the zero bin, 2.5 next to it, 4 elsewhere; code 0 takes 32."""
-    rows = histogram.crossJoin(F.broadcast(histogram.agg(F.sum("cnt").alias("total"))))
+    rows = histogram.withColumn("total", histogram.agg(F.sum("cnt")).scalar())
     p = F.col("cnt") / F.col("total")
     bit = -F.log2(p)
     near = F.when(F.col("code") == zero, F.lit(1.0)).when(F.abs(F.col("code") - zero) == 1, F.lit(2.5)).otherwise(F.lit(4.0))
@@ -190,7 +190,7 @@ def best_predictor(errors: DataFrame, rank: int) -> DataFrame:
 def quantization_intervals(errors: DataFrame, eb: float, share: float = 0.999, most: int = 65536) -> DataFrame:
     """Intervals so that the share of absolute errors fits, a power of two, at least 32; errors: a column err."""
     rows = errors.select(F.least(F.floor((F.col("err") / eb + 1) / 2).cast("long"), F.lit(most - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("cnt"))
-    cumulative = rows.withColumn("upto", F.sum("cnt").over(Window.orderBy("bin"))).crossJoin(F.broadcast(rows.agg(F.sum("cnt").alias("total"))))
+    cumulative = rows.withColumn("upto", F.sum("cnt").over(Window.orderBy("bin"))).withColumn("total", rows.agg(F.sum("cnt")).scalar())
     first = cumulative.where(F.col("upto") > F.col("total") * share).agg(F.coalesce(F.min("bin"), F.lit(most - 1)).alias("bin"))
     needed = 2 * (F.col("bin") + 1)
     return first.select("bin", F.greatest(F.lit(32), F.pow(F.lit(2.0), F.ceil(F.log2(needed.cast("double")))).cast("long")).cast("long").alias("intervals"))

@@ -34,7 +34,7 @@ def components(field: Field, eb: float, stride: int = STRIDE) -> DataFrame:
     before = F.lag("bits", 1, 0).over(Window.partitionBy("block_id").orderBy("pos"))
     lead = moved.select(F.least(leading_bytes(F.col("bits").bitwiseXOR(before)), F.col("bytes")).alias("lead")).agg(F.coalesce(F.sum("lead"), F.lit(0)).alias("lead_bytes"))
     whole = b.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.col("constant").cast("long")), F.lit(0)).alias("constant_blocks"), F.coalesce(F.sum(F.when(~F.col("constant"), F.col("bytes").cast("long"))), F.lit(0)).alias("req_bytes"))
-    return whole.crossJoin(F.broadcast(lead))
+    return whole.withColumn("lead_bytes", lead.scalar())
 
 
 def cr(field: Field, eb: float, stride: int = STRIDE) -> DataFrame:
