@@ -40,8 +40,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     else:
         given = [F.when(F.col("source") == F.lit(k), F.lit(float(v))) for k, v in weights.items()]
         size = size.withColumn("w", F.coalesce(*given, F.lit(0.0)))
-    whole = size.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    rate = size.crossJoin(F.broadcast(whole)).where("all_w > 0").select("source", (F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(float(total)) / F.col("n")).alias("rate"))
+    all_w, all_n = size.agg(F.sum("w")).scalar(), size.agg(F.sum("n")).scalar()
+    rate = size.where(all_w > 0).select("source", (F.col("w") / all_w * all_n * F.lit(float(total)) / F.col("n")).alias("rate"))
     # log terms keep large rates from underflow; the tail beyond rate + 12 deviations + 40 is below 1e-30
     cdf = """
         transform(slice(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 40) as int)),
