@@ -488,6 +488,20 @@ def test_passages(spark):
     assert long[2] - long[1] >= 75
 
 
+def test_passages_with_scattered_partners(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    shared = prose(rng, 60).split()
+    rows = [(500, prose(rng, 60) + " " + " ".join(shared)), (900, " ".join(shared) + " " + prose(rng, 60))]
+    for i in range(54):  # every seed of 900 has another smallest and another next smaller document
+        for low in (0, 600):
+            rows.append((low + i, prose(rng, 40) + " " + " ".join(shared[i : i + 7]) + " " + prose(rng, 40)))
+    got = rows_of(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert [(g[0], g[3]) for g in got] == [(900, 500)]
+    assert got[0][2] - got[0][1] == 60
+
+
 def slow_chain(fragments) -> float:
     """Best chain score by looking at all pairs."""
     f = sorted(map(tuple, fragments.tolist()))
