@@ -502,6 +502,19 @@ def test_passages_with_scattered_partners(spark):
     assert got[0][2] - got[0][1] == 60
 
 
+def test_passages_with_many_edits(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        shared = prose(rng, 120).split()
+        edited = [f"x{rng.randrange(10**9)}" if j % 6 == 5 else w for j, w in enumerate(shared)]  # no six words in a row stay
+        rows += [(i, prose(rng, 60) + " " + " ".join(shared)), (100 + i, prose(rng, 70) + " " + " ".join(edited) + " " + prose(rng, 50))]
+    got = rows_of(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {(g[0], g[3]) for g in got} == {(100 + i, i) for i in range(40)}
+
+
 def slow_chain(fragments) -> float:
     """Best chain score by looking at all pairs."""
     f = sorted(map(tuple, fragments.tolist()))
