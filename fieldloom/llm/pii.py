@@ -7,6 +7,8 @@ Matches of one kind never overlap; a parser that reads a candidate consumes it e
 Kinds, in the order of the listing: email, ip, card, phone (the base kinds), then account (IBANs with a right check
 sum, and identifiers after an account cue), secret (credentials after a cue) and url (scheme, host and what follows).
 
+Every expansion is bounded or consumes what it has read, so a text takes time in proportion to its length.
+
 Defined results: a null or empty text has no spans; repeated rows repeat; no rows give no rows; other columns are
 left out.  Positions are code points.
 """
@@ -36,7 +38,7 @@ RUN = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id))?\x20?[:=#]?\x20?[\"']?((?=[A-Za-z0-9-]*[0-9]{4})[A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
+ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id))?\x20?[:=#]?\x20?[\"']?((?=[A-Za-z0-9-]{0,30}[0-9]{4})[A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
 SECRET = re.compile(r"[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9_+/.=-]{12,})")
 REST_OF_URL = re.compile(r"[^\s<>\"'`|\\^{}]+")
 
