@@ -13,7 +13,7 @@ along, except ones named like the three this operator adds (copy, copies, shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut
@@ -42,15 +42,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         size = size.withColumn("w", F.coalesce(*given, F.lit(0.0)))
     all_w, all_n = size.agg(F.sum("w")).scalar(), size.agg(F.sum("n")).scalar()
     rate = size.where(all_w > 0).select("source", (F.col("w") / all_w * all_n * F.lit(float(total)) / F.col("n")).alias("rate"))
-    # log terms keep large rates from underflow; the tail beyond rate + 12 deviations + 40 is below 1e-30
-    cdf = """
-        transform(slice(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 40) as int)),
-            named_struct('term', -rate, 'sum', exp(-rate), 'all', array(exp(-rate))),
-            (a, k) -> named_struct('term', a.term + ln(rate) - ln(k),
-                                   'sum', a.sum + exp(a.term + ln(rate) - ln(k)),
-                                   'all', concat(a.all, array(a.sum + exp(a.term + ln(rate) - ln(k)))))).all,
-            1, 100000000), x -> least(x, 1D))"""
-    return rate.where("rate > 0").withColumn("cdf", F.expr(cdf))
+    # Running sums of logs keep large rates from underflow; the tail beyond rate + 12 deviations + 40 is below 1e-30.
+    step = rate.where("rate > 0").withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 40) as int))")))
+    so_far = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    term = F.sum(F.when(F.col("k") > 0, F.log("rate") - F.log("k")).otherwise(-F.col("rate"))).over(so_far)
+    steps = step.select("source", "rate", "k", term.alias("term")).withColumn("sum", F.sum(F.exp("term")).over(so_far))
+    cdf = F.sort_array(F.collect_list(F.struct("k", F.least(F.col("sum"), F.lit(1.0)).alias("sum"))))
+    return steps.groupBy("source", "rate").agg(cdf.getField("sum").alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: str = "mix", deal: bool = True) -> DataFrame:
@@ -64,7 +62,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     counted = drawn.select("row", F.size(F.filter("cdf", lambda c: c < F.col("u"))).alias("copies")).where("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keyed = copied.select("row.*", "copies", "copy", unit(seed + "-order", F.col("row.doc_id"), F.col("copy")).alias("shuffle_key"))
-    return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if deal else keyed
+    if not deal:
+        return keyed
+    # the key is uniform, so its ranges are known without a sample, and the rows are drawn once
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartitionById(parts, F.least(F.floor(F.col("shuffle_key") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir):
