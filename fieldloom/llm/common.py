@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -41,29 +42,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    There is no other choice: a folder of the driver's machine would be another one on each executor.
+    """
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":  # driver and executor are one process
+        own = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+        spark.conf.set("spark.checkpoint.dir", own)
+        return own
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+_cuts: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _cuts[back] = path
+    return back
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what cut() wrote, once nothing reads it any more; df is the very frame that cut() gave."""
+    spark, path = df.sparkSession, _cuts.pop(df)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def columns_of(df: DataFrame) -> list:

@@ -1,46 +1,62 @@
 """Token ids as files: interleaved static range asymmetric numeral coding under one shared frequency table.
 
-Format.  A dataset is a folder of frames and one frequency table.  A frame is a row (shard, first, doc_ids, lengths,
+Format.  A dataset is a folder that needs nothing else to be read: ``table`` holds one row (version, vocabulary, scale,
+end_id, ids, frequencies, checksum) and ``frames`` the code, both Parquet.  A frame is a row (shard, first, doc_ids, lengths,
 n_tokens, payload): the documents it holds in order, their token counts, and a payload that can be decoded on its own:
   header    '<4sHHQIIII': magic, version, log2 of the table's total, tokens, lanes, steps between checkpoints,
             checkpoints, 32-bit words
   points    for each checkpoint, the word offset (u64) and the lanes' states (u64 each); decoding may start at any
   words     the code, u32
   checksum  crc32 of all before it
-Token i of a frame belongs to lane i mod lanes.  Shards are ranges of doc_id, ascending; frames ascend in a shard by
-first, the number of documents before them in the shard.
+Token i of a frame belongs to lane i mod lanes.  Shards are ranges of the order, ascending; frames ascend in a shard by
+first, the number of documents before them in the shard.  read() decodes frames in parallel, each from its first checkpoint;
+decode_frame() starts at any.
 
-Defined results: a null text counts as empty, and an empty text is its end id alone; rows of one doc_id stand next to
-each other, ordered by a digest of their text; null doc_ids come first; no rows give no frames; other columns are left out.
+Defined results: a null text counts as empty, and an empty text is its end id alone; without an order given, rows of one doc_id
+stand next to each other, ordered by a digest of their text, and null doc_ids come first; no rows give no frames and an empty
+table; other columns are left out.  Special tokens count as such in their own letter case only, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import cut, tidy
+from fieldloom.llm.common import cut, drop_cut, shared_dir, tidy
 
 MAGIC, VERSION, HEADER = b"FLTK", 1, struct.Struct("<4sHHQIIII")
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 FRAME_TOKENS, LANES, POINT_STEPS = 1 << 20, 4096, 128
+FRAME_SCHEMA = "shard int, first long, doc_ids array<long>, lengths array<long>, n_tokens long, payload binary"
+TABLE_SCHEMA = "version int, vocabulary long, scale int, end_id long, ids binary, frequencies binary, checksum long"
 BATCH_CHARS = 800_000  # of texts encoded together
 CACHED_PIECES = 600_000  # about 40 MB a worker
 
 
 class FrequencyTable:
-    """Counts of all ids scaled to a power of two; every id that occurs has at least one slot."""
+    """How many of the 2^scale slots each id has."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, vocabulary: int):
-        self.scale = max(12, int(len(ids)).bit_length() + 4)
-        total = 1 << self.scale
+    def __init__(self, ids: np.ndarray, freq: np.ndarray, vocabulary: int, scale: int):
+        self.scale = scale
+        self.freq = np.zeros(vocabulary, np.uint64)
+        self.freq[ids] = freq
+        self.start = np.zeros(vocabulary, np.uint64)
+        self.start[1:] = np.cumsum(self.freq)[:-1]
+        self.slots: np.ndarray | None = None
+
+    @classmethod
+    def of_counts(cls, ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> FrequencyTable:
+        """Counts scaled to a power of two; every id that occurs has at least one slot."""
+        scale = max(12, int(len(ids)).bit_length() + 4)
+        total = 1 << scale
         freq = np.maximum(1, np.floor(counts * (total / max(1, counts.sum()))).astype(np.int64))
         order = np.argsort(-freq, kind="stable")
         while (over := int(freq.sum() - total)) > 0:  # only the clamped ones can push it over
@@ -49,11 +65,21 @@ class FrequencyTable:
             freq[order] -= take
         if len(freq):
             freq[order[0]] += total - freq.sum()
-        self.freq = np.zeros(vocabulary, np.uint64)
-        self.freq[ids] = freq
-        self.start = np.zeros(vocabulary, np.uint64)
-        self.start[1:] = np.cumsum(self.freq)[:-1]
-        self.slots: np.ndarray | None = None
+        return cls(ids, freq, vocabulary, scale)
+
+    def pack(self) -> tuple[int, int, int, bytes, bytes, int]:
+        """(version, vocabulary, scale, ids u32, frequencies u32, crc32 of the five before)."""
+        ids = np.flatnonzero(self.freq).astype("<u4")
+        parts = VERSION, len(self.freq), self.scale, ids.tobytes(), self.freq[ids].astype("<u4").tobytes()
+        return *parts, zlib.crc32(struct.pack("<IQI", *parts[:3]) + parts[3] + parts[4])
+
+    @classmethod
+    def unpack(cls, version: int, vocabulary: int, scale: int, ids: bytes, freq: bytes, checksum: int) -> FrequencyTable:
+        if version != VERSION:
+            raise ValueError(f"token files of version {version}; this reads {VERSION}")
+        if zlib.crc32(struct.pack("<IQI", version, vocabulary, scale) + ids + freq) != checksum:
+            raise ValueError("the table's checksum doesn't hold")
+        return cls(np.frombuffer(ids, "<u4"), np.frombuffer(freq, "<u4"), vocabulary, scale)
 
     def symbol_of_slot(self) -> np.ndarray:
         if self.slots is None:
@@ -123,7 +149,8 @@ class Encoder:
 
     Only for tokenizers that fold case and whose ids never depend on what stands beyond white space.  Words are runs between
     ASCII white space, without the signs that follow their last letter or digit, which the tokenizer splits off too; those of a batch are told apart by their bytes in NumPy, so only distinct ones are looked up, in a bounded memory of
-    words that outlives the batch, and only new ones are encoded.  A text with a special token goes to the tokenizer whole.
+    words that outlives the batch, and only new ones are encoded.  A text with a special token, in whatever letter case, goes to the
+    tokenizer whole, for only the tokenizer tells the token from its look-alikes.
     """
 
     TAIL = b".,;:!?*#%$&)"  # signs that stand as one run after a word
@@ -137,7 +164,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.forget()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends_word = np.zeros(size, bool)
@@ -250,8 +277,11 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, ids of each text)."""
-        whole = {i: self.ids(t) for i, t in enumerate(texts) if any(c in t for c in self.special)}
-        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        raw = [t.encode() for t in texts]
+        joined, whole = b"\n".join(raw).lower(), {}
+        if any(c in joined for c in self.special):
+            whole = {i: self.ids(t) for i, t in enumerate(texts) if any(c in raw[i].lower() for c in self.special)}
+            raw = [b"" if i in whole else r for i, r in enumerate(raw)]
         data = b"\n".join([b"", *raw, bytes(self.WIDE + 8)])
         if not self.cased:
             data = data.lower()
@@ -286,8 +316,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int) -> DataFrame:
-    """(shard, ordinal, doc_id, ids binary, counts binary), ordered by doc_id over the shards; a row of ordinal -1 has counts of ids."""
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, order: Sequence[Column] = ()) -> DataFrame:
+    """(shard, ordinal, doc_id, ids binary, counts binary), in order over the shards; a row of ordinal -1 has counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, counts = 0, None
@@ -310,8 +340,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int)
         if counts is not None:  # how often the task has seen each id
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()])], ["doc_id", "ordinal", "ids", "counts"])
 
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    dealt = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    keys = list(order) or [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    named = [f"order{i}" for i in range(len(keys))]
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *[k.alias(n) for k, n in zip(keys, named, strict=True)])
+    dealt = base.repartitionByRange(*named).sortWithinPartitions(*named).select("doc_id", "text")
     coded = dealt.mapInArrow(tidy(run), "doc_id long, ordinal long, ids binary, counts binary")
     return coded.select(F.spark_partition_id().alias("shard"), "ordinal", "doc_id", "ids", "counts")
 
@@ -356,23 +388,55 @@ def encode_frames(ids: DataFrame, table: FrequencyTable, kind: str) -> DataFrame
         if held:
             yield out()
 
-    schema = "shard int, first long, doc_ids array<long>, lengths array<long>, n_tokens long, payload binary"
-    return ids.where("ordinal >= 0").select("shard", "ordinal", "doc_id", "ids").mapInArrow(tidy(run), schema)
+    return ids.where("ordinal >= 0").select("shard", "ordinal", "doc_id", "ids").mapInArrow(tidy(run), FRAME_SCHEMA)
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[DataFrame, FrequencyTable]:
-    """Write the frames to the shared folder; gives them as read from there, and their table."""
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, order: Sequence[Column] = ()) -> None:
+    """Write docs to token files at path: in the given order of columns, or by doc_id."""
     from tokenizers import Tokenizer
 
+    spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    ids = cut(tokenize(docs, tokenizer_path, end_id, vocabulary), "token-ids")
-    table = FrequencyTable(*count_ids(ids, vocabulary), vocabulary)
-    return cut(encode_frames(ids, table, kind), "token-frames"), table
+    ids = cut(tokenize(docs, tokenizer_path, end_id, vocabulary, order), "token-ids")
+    table = FrequencyTable.of_counts(*count_ids(ids, vocabulary), vocabulary)
+    version, size, scale, found, freq, checksum = table.pack()
+    row = (version, size, scale, end_id, bytearray(found), bytearray(freq), checksum)
+    spark.createDataFrame([row], TABLE_SCHEMA).coalesce(1).write.parquet(f"{path}/table")
+    encode_frames(ids, table, kind).write.option("compression", "zstd").parquet(f"{path}/frames")
+    drop_cut(ids)
+
+
+def read_table(spark: SparkSession, path: str) -> FrequencyTable:
+    rows = spark.read.schema(TABLE_SCHEMA).parquet(f"{path}/table").collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds {len(rows)} tables instead of one")
+    own = rows[0]
+    return FrequencyTable.unpack(own["version"], own["vocabulary"], own["scale"], bytes(own["ids"]), bytes(own["frequencies"]), own["checksum"])
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, first, inside, doc_id, ids array<int>) of every document in the token files at path."""
+    table = read_table(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, first, doc_ids, lengths, payload = (batch.column(c)[i].as_py() for c in range(5))
+                data, ends = decode_frame(payload, table).astype(np.int32), np.r_[0, np.cumsum(lengths)].astype(np.int32)
+                n = len(doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([first] * n, pa.int64()), pa.array(ends[:-1].astype(np.int64)), pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(data))], ["shard", "first", "inside", "doc_id", "ids"])
+
+    return frames_at(spark, path).mapInArrow(tidy(run), "shard int, first long, inside long, doc_id long, ids array<int>")
+
+
+def frames_at(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FRAME_SCHEMA).parquet(f"{path}/frames").select("shard", "first", "doc_ids", "lengths", "payload")
 
 
-def read(frames: DataFrame, table: FrequencyTable) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the frames."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the token files at path alone."""
+    table = read_table(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,8 +448,8 @@ def read(frames: DataFrame, table: FrequencyTable) -> DataFrame:
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([first] * n, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - np.array(lengths)), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["shard", "first", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    each = frames.select("shard", "first", "doc_ids", "lengths", "payload").mapInArrow(tidy(run), "shard int, first long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    size = frames.select("shard", "first", "n_tokens")
+    each = frames_at(spark, path).mapInArrow(tidy(run), "shard int, first long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    size = spark.read.schema(FRAME_SCHEMA).parquet(f"{path}/frames").select("shard", "first", "n_tokens")
     shards = size.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row for each task that wrote
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     inner = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("first")) - F.col("n_tokens")
@@ -393,12 +457,15 @@ def read(frames: DataFrame, table: FrequencyTable) -> DataFrame:
     return each.join(starts, ["shard", "first"]).select("doc_id", (F.col("shard_start") + F.col("frame_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_table(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, end_id: int = 2, order: Sequence[Column] = ()) -> DataFrame:
+    """Write docs to token files and read them back; without a path they go to the shared folder."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    return read(*write(docs, tokenizer_path, end_id))
+    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    write(docs, path, tokenizer_path, end_id, order)
+    return read(docs.sparkSession, path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, mixture, passages, pii, quality, search, simhash, substrings, tokens, urlfilter
 from fieldloom.llm.common import connected_components
@@ -371,6 +372,15 @@ def test_added_spans():
     assert "account" in found and pii.iban_holds("GB82 WEST 1234 5698 7654 32") and not pii.iban_holds("GB83 WEST 1234 5698 7654 32")
 
 
+@pytest.mark.parametrize("cue", ["account", "acct ", "token", "token=", "password:", "a@", "+1 ", "1.", "1", "://", "x://", "IBAN DE11 ", "a.", "+(", "1 1-"])
+def test_pii_takes_time_in_proportion(cue):
+    import time
+
+    text, start = cue * (1_000_000 // len(cue)), time.process_time()
+    pii.spans(text, pii.anchors())
+    assert time.process_time() - start < 10  # a quadratic reading of a megabyte takes half an hour
+
+
 def test_pii_rows(docs, texts):
     got = {(r["doc_id"], r["base_sha256"]) for r in pii.find(docs).collect()}
     assert got == {(d, hashlib.sha256(",".join(slow_spans(t or "")).encode()).hexdigest()) for d, t in texts}
@@ -416,6 +426,16 @@ def test_mixture(spark, docs):
         assert {c for _, c in copies} == set(range(1, n + 1)) and len({m for m, _ in copies}) == 1
 
 
+def test_poisson_counts_at_large_rates(spark):
+    row = spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string")
+    got = mixture.rates(row, {"s": 1.0}, total=30000.0).first()
+    assert got["rate"] == 30000.0 and got["cdf"] == sorted(got["cdf"]) and got["cdf"][-1] > 1 - 1e-9
+    assert abs(got["cdf"][30000] - 0.5) < 0.01 and got["cdf"][0] == 0
+    odd = spark.createDataFrame([(None, "x", None), (2, None, "s"), (2, None, "s")], "doc_id long, text string, source string")
+    counts = Counter((r["doc_id"], r["source"]) for r in mixture.mix(odd, total=60.0).collect())
+    assert counts[None, None] > 20 and counts[2, "s"] > 40 and counts[2, "s"] % 2 == 0
+
+
 def test_poisson_means_and_weights(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "'t' as text", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' else 'c' end as source")
     count = {r["source"]: r["count"] for r in mixture.mix(docs, {"a": 3.0, "b": 1.0}, total=2.0).groupBy("source").count().collect()}
@@ -432,7 +452,7 @@ def test_poisson_means_and_weights(spark):
 def test_frames_round_trip(values, lanes, every):
     data = np.array(values, np.uint16)
     ids, counts = np.unique(np.r_[data, [3]], return_counts=True)
-    table = tokens.FrequencyTable(ids.astype(np.int64), counts, 50)
+    table = tokens.FrequencyTable.of_counts(ids.astype(np.int64), counts, 50)
     payload = tokens.encode_frame(data, table, lanes, every)
     assert tokens.decode_frame(payload, table).tolist() == values
     real = max(1, min(lanes, len(values) // 64))
@@ -464,6 +484,34 @@ def test_token_rows(docs, texts):
         start += n
 
 
+@pytest.mark.parametrize("text", ["hello <|ENDOFTEXT|> you", "hello <|endoftext|> you", "a<|EndOfText|>b <|endoftext|> c", "<|StartOfText|><|startoftext|>", "<|ENDOFTE\u212aT|>"])
+def test_special_tokens_in_any_case(text):
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, sizes = coder.encode(["before " + text, text, "plain words"], 2)
+    assert ids[sizes[0] : sizes[0] + sizes[1]].tolist() == [*want, 2]
+
+
+def test_token_files_stand_alone(spark, docs, texts, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, vocabulary = f"file://{tmp_path}/out", public_tokenizers.path("word_bpe_49k.json")
+    tokens.write(docs, path, vocabulary, order=[F.xxhash64("text", "doc_id")])
+    tokenizer = Tokenizer.from_file(vocabulary)
+    want = Counter((d, *tokenizer.encode(t or "", add_special_tokens=False).ids, 2) for d, t in texts)
+    assert Counter((r["doc_id"], *r["ids"]) for r in tokens.read_ids(spark.newSession(), path).collect()) == want
+    keys = {r["doc_id"]: r["h"] for r in docs.where("doc_id not in (53, 54)").select("doc_id", F.xxhash64("text", "doc_id").alias("h")).collect() if r["doc_id"] is not None}
+    got = [r["doc_id"] for r in sorted(tokens.read(spark.newSession(), path).collect(), key=lambda r: r["start"]) if r["doc_id"] in keys]
+    assert got == sorted(keys, key=keys.get)
+    row = list(spark.read.parquet(f"{path}/table").first())
+    row[5] = bytes(row[5][:-1]) + bytes([row[5][-1] ^ 1])
+    with pytest.raises(ValueError, match="checksum"):
+        tokens.FrequencyTable.unpack(row[0], row[1], row[2], bytes(row[4]), row[5], row[6])
+
+
 # --- fuzzy passages ---------------------------------------------------------------------------------------------------
 
 
