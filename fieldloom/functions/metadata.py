@@ -15,7 +15,32 @@ WIDTHS = {"float": 4, "double": 8, "uint8": 1, "int8": 1, "uint16": 2, "int16":
 SPARK_TYPES = {"float": "float", "double": "double", "uint8": "short", "int8": "byte", "uint16": "int", "int16": "short", "uint32": "long", "int32": "int", "uint64": "decimal(20,0)", "int64": "long"}
 GOALS = {1: "eb_psnr", 2: "eb_ssim", 3: "eb_cr", 6: "psnr_ssim", 7: "psnr_cr", 11: "ssim_cr", 12: "cr_eb", 13: "cr_psnr", 14: "cr_ssim"}
 REGISTERED = (1, 2, 3, 7, 11, 12, 13, 14)
-LEGACY_MODES = ("ABS", "REL", "VR_REL", "PSNR", "NORM", "ABS_AND_REL", "ABS_OR_REL", "PW_REL")
+
+#: The numbers of error modes in packed words.  VR_REL is another name of REL.
+MODE_NUMBERS = {
+    "ABS": 0,
+    "REL": 1,
+    "VR_REL": 1,
+    "ABS_AND_REL": 2,
+    "ABS_OR_REL": 3,
+    "PSNR": 4,
+    "NORM": 5,
+    "FIX_RATE": 6,
+    "PW_REL": 10,
+    "ABS_AND_PW_REL": 11,
+    "ABS_OR_PW_REL": 12,
+    "REL_AND_PW_REL": 13,
+    "REL_OR_PW_REL": 14,
+}
+
+
+def mode_name(number: int) -> str:
+    """The mode of a number; the first of its names."""
+    for name, own in MODE_NUMBERS.items():
+        if own == number:
+            return name
+    raise ValueError(f"{number} is no error mode")
+
 
 
 def method_name(method: Column) -> Column:
@@ -91,12 +116,12 @@ def double_words(x: float) -> tuple[int, int]:
 
 def legacy_error_words(mode: str, abs_: float = 0.0, rel: float = 0.0, pw_rel: float = 0.0, psnr: float = 0.0, ratio: float = 0.0) -> list[int]:
     """A mode and five doubles as big-endian halves: eleven words."""
-    return [LEGACY_MODES.index(mode), *(w for x in (abs_, rel, pw_rel, psnr, ratio) for w in double_words(x))]
+    return [MODE_NUMBERS[mode], *(w for x in (abs_, rel, pw_rel, psnr, ratio) for w in double_words(x))]
 
 
 def read_legacy_error_words(words: Sequence[int]) -> dict:
     values = [struct.unpack(">d", struct.pack(">II", words[i], words[i + 1]))[0] for i in range(1, 11, 2)]
-    return {"mode": LEGACY_MODES[words[0]], **dict(zip(("abs", "rel", "pw_rel", "psnr", "ratio"), values, strict=True))}
+    return {"mode": mode_name(words[0]), **dict(zip(("abs", "rel", "pw_rel", "psnr", "ratio"), values, strict=True))}
 
 
 def legacy_cd_values(dims: Sequence[int], dtype: str) -> list[int]:
@@ -112,10 +137,12 @@ def read_legacy_cd_values(words: Sequence[int]) -> tuple[list[int], str]:
 
 def h5repack_words(mode: str, bound: float) -> list[int]:
     """The nine words of one error mode: mode, and the bound in the mode's place."""
-    places = {"ABS": 0, "REL": 1, "PW_REL": 2, "PSNR": 3}
+    places = {"ABS": 0, "REL": 1, "VR_REL": 1, "PW_REL": 2, "PSNR": 3}
+    if mode not in places:
+        raise ValueError(f"mode {mode} has no place in the words")
     values = [0.0] * 4
     values[places[mode]] = bound
-    return [LEGACY_MODES.index(mode), *(w for x in values for w in double_words(x))]
+    return [MODE_NUMBERS[mode], *(w for x in values for w in double_words(x))]
 
 
 def chunk_header(size: int, method: int, eb: float) -> bytes:

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from types import ModuleType
+
+import numpy as np
+
 from fieldloom.operators.codecs import blockfloat, delta, lorenzo, multilevel, transform, truncate, wavelet
+from fieldloom.operators.codecs.packing import pack, read_shape, shape_bytes, unpack
+
+AS_IT_IS = b"\xff" * 8  # in place of the first part's length
+
+
+class Codec:
+    """A codec of finite values; a block with any other is stored as it is, so that no cell of it is lost."""
+
+    def __init__(self, own: ModuleType):
+        self.own = own
+
+    def encode(self, values: np.ndarray, eb: float) -> bytes:
+        if values.size and not np.isfinite(values).all():
+            return AS_IT_IS + pack(shape_bytes(values.shape), np.ascontiguousarray(values, "<f4").tobytes())
+        return self.own.encode(values, eb)
+
+    def decode(self, data: bytes) -> np.ndarray:
+        if data[: len(AS_IT_IS)] == AS_IT_IS:
+            shape, body = unpack(data[len(AS_IT_IS) :])
+            return np.frombuffer(body, "<f4").reshape(read_shape(shape)).copy()
+        return self.own.decode(data)
+
 
-CODECS = {"sz3": multilevel, "zfp": transform, "szx": blockfloat, "sperr": wavelet, "szp": delta, "qoz": lorenzo, "trunc": truncate}
+CODECS = {name: Codec(own) for name, own in (("sz3", multilevel), ("zfp", transform), ("szx", blockfloat), ("sperr", wavelet), ("szp", delta), ("qoz", lorenzo), ("trunc", truncate))}
 
 
-def codec(name: str):
+def codec(name: str) -> Codec:
     if name not in CODECS:
         raise ValueError(f"no codec named {name}; there are {', '.join(CODECS)}")
     return CODECS[name]

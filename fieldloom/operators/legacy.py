@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fieldloom.operators import selection, stats
+from fieldloom.operators.codecs import codec
 from fieldloom.sources.config import Setting, Settings, Target
 from fieldloom.sources.fixtures import Field
 
@@ -12,17 +13,29 @@ SMALL = 20  # fields with fewer cells are stored as they are
 
 
 def absolute_bound(setting: Setting, field: Field) -> float:
+    """The absolute bound of a mode; FIX_RATE has the bound at which the estimated compression ratio is the rate."""
     modes = {"ABS": "abs", "REL": "rel", "VR_REL": "rel", "PSNR": "psnr", "NORM": "norm", "ABS_AND_REL": "abs_and_rel", "ABS_OR_REL": "abs_or_rel"}
+    if setting.mode == "FIX_RATE":
+        name = setting.codec.lower()
+        if name not in selection.SURROGATES:
+            raise ValueError(f"no estimate of the ratio of {setting.codec}, which FIX_RATE needs")
+        if setting.rate <= 0:
+            raise ValueError("FIX_RATE needs a rate above 0")
+        probes = selection.find_bound(field.keep(), name, "cr", setting.rate)
+        return probes[-1][0] if probes else 0.0
     if setting.mode not in modes:
         raise ValueError(f"mode {setting.mode} has no absolute bound")
     return stats.error_bound(modes[setting.mode], field.range, field.n, abs_=setting.abs_bound, rel=setting.rel_bound, psnr_=setting.precision, norm=setting.abs_bound)
 
 
 def legacy_compress(field: Field, settings: Settings, override: Setting | None = None) -> DataFrame:
-    """Chunks by the settings' codec; a tuned bound belongs to this field only.  Errors given with the call go before the file's."""
+    """Chunks by the settings' codec; a tuned bound belongs to this field only.  Errors given with the call go before the file's.
+
+    A codec that this engine doesn't have is an error, never replaced by another one.
+    """
     setting, target = override or settings.setting, settings.target
     name = setting.codec.lower()
-    name = name if name in selection.CODECS else "sz3"
+    codec(name)
     if field.n < SMALL:
         return selection.compress(field, "trunc", 0.0)
     eb = tuned(field, name, target) if target.tune and name in selection.SURROGATES else absolute_bound(setting, field)

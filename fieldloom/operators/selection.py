@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.metadata import GOALS, REGISTERED, chunk_header, read_chunk_header
 from fieldloom.operators import stats
-from fieldloom.operators.codecs import CODECS, codec
+from fieldloom.operators.codecs import codec
 from fieldloom.operators.ssim import mean_ssim
 from fieldloom.operators.surrogates import cuszp, sampled, sz3, szp, szx
 from fieldloom.sources.fixtures import Field, coords
@@ -154,6 +154,20 @@ def autotune(field: Field, name: str, metric: str, target: float, tolerance: flo
 CHUNK_ROWS = 64
 
 
+def as_floats(cells: np.ndarray, eb: float) -> tuple[np.ndarray, float]:
+    """(cells as 32-bit floats, what the rounding leaves of the bound); an error where it leaves nothing."""
+    values = cells.astype("<f4")
+    if cells.dtype == values.dtype:
+        return values, eb
+    exact = [c == v for c, v in zip(cells.tolist(), values.tolist(), strict=True)]
+    if all(exact):
+        return values, eb
+    wide = np.array([float(abs(c - type(c)(v))) if np.isfinite(v) else 0.0 if c != c or c == v else np.inf for c, v in zip(cells.tolist(), values.tolist(), strict=True)])
+    if wide.max() >= eb:
+        raise ValueError(f"32-bit floats round cells by {wide.max()}, which a bound of {eb} doesn't allow")
+    return values, float(np.nextafter(eb - wide.max(), 0))
+
+
 def chunk_shape(dims: tuple[int, ...], cells: int = 1 << 16) -> tuple[int, ...]:
     """Chunks are slabs: whole inner axes, and as many of the slowest as fit."""
     inner = math.prod(dims[1:])
@@ -171,9 +185,10 @@ def compress(field: Field, name: str, eb: float, method: int = 3, cells: int = 1
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        values = table.sort_by("idx").column("v").to_numpy().astype("<f4")
+        cells = table.sort_by("idx").column("v").to_numpy()
+        values, bound = as_floats(cells, eb)
         own = (len(values) // math.prod(dims[1:]), *dims[1:])
-        payload = codec(name).encode(values.reshape(own), eb)
+        payload = codec(name).encode(values.reshape(own), bound)
         data = chunk_header(len(payload), method, eb) + payload
         row = {"field": label, "chunk_id": chunk, "codec": name, "eb": eb, "method_id": method, "dtype": dtype, "dims": [int(d) for d in own], "start": chunk * size, "payload": data, "payload_bytes": len(data)}
         kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64()]
@@ -198,6 +213,7 @@ def decompress(chunks: DataFrame) -> DataFrame:
 
 def compress_field(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None) -> DataFrame:
     """Choose for the goal, then compress: at most one row comes to the driver in between."""
+    for name in codecs:
+        codec(name)  # one that can only be estimated is an error here
     row = choose(field, goal, target, codecs, options).first()
-    name = row["codec"] if row["codec"] in CODECS else "szp"
-    return compress(field, name, row["eb"], {v: k for k, v in GOALS.items()}[goal])
+    return compress(field, row["codec"], row["eb"], {v: k for k, v in GOALS.items()}[goal])

@@ -526,6 +526,23 @@ def cd_values_words(spark, d):
     return spark.createDataFrame(rows, "method int, low string, high string, word int")
 
 
+@query("""WITH m AS (SELECT unnest(['ABS', 'REL', 'VR_REL', 'ABS_AND_REL', 'ABS_OR_REL', 'PSNR', 'NORM', 'FIX_RATE', 'PW_REL']) AS mode, unnest([0, 1, 1, 2, 3, 4, 5, 6, 10]) AS number),
+  b AS (SELECT mode, number, CAST(CAST(bound AS BIT) AS VARCHAR) AS bits FROM m, (SELECT 1e-3::DOUBLE AS bound))
+  SELECT mode, number, '0b' || left(bits, 32) AS abs_high, '0b' || right(bits, 32) AS abs_low, CAST(11 AS BIGINT) AS words FROM b""")
+def legacy_mode_words(spark, d):
+    """Every error mode packed with an absolute bound, and read back."""
+    rows = []
+    for mode in metadata.MODE_NUMBERS:
+        if "PW" in mode and mode != "PW_REL":
+            continue
+        words = metadata.legacy_error_words(mode, abs_=1e-3)
+        back = metadata.read_legacy_error_words(words)
+        if back["abs"] != 1e-3 or metadata.MODE_NUMBERS[back["mode"]] != words[0]:
+            raise ValueError(f"the words of {mode} don't read back")
+        rows.append((mode, words[0], f"0b{words[1]:032b}", f"0b{words[2]:032b}", len(words)))
+    return spark.createDataFrame(rows, "mode string, number int, abs_high string, abs_low string, words long")
+
+
 @query("SELECT i AS method, ['eb','psnr','ssim','cr'][i // 4 + 1] || '_' || ['eb','psnr','ssim','cr'][i % 4 + 1] AS goal FROM range(16) t(i)")
 def method_names(spark, d):
     return spark.range(16).select(F.col("id").alias("method"), metadata.method_name(F.col("id")).alias("goal"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import configparser
 from dataclasses import dataclass, field, replace
 
-#: Names of codecs in setting files.
-CODECS = ("SZ3", "QOZ", "ZFP", "DR", "BG", "SZX", "SZP", "SPERR", "CUSZP")
-MODES = ("ABS", "REL", "VR_REL", "PSNR", "NORM", "ABS_AND_REL", "ABS_OR_REL", "PW_REL")
+#: The codec, mode and metric names that setting files may hold.
+CODEC_NAMES = ("SZ2", "SZ3", "QOZ", "ZFP", "DR", "BG", "SZX")
+MODE_NAMES = ("ABS", "REL", "VR_REL", "ABS_AND_REL", "ABS_OR_REL", "PSNR", "NORM", "FIX_RATE")
+METRIC_NAMES = ("CR", "PSNR", "SSIM")
+#: Codecs of this engine that setting files may name besides.
+OWN_CODECS = ("SZP", "SPERR", "CUSZP")
 
 
 @dataclass(frozen=True)
@@ -15,8 +18,8 @@ class Setting:
     codec: str = "SZ3"
     mode: str = "ABS"
     abs_bound: float = 0.01
-    rel_bound: float = 0.01
-    precision: float = 0.0
+    rel_bound: float = 0.0
+    precision: int = 0
     rate: float = 0.0
 
 
@@ -35,38 +38,49 @@ class Settings:
     unknown: tuple[str, ...] = ()
 
 
-NAMES = {
-    "compressor": ("setting", "codec", str.upper),
-    "errorboundmode": ("setting", "mode", str.upper),
-    "abserrorbound": ("setting", "abs_bound", float),
-    "relboundratio": ("setting", "rel_bound", float),
-    "precision": ("setting", "precision", float),
-    "rate": ("setting", "rate", float),
-    "metric": ("target", "metric", str.lower),
-    "dooptimization": ("target", "tune", lambda x: x.strip().lower() in ("1", "yes", "true", "on")),
-    "targetvalue": ("target", "value", float),
-    "tolerance": ("target", "tolerance", float),
+def one_of(*names: str):
+    def parse(value: str) -> str:
+        if value not in names:
+            raise ValueError(f"{value} is none of {', '.join(names)}")
+        return value
+
+    return parse
+
+
+#: Sections and keys of setting files.
+KEYS = {
+    ("GlobalSettings", "CompressorID"): ("setting", "codec", one_of(*CODEC_NAMES, *OWN_CODECS)),
+    ("GlobalSettings", "CompressionMode"): ("setting", "mode", one_of(*MODE_NAMES)),
+    ("GlobalSettings", "AbsErrorBound"): ("setting", "abs_bound", float),
+    ("GlobalSettings", "RelErrorBound"): ("setting", "rel_bound", float),
+    ("GlobalSettings", "Precision"): ("setting", "precision", int),
+    ("GlobalSettings", "FixedCompressionRate"): ("setting", "rate", float),
+    ("SECRESettings", "UseSECRE"): ("target", "tune", lambda x: int(x) != 0),
+    ("SECRESettings", "SECREMetric"): ("target", "metric", lambda x: one_of(*METRIC_NAMES)(x).lower()),
+    ("SECRESettings", "SECRETarget"): ("target", "value", float),
+    ("SECRESettings", "SECRETolerance"): ("target", "tolerance", float),
 }
 
 
 def load_config(path: str | None = None, text: str | None = None) -> Settings:
-    """Settings from a file or text; without either the defaults.  Keys that aren't known are listed, not fatal."""
+    """Settings from a file or text; without either the defaults.
+
+    Keys that aren't known are listed in unknown, not fatal; a known key with a value that it can't have is an error.
+    """
     out, unknown = Settings(), []
     if path is None and text is None:
         return out
     parser = configparser.ConfigParser(inline_comment_prefixes=("#", ";"), strict=False)
+    parser.optionxform = str  # keys keep their letter case
     if text is not None:
         parser.read_string(text)
     elif not parser.read(path):
         raise FileNotFoundError(path)
     for section in parser.sections():
         for key, value in parser.items(section):
-            plain = key.replace("_", "").lower()
-            if plain not in NAMES:
+            if (section, key) not in KEYS:
                 unknown.append(f"{section}.{key}")
                 continue
-            part, name, parse = NAMES[plain]
-            out = replace(out, **{part: replace(getattr(out, part), **{name: parse(value)})})
-    if out.setting.codec not in CODECS or out.setting.mode not in MODES:
-        raise ValueError(f"no codec {out.setting.codec} or mode {out.setting.mode}")
+            part, name, parse = KEYS[section, key]
+            out = replace(out, **{part: replace(getattr(out, part), **{name: parse(value.strip())})})
     return replace(out, unknown=tuple(unknown))

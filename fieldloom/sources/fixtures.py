@@ -32,6 +32,8 @@ class Field:
 
     @property
     def range(self) -> float:
+        if self.dtype != "float":
+            return float(self.extremes[1] - self.extremes[0])
         return float(np.float32(self.extremes[1]) - np.float32(self.extremes[0]))
 
     def bound(self, rel: float) -> float:

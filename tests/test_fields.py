@@ -37,7 +37,12 @@ def test_words_and_shapes():
     assert metadata.read_legacy_error_words(metadata.legacy_error_words("REL", rel=0.25)) == {"mode": "REL", "abs": 0.0, "rel": 0.25, "pw_rel": 0.0, "psnr": 0.0, "ratio": 0.0}
     for dims in ([7], [5, 6], [1 << 40], [2, 3, 4, 5, 6]):
         assert metadata.read_legacy_cd_values(metadata.legacy_cd_values(dims, "int32")) == (dims, "int32")
-    assert len(metadata.h5repack_words("ABS", 1e-3)) == 9
+    assert metadata.h5repack_words("ABS", 1e-3) == [0, 1062232653, 3539053052, 0, 0, 0, 0, 0, 0]
+    assert metadata.h5repack_words("REL", 1e-4) == [1, 0, 0, 1058682594, 3944497965, 0, 0, 0, 0]
+    assert [metadata.h5repack_words(m, 1.0)[0] for m in ("PSNR", "PW_REL")] == [4, 10]
+    numbers = {"ABS": 0, "REL": 1, "VR_REL": 1, "ABS_AND_REL": 2, "ABS_OR_REL": 3, "PSNR": 4, "NORM": 5, "FIX_RATE": 6, "PW_REL": 10}
+    assert {m: metadata.legacy_error_words(m)[0] for m in numbers} == numbers
+    assert metadata.read_legacy_error_words([10, *[0] * 10])["mode"] == "PW_REL"
     assert metadata.read_chunk_header(metadata.chunk_header(7, 3, 0.5)) == (7, 3, 0.5)
     assert [bits.wavelet_levels(n) for n in (7, 8, 16, 64, 1000)] == [0, 1, 2, 4, 6]
     assert bits.interpolation_levels((25, 20, 20)) == 5
@@ -62,6 +67,8 @@ def test_codecs_hold_their_bound(name, seed, shape, rel, kind):
     back = CODECS[name].decode(CODECS[name].encode(a, eb))
     assert back.shape == a.shape and back.dtype == np.float32
     assert np.abs(back.astype(float) - a.astype(float)).max() <= eb
+    a.flat[seed % a.size] = (np.nan, np.inf, -np.inf)[seed % 3]
+    assert np.array_equal(CODECS[name].decode(CODECS[name].encode(a, eb)), a, equal_nan=True)
 
 
 @settings(max_examples=50, deadline=None)
@@ -142,6 +149,19 @@ def test_raw_files(spark, tmp_path):
         (tmp_path / f"{dtype}.bin").write_bytes(np.arange(30).astype(">" + kind).tobytes())
         g = raw.read_raw(spark, str(tmp_path / f"{dtype}.bin"), dtype, big_endian=True)
         assert [r["v"] for r in g.cells.orderBy("idx").collect()] == list(range(30))
+        edge = np.array([np.iinfo(kind).max - 1, np.iinfo(kind).min] if kind[0] in "iu" else [2**24 + 1, 0.1 if kind == "f8" else 0.5], kind)
+        (tmp_path / f"{dtype}.edge").write_bytes(edge.tobytes())
+        g = raw.read_raw(spark, str(tmp_path / f"{dtype}.edge"), dtype)
+        assert [r["v"] for r in g.cells.orderBy("idx").collect()] == edge.tolist()
+        raw.write_raw(g, str(tmp_path / f"{dtype}.back"))
+        assert (tmp_path / f"{dtype}.back").read_bytes() == edge.tobytes()
+    (tmp_path / "prime.bin").write_bytes(np.arange(104729, dtype="<f8").tobytes())
+    g = raw.read_raw(spark, str(tmp_path / "prime.bin"), "double")
+    assert g.cells.where("v = idx").count() == 104729 and g.range == 104728
+    with pytest.raises(Exception, match="bound"):
+        selection.compress(Field("d", spark.createDataFrame([(0, 1e9 + 0.1)], "idx long, v double"), (1,), "double"), "sz3", 1e-3).count()
+    wide = Field("d", spark.createDataFrame([(i, 1e3 + i / 7) for i in range(500)], "idx long, v double"), (500,), "double")
+    assert stats.zipped(wide.cells, selection.decompress(selection.compress(wide, "sz3", 1e-3))).selectExpr("max(abs(x - y))").first()[0] <= 1e-3
     with pytest.raises(ValueError, match="bytes"):
         raw.read_raw(spark, str(tmp_path / "a.bin"), "float", (61, 100))
     chunks = selection.compress(f, "szx", 1e-3)
@@ -154,8 +174,17 @@ def test_raw_files(spark, tmp_path):
 
 def test_settings_and_legacy(spark):
     assert config.load_config() == config.Settings()
-    s = config.load_config(text="[GlobalSettings]\ncompressor = SZX\nerrorBoundMode = REL\nrelBoundRatio = 1e-3\nodd = 1\n[Search]\nmetric = cr\ndoOptimization = yes\ntargetValue = 3\ntolerance = 5\n")
-    assert (s.setting.codec, s.setting.mode, s.setting.rel_bound, s.target.tune, s.unknown) == ("SZX", "REL", 1e-3, True, ("GlobalSettings.odd",))
+    text = "[GlobalSettings]\nCompressorID = SZX\nCompressionMode = REL\n#a note\nAbsErrorBound = 0.001\nRelErrorBound = 1e-3\nPrecision = 2\nFixedCompressionRate = 0.6\nodd = 1\n"
+    text += "[SECRESettings]\nUseSECRE = 1\nSECREMetric = SSIM\nSECRETarget = 0.95\nSECRETolerance = 0.01 # a share\n"
+    s = config.load_config(text=text)
+    assert s.setting == config.Setting("SZX", "REL", 0.001, 1e-3, 2, 0.6) and s.target == config.Target("ssim", True, 0.95, 0.01) and s.unknown == ("GlobalSettings.odd",)
+    with pytest.raises(ValueError, match="none of"):
+        config.load_config(text="[GlobalSettings]\nCompressorID = LZ4\n")
+    with pytest.raises(ValueError, match="no codec"):
+        legacy.legacy_compress(field_of(spark, np.arange(50.0)), config.Settings(config.Setting("DR")))
+    rate = config.Setting("SZX", "FIX_RATE", rate=6.0)
+    fixed = field_of(spark, np.random.default_rng(1).normal(size=4096).cumsum())
+    assert abs(selection.estimate(fixed, "szx", legacy.absolute_bound(rate, fixed), "cr").first()["value"] / 6 - 1) < 0.5
     f = fixture(spark, SMALL, "part")
     plain = config.Settings(setting=s.setting)
     back = stats.zipped(f.cells, legacy.legacy_decompress(legacy.legacy_compress(f, plain))).selectExpr("max(abs(x - y))").first()[0]
@@ -185,7 +214,7 @@ def test_chunk_volume_covers():
         assert (seen == 1).all()
 
 
-@pytest.mark.parametrize("name", ["szx_components", "value_range", "ssim_3d", "rle_runs", "best_codec_cr", "sample_zfp_2d", "lorenzo1_3d", "entropy_bits"])
+@pytest.mark.parametrize("name", ["legacy_mode_words", "szx_components", "value_range", "ssim_3d", "rle_runs", "best_codec_cr", "sample_zfp_2d", "lorenzo1_3d", "entropy_bits"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     for table in ("events", "orders", "part", "embeddings"):
