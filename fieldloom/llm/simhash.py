@@ -6,7 +6,8 @@ packed plane for each bit position) and all pairs at one lag of the sorted bucke
 XORed planes are added into carry-save counters, and a lag is abandoned when every pair in it has exceeded the
 radius.  A bucket emits a spanning forest of its links, never all pairs.
 
-similar() and keep_one() compare sets of five-word shingles for a similarity, by longer fingerprints; see there.
+similar() and keep_one() compare sets of five-word shingles for a similarity: longer fingerprints find who may be near, and
+the sets decide; see there.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other;
 repeated rows share a component; a null doc_id never names a component; no rows give no rows; further columns of
@@ -97,51 +98,69 @@ def within(planes: list[np.ndarray], live: np.ndarray, radius: int) -> np.ndarra
     return ~over & ~above
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, radius: int, names: np.ndarray | None = None, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (src, dst) that span the pairs within the radius among distinct rows sorted by key.
-
-    names: what to give for a row instead of its fingerprint.  wide: longer fingerprints, rows of words, that a pair
-    within the radius has to hold as well, within wide_radius.
-    """
-    names = fps if names is None else names
-    src, dst = [], []
+def close(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, Iterator[tuple[np.ndarray, int]]]]:
+    """(rows, their pairs) of rows sorted by key; the pairs are (places in rows, lag) that share a key and lie within the radius."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     power = np.frexp(lengths)[1]  # runs of like length go together, so that few lags are wasted
-    for p in np.unique(power[lengths > 1]):
-        own = np.repeat(power, lengths) == p
-        k, f, called = keys[own], fps[own], names[own]
-        long = None if wide is None else wide[own]
-        parent = np.arange(len(k))
+
+    def pairs(k: np.ndarray, f: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int]]:
         bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
         shifted: dict[int, np.ndarray] = {r: np.packbits(bits[:, r:], axis=1) for r in range(8)}
         del bits
-        for lag in range(1, int(lengths[power == p].max())):
+        for lag in range(1, longest):
             same = k[lag:] == k[:-lag]
             live = np.packbits(same)
             q, r = divmod(lag, 8)
             n = len(live)
             near = within([shifted[0][b, :n] ^ shifted[r][b, q : q + n] for b in range(BITS)], live, radius)
             hit = np.flatnonzero(np.unpackbits(near, count=len(same)))
-            hit = hit[parent[hit] != parent[hit + lag]]
-            if long is not None and len(hit):
-                hit = hit[np.bitwise_count(long[hit] ^ long[hit + lag]).sum(axis=1) <= wide_radius]
-            if not len(hit):
-                continue
-            for i in hit.tolist():
-                a, b = i, i + lag
-                while parent[a] != a:
-                    a = parent[a]
-                while parent[b] != b:
-                    b = parent[b]
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            while (parent != parent[parent]).any():
-                parent = parent[parent]
-        linked = np.flatnonzero(parent != np.arange(len(k)))
-        src.append(called[linked])
-        dst.append(called[parent[linked]])
-    return (np.concatenate(src), np.concatenate(dst)) if src else (names[:0], names[:0])
+            if len(hit):
+                yield hit, lag
+
+    for p in np.unique(power[lengths > 1]):
+        rows = np.flatnonzero(np.repeat(power, lengths) == p)
+        yield rows, pairs(keys[rows], fps[rows], int(lengths[power == p].max()))
+
+
+class Trees:
+    """Union-find of which find() is one look after settle()."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        parent = self.parent
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def settle(self) -> None:
+        while (self.parent != self.parent[self.parent]).any():
+            self.parent = self.parent[self.parent]
+
+    def apart(self, at: np.ndarray, lag: int) -> np.ndarray:
+        return at[self.parent[at] != self.parent[at + lag]]
+
+
+def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (src, dst) of fingerprints that span the pairs within the radius among distinct rows sorted by key."""
+    src, dst = [fps[:0]], [fps[:0]]
+    for rows, pairs in close(keys, fps, radius):
+        trees = Trees(len(rows))
+        for hit, lag in pairs:
+            for i in trees.apart(hit, lag).tolist():
+                trees.join(i, i + lag)
+            trees.settle()
+        linked = np.flatnonzero(trees.parent != np.arange(len(rows)))
+        src.append(fps[rows[linked]])
+        dst.append(fps[rows[trees.parent[linked]]])
+    return np.concatenate(src), np.concatenate(dst)
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -149,24 +168,31 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     keyed = distinct.select(F.explode(F.array(*bucket_keys("fp", radius))).alias("k"), "fp").repartition("k").sortWithinPartitions("k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(k, f, radius)], ["src", "dst"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < 50_000:
-                continue
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = int(np.searchsorted(k, k[-1]))
-            held = [(k[end:], f[end:])]
-            yield out(k[:end], f[:end])
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for k, f in whole_keys(batches, 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(k, f.to_numpy(), radius)], ["src", "dst"])
 
     return keyed.mapInArrow(run, "src long, dst long")
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple]:
+    """(first column in NumPy, the others in Arrow) of rows sorted by the first column, cut between keys about every so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if held[0].column(0)[0] == batch.column(0)[-1] or sum(x.num_rows for x in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(0).to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        held = table.slice(end).to_batches()
+        yield keys[:end], *(c.slice(0, end).combine_chunks() for c in table.columns[1:])
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table.column(0).to_numpy(), *(c.combine_chunks() for c in table.columns[1:])
+
+
 def components(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included."""
     prints = cut(fingerprints(docs, words_per_shingle), "simhash")
@@ -179,28 +205,32 @@ def components(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) ->
 
 WORDS, WIDE_WORDS, KEYS, SIMILARITY = 5, 8, 8, 0.8
 STEPS = np.array([(0x9E3779B97F4A7C15 * i) & (2**64 - 1) for i in range(16)], np.uint64)
+NO_KEY = np.iinfo(np.int64).max
 
 
 def radii(similarity: float, wide_words: int = WIDE_WORDS) -> tuple[int, int]:
-    """Radii over the first 64 bits and over all that pairs of a similarity keep within.
+    """Radii over the first 64 bits and over all that pairs of a similarity keep within, but for one in a thousand or two.
 
     Sets of equal size and Jaccard similarity j have cosine 2 j / (1 + j); each bit differs with probability
-    arccos(cosine) / pi.  The short radius leaves three deviations more, the long one a bit over one.
+    arccos(cosine) / pi.  Both radii leave over three deviations more: they are filters, the sets decide.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    long = BITS * wide_words
-    return (math.ceil(BITS * share + 3.3 * math.sqrt(BITS * share * (1 - share))), math.ceil(long * share + 1.3 * math.sqrt(long * share * (1 - share))))
+    return tuple(math.ceil(n * share + 3.3 * math.sqrt(n * share * (1 - share))) for n in (BITS, BITS * wide_words))
 
 
-def sketch(text: bytes, words_per_shingle: int, wide_words: int, keys: int) -> tuple[int, int, bytes, list[int]]:
-    """(two digests of the set of shingles, its long SimHash, its smallest hashes)."""
+def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """Hashes of the set of shingles; a text of fewer words is one shingle, whatever their number."""
     import xxhash
 
     words, k = text.lower().split(), words_per_shingle
     line = b" ".join(words)
     at = [n + i for i, n in enumerate(accumulate(map(len, words), initial=0))]
     shingles = {line[a : b - 1] for a, b in zip(at, at[k:], strict=False)} if len(words) > k else {line}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+
+
+def sketch(h: np.ndarray, wide_words: int, keys: int) -> tuple[int, int, bytes, list[int]]:
+    """(two digests of a set of shingle hashes, its long SimHash, its smallest hashes)."""
     ones = np.zeros(BITS * wide_words, np.int64)
     with np.errstate(over="ignore"):
         mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -210,83 +240,152 @@ def sketch(text: bytes, words_per_shingle: int, wide_words: int, keys: int) -> t
             rows = (rows ^ (rows >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
             rows ^= rows >> np.uint64(31)
             ones += np.add.reduce(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
-        low = np.sort(np.partition(mixed, keys)[:keys] if len(mixed) > keys else mixed)
+        low = np.partition(mixed, keys)[:keys] if len(mixed) > keys else mixed
         first, second = int(h.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed))
-    return first, second, np.packbits(2 * ones > len(h), bitorder="little").tobytes(), low.view(np.int64).tolist()
+    return first, second, np.packbits(2 * ones > len(h), bitorder="little").tobytes(), np.sort(low.view(np.int64)).tolist()
+
+
+def wide_prints(prints: pa.Array, wide_words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(len(prints), wide_words)
+
+
+def marked(keys: np.ndarray, wide: np.ndarray, lows: np.ndarray, short: int, long: int) -> np.ndarray:
+    """Rows that have another one within both radii under their key; a pair counts under the smallest key it shares."""
+    out = np.zeros(len(keys), bool)
+    for rows, pairs in close(keys, wide[:, 0].view(np.int64).copy(), short):
+        own, bits, low, found = keys[rows], wide[rows], lows[rows], np.zeros(len(rows), bool)
+        for every, lag in pairs:
+            for part in range(0, len(every), 50_000):
+                at = every[part : part + 50_000]
+                at = at[~(found[at] & found[at + lag])]
+                at = at[np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1) <= long]
+                shared = (low[at][:, :, None] == low[at + lag][:, None, :]).any(axis=2)
+                at = at[np.where(shared, low[at], NO_KEY).min(axis=1) == own[at]]
+                found[at] = found[at + lag] = True
+        out[rows[found]] = True
+    return out
+
+
+def same_sets(keys: np.ndarray, names: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], short: int, long: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (src, dst) of names that span the pairs under one key within both radii whose sets have the similarity."""
+    src, dst = [names[:0]], [names[:0]]
+    for rows, pairs in close(keys, wide[:, 0].view(np.int64).copy(), short):
+        bits, trees = wide[rows], Trees(len(rows))
+        for every, lag in pairs:
+            at = trees.apart(every, lag)
+            at = at[np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1) <= long]
+            for i in at.tolist():
+                a, b = sets[rows[i]], sets[rows[i + lag]]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    continue
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if common >= similarity * (len(a) + len(b) - common):
+                    trees.join(i, i + lag)
+            trees.settle()
+        linked = np.flatnonzero(trees.parent != np.arange(len(rows)))
+        src.append(names[rows[linked]])
+        dst.append(names[rows[trees.parent[linked]]])
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): rows of one id and text have one name (doc_id, t1, t2)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
+def set_groups(docs: DataFrame, similarity: float, words_per_shingle: int, wide_words: int, keys: int) -> tuple[DataFrame, DataFrame]:
+    """(rows seen: doc_id, t1, t2, set_a, set_b; sets: set_a, set_b, first, label).
+
+    first: (no id, doc_id, t1, t2) of the set's first row.  Sets of one label are linked by similar ones.
+    """
+    short, long = radii(similarity, wide_words)
+    schema = "doc_id long, t1 long, t2 long, set_a long, set_b long, fp binary, keys array<long>"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(shingle_hashes(t.as_py().encode(), words_per_shingle), wide_words, keys) for t in batch.column(3)]
+            first, second, prints, lows = zip(*found, strict=True) if found else ((), (), (), ())
+            digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *digests, pa.array(prints, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "set_a", "set_b", "fp", "keys"])
+
+    seen = cut(named(docs).mapInArrow(tidy(read), schema), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
+    sets = seen.groupBy("set_a", "set_b").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()), "sketch-sets")  # written, so a node keeps its number
+    keyed = sets.select(F.explode("keys").alias("k"), "node", "fp", "keys").repartition("k").sortWithinPartitions("k", "node")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, nodes, prints, lists in whole_keys(batches, 50_000):
+            lows, sizes = np.full((len(k), keys), NO_KEY), lists.value_lengths().to_numpy()
+            lows[np.arange(keys)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+            own = marked(k, wide_prints(prints, wide_words), lows, short, long)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.to_numpy()[own]), pa.array(k[own])], ["node", "k"])
+
+    near = cut(keyed.mapInArrow(tidy(mark), "node long, k long").groupBy("node").agg(F.collect_list("k").alias("at")), "sketch-near")
+    asked = sets.join(near, "node").select(F.col("first.doc_id").alias("w_id"), F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"), "node", "fp", "at")
+    base = named(docs)
+    if repeated(seen).limit(1).count():
+        base = base.dropDuplicates(["doc_id", "t1", "t2"])
+    texts = base.join(asked, base["doc_id"].eqNullSafe(asked["w_id"]) & (base["t1"] == asked["w1"]) & (base["t2"] == asked["w2"])).select("text", "node", "fp", "at")
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in range(0, whole.num_rows, 256):
+                batch = whole.slice(part, 256)
+                hashes = [np.sort(shingle_hashes(t.as_py().encode(), words_per_shingle)).tobytes() for t in batch.column(0)]
+                at = batch.column(3)
+                row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([at.flatten(), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array([hashes[i] for i in row.tolist()], pa.binary())], ["k", "node", "fp", "hashes"])
+
+    unfolded = texts.mapInArrow(tidy(unfold), "k long, node long, fp binary, hashes binary").repartition("k").sortWithinPartitions("k", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, nodes, prints, hashes in whole_keys(batches, 5_000):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in hashes]
+            found = same_sets(k, nodes.to_numpy(), wide_prints(prints, wide_words), sets, short, long, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["src", "dst"])
+
+    label = connected_components(unfolded.mapInArrow(tidy(compare), "src long, dst long"))
+    linked = sets.join(label, "node", "left").select("set_a", "set_b", "first", F.coalesce("label", "node").alias("label"))
+    return seen.select("doc_id", "t1", "t2", "set_a", "set_b"), linked
+
+
+def repeated(seen: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2) of the rows that are there more than once."""
+    return seen.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t1", "t2")
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS, wide_words: int = WIDE_WORDS, keys: int = KEYS) -> DataFrame:
-    """(doc_id, set_a, set_b, component_id): texts whose sets of shingles have a similarity of about ``similarity`` or more.
+    """(doc_id, t1, t2, component_id) of every row: texts whose sets of shingles have the similarity are linked.
 
     64 bits within a few do not reach down to a similarity of 0.8, so fingerprints have 64 * wide_words bits here, and two
     texts meet if they share one of the ``keys`` smallest of their hashes (similar sets miss with probability
     (1 - similarity) ** keys).  There the first 64 bit planes are compared bit-sliced, and who is near in them by all bits.
-    Texts with one set of shingles are one from the start; every bucket emits a spanning forest.
+    That only marks the texts that have a near one: their sets meet under the key, and the sets' own similarity decides.
+    Texts with one set of shingles are one from the start; every bucket emits a spanning forest.  t1 and t2 are digests of
+    the text; component_id is the smallest doc_id reachable, null where none has one.
     """
-    short, long = radii(similarity, wide_words)
-    schema = "doc_id long, set_a long, set_b long, fp binary, keys array<long>"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sketch((t.as_py() or "").encode(), words_per_shingle, wide_words, keys) for t in batch.column(1)]
-            first, second, prints, lows = zip(*found, strict=True) if found else ((), (), (), ())
-            digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *digests, pa.array(prints, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "fp", "keys"])
+    seen, sets = set_groups(docs, similarity, words_per_shingle, wide_words, keys)
+    label = sets.join(sets.groupBy("label").agg(F.min("first").alias("group")), "label").select("set_a", "set_b", F.col("group.doc_id").alias("component_id"))
+    return seen.join(label, ["set_a", "set_b"]).select("doc_id", "t1", "t2", "component_id")
 
-    seen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(read), schema), "sketches")
-    sets = seen.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    sets = cut(sets, "sketch-sets")
-    keyed = sets.where("first_id is not null").select(F.explode("keys").alias("k"), "first_id", "fp").repartition("k").sortWithinPartitions("k", "first_id")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(k: np.ndarray, ids: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
-            wide = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), wide_words)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(k, wide[:, 0].view(np.int64).copy(), short, ids, wide, long)], ["src", "dst"])
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS, wide_words: int = WIDE_WORDS, keys: int = KEYS) -> DataFrame:
+    """docs with one row of each group of similar texts, whichever rows share a doc_id.
 
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
-            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < 50_000:
-                continue
-            k, ids, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]]
-            end = int(np.searchsorted(k, k[-1]))
-            held = [(k[end:], ids[end:], raw[end:])]
-            yield out(k[:end], ids[:end], raw[:end])
-        if held:
-            yield out(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [f for x in held for f in x[2]])
-
-    label = connected_components(keyed.mapInArrow(tidy(compare), "src long, dst long"))
-    named = sets.select("set_a", "set_b", "first_id").join(label.withColumnRenamed("node", "first_id"), "first_id", "left")
-    named = named.select("set_a", "set_b", F.coalesce("label", "first_id").alias("component_id"))
-    return seen.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "set_a", "set_b", "component_id")
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS) -> DataFrame:
-    """docs without all but one document of each group of similar texts; the one with the smallest doc_id stays.
-
-    Rows without a doc_id stay only where no row with one has their set of shingles, one of them for each set.
+    The row with the smallest doc_id stays, rows without one coming last; of several texts of that doc_id in the group the one with
+    the smallest digest; of several rows with that doc_id and text the one with the smallest digest of its columns.
     """
-    found = cut(similar(docs, similarity, words_per_shingle), "simhash-kept")
-    firsts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(firsts.select("doc_id"), "doc_id", "left_semi")
-    if firsts.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    if found.where("component_id is null").limit(1).count():
-        alone = found.where("component_id is null").select("set_a", "set_b").distinct()
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [sketch((t.as_py() or "").encode(), words_per_shingle, 1, 1)[:2] for t in batch.column(1)]
-                columns = [pa.array(np.array([x[i] for x in sets], np.uint64).view(np.int64)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "set_a", "set_b"])
-
-        bare = docs.where("doc_id is null")
-        marked = bare.select(F.xxhash64(text_key()).alias("key"), "text").mapInArrow(read, "key long, set_a long, set_b long")
-        pick = marked.join(alone, ["set_a", "set_b"], "left_semi").groupBy("set_a", "set_b").agg(F.min("key").alias("key")).select("key")
-        held = bare.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(text_key()).alias("key"))
-        kept = kept.unionByName(held.join(pick, "key", "left_semi").dropDuplicates(["key"]).select("row.*"))
-    return kept.select(*columns_of(docs))
-
-
-def text_key() -> Column:
-    return F.coalesce(F.col("text"), F.lit(""))
+    seen, sets = set_groups(docs, similarity, words_per_shingle, wide_words, keys)
+    first = sets.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("w_id"), F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = [c for c, t in zip(columns_of(docs), docs.dtypes, strict=True) if "map<" not in t[1] and "variant" not in t[1]]
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(*plain).alias("digest"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    kept = rows.join(first, rows["own_id"].eqNullSafe(first["w_id"]) & (rows["t1"] == first["w1"]) & (rows["t2"] == first["w2"]), "left_semi")
+    again = repeated(seen).withColumnsRenamed({"doc_id": "w_id", "t1": "w1", "t2": "w2"})
+    if again.limit(1).count():
+        same = kept["own_id"].eqNullSafe(again["w_id"]) & (kept["t1"] == again["w1"]) & (kept["t2"] == again["w2"])
+        several = kept.join(again, same, "left_semi").groupBy("own_id", "t1", "t2").agg(F.min_by("row", "digest").alias("row"))
+        kept = kept.join(again, same, "left_anti").select("row").unionByName(several.select("row"))
+    return kept.select("row.*")
