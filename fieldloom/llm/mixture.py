@@ -8,7 +8,8 @@ texts are shuffled once only; beyond that it is joined by source, and Spark spli
 
 Defined results: a null source is a source of its own; a null doc_id counts as the text 'null'; repeated rows get
 equal counts; a null or empty text is replicated like any other; no rows give no rows; further columns are carried
-along, except ones named like the three this operator adds (copy, copies, shuffle_key), which are replaced.
+along, except ones named like the three this operator adds (copy, copies, shuffle_key), which are replaced; with
+added=False nothing is added and all of them stay.
 """
 
 from __future__ import annotations
@@ -51,22 +52,24 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return steps.groupBy("source", "rate").agg(cdf.getField("sum").alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: str = "mix", deal: bool = True) -> DataFrame:
-    """docs with each row repeated by its Poisson count: plus copies, copy (from 1) and shuffle_key, dealt by that key."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
-    base = docs.select(F.col("source"), unit(seed, F.col("doc_id")).alias("u"), F.struct(*own).alias("row"))
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: str = "mix", deal: bool = True, added: bool = True) -> DataFrame:
+    """docs with each row repeated by its Poisson count, dealt by shuffle_key: with copies, copy (from 1) and shuffle_key if added."""
+    spark = docs.sparkSession
+    base = docs.select(F.col("source"), F.col("doc_id"), unit(seed, F.col("doc_id")).alias("u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rate = cut(rates(base, weights, temperature, total).select(F.col("source").alias("rate_source"), "cdf"), "mixture-rates")
     if (rate.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_VALUES:
         rate = F.broadcast(rate)
     drawn = base.join(rate, F.col("source").eqNullSafe(F.col("rate_source")))
-    counted = drawn.select("row", F.size(F.filter("cdf", lambda c: c < F.col("u"))).alias("copies")).where("copies > 0")
+    counted = drawn.select("row", "doc_id", F.size(F.filter("cdf", lambda c: c < F.col("u"))).alias("copies")).where("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = copied.select("row.*", "copies", "copy", unit(seed + "-order", F.col("row.doc_id"), F.col("copy")).alias("shuffle_key"))
-    if not deal:
-        return keyed
-    # the key is uniform, so its ranges are known without a sample, and the rows are drawn once
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionById(parts, F.least(F.floor(F.col("shuffle_key") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("shuffle_key")
+    out = copied.select("row", "copies", "copy", unit(seed + "-order", F.col("doc_id"), F.col("copy")).alias("shuffle_key"))
+    if deal:  # the key is uniform, so its ranges are known without a sample, and the rows are drawn once
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartitionById(parts, F.least(F.floor(F.col("shuffle_key") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("shuffle_key")
+    if not added:
+        return out.select("row.*")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
+    return out.select(*own, "copies", "copy", "shuffle_key")
 
 
 def query(spark, sf_dir):

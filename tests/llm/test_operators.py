@@ -490,6 +490,13 @@ def test_mixture(spark, docs):
         assert {c for _, c in copies} == set(range(1, n + 1)) and len({m for m, _ in copies}) == 1
 
 
+def test_mixture_keeps_clashing_columns(spark, docs):
+    assert mixture.mix(docs, added=False).columns == docs.columns
+    assert {r["copies"] for r in mixture.mix(docs, added=False).select("copies").collect()} == {9}
+    plain = Counter((r["doc_id"], r["text"]) for r in mixture.mix(docs).collect())
+    assert Counter((r["doc_id"], r["text"]) for r in mixture.mix(docs, added=False).collect()) == plain
+
+
 def test_poisson_counts_at_large_rates(spark):
     row = spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string")
     got = mixture.rates(row, {"s": 1.0}, total=30000.0).first()
