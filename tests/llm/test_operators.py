@@ -193,46 +193,79 @@ def test_similar_sets_group(spark):
 # --- search -----------------------------------------------------------------------------------------------------------
 
 
-def test_search_is_exact(spark):
-    rng = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(300)]
-    weights = [1 / (i + 1) for i in range(300)]
-    own = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 60)))) for i in range(400)]
-    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
-    bags = {d: Counter(t.split()) for d, t in own}
+def slow_search(rows: list[tuple[int | None, str | None]], k: int) -> list[tuple[int, int, int, float]]:
+    """(query_id, rank, doc_id, score) of all rows whose id is divisible by 20, from every pair of documents."""
+    texts: dict[int, str] = {}
+    for d, t in rows:
+        if d is not None:
+            texts[d] = f"{texts[d]}\n{t or ''}" if d in texts else t or ""
+    bags = {d: Counter(re.findall(r"[^\W_]+", t.lower())) for d, t in texts.items()}
     df = Counter(w for b in bags.values() for w in b)
-    mean = sum(sum(b.values()) for b in bags.values()) / len(own)
-    queries = [(q, w, log(1 + (400 - df[w] + 0.5) / (df[w] + 0.5))) for q in range(30) for w in rng.sample(sorted(df), 6)]
-    index = search.build_index(docs, 4)
-    got = defaultdict(list)
-    for q, rank, d, s in rows_of(search.search(index, spark.createDataFrame(queries, "query_id long, term string, idf double"), mean, 4, 3, 5)):
-        got[q].append((rank, d, s))
-    for q in range(30):
+    mean = sum(sum(b.values()) for b in bags.values()) / max(1, len(bags))
+    out = []
+    for q in sorted(bags):
+        if q % 20:
+            continue
         score = Counter()
-        for _, w, idf in sorted(x for x in queries if x[0] == q):
+        for w in bags[q]:
+            idf = log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5))
             for d, b in bags.items():
                 if b[w]:
                     score[d] += idf * (b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)))
-        want = sorted(((-round(s, 9), d) for d, s in score.items()))[:5]
-        assert [(d, round(-s, 6)) for s, d in want] == [(d, s) for _, d, s in sorted(got[q])]
+        for rank, (s, d) in enumerate(sorted((-round(s, 9), d) for d, s in score.items())[:k], 1):
+            out.append((q, rank, d, round(-s, 6)))
+    return out
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 2**32))
-def test_block_max_wand_is_exact(seed):
+@pytest.mark.parametrize("shard_bytes", [1 << 25, 1500])
+def test_search_is_exact(spark, tmp_path, monkeypatch, texts, shard_bytes):
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(1000 + i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 60)))) for i in range(400)]
+    rows += [*texts, (1010, rows[0][1]), (1400, rows[0][1]), (-40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search, "SHARD_BYTES", shard_bytes)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.query(spark, str(tmp_path)).collect())
+    assert [(q, n, d) for q, n, d, _ in got] == [(q, n, d) for q, n, d, _ in slow_search(rows, 10)]
+    assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, slow_search(rows, 10), strict=True))
+
+
+def test_search_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(20, None), (None, "x"), (40, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert [search.query(spark, f"{tmp_path}/{x}").count() for x in "ab"] == [0, 0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([1, 3, 16]))
+def test_block_max_wand_is_exact(seed, dense):
     rng = np.random.default_rng(seed)
-    lists, score = [], Counter()
-    for _ in range(rng.integers(1, 6)):
-        ids = np.unique(rng.integers(0, 500, rng.integers(1, 400)))
-        rows = np.zeros(len(ids), search.POSTING)
-        rows["doc"], rows["tf"], rows["dl"] = ids, rng.integers(1, 9, len(ids)), rng.integers(5, 90, len(ids))
-        p, w = search.Postings(rows, 40.0), float(rng.random() * 3)
-        lists.append((w, p))
-        for d, i in zip(p.docs.tolist(), p.impacts.tolist(), strict=True):
-            score[d] += w * i
-    k = int(rng.integers(1, 12))
-    want = sorted(((-round(s, 9), d) for d, s in score.items()))[:k]
-    assert [(-s, d) for s, d in search.block_max_wand(lists, k)] == want
+    n, vocabulary = int(rng.integers(1, 600)), int(rng.integers(1, 40))
+    chance = rng.random(vocabulary) ** 3
+    rows = [(np.flatnonzero(rng.random(vocabulary) < chance)) for _ in range(n)]
+    ids = rng.permutation(10 * n)[:n].astype("<i8")
+    length = rng.integers(1, 90, n).astype("<i4")
+    runs, tfs = [], [rng.integers(1, 9, len(r)) for r in rows]
+    for part in np.array_split(np.arange(n), 3):
+        entries = sorted((int(t), i, int(f)) for i, d in enumerate(part) for t, f in zip(rows[d], tfs[d], strict=True))
+        terms = sorted({t for t, _, _ in entries})
+        counts = np.array([sum(x[0] == t for x in entries) for t in terms], np.int32)
+        runs.append(([f"t{t}" for t in terms], counts, search.joined(ids[part], length[part], np.array([x[1] for x in entries], "<u2"), np.array([x[2] for x in entries], "<i4"))))
+    was, search.DENSE = search.DENSE, dense
+    shard = search.Shard(runs, 40.0)
+    search.DENSE = was
+    asked = [t for t in range(vocabulary) if f"t{t}" in shard.numbers and rng.random() < 0.7]
+    weight, k = {t: float(rng.random() * 5) + 0.01 for t in asked}, int(rng.integers(1, 12))
+    score = Counter()
+    for d in range(n):
+        own = [weight[int(t)] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[d] / 40))) for t, f in zip(rows[d], tfs[d], strict=True) if int(t) in weight]
+        if own:
+            score[int(ids[d])] = sum(own)
+    want = sorted((-round(s, 9), d) for d, s in score.items())[:k]
+    found, got = shard.search(np.array([shard.numbers[f"t{t}"] for t in asked], np.int64), np.array([weight[t] for t in asked]), k)
+    assert len(found) == len(want) and all(abs(s + w) < 1e-6 for s, (w, _) in zip(got, want, strict=True))
+    assert all(d == e or abs(score[d] - score[e]) < 1e-8 for d, (_, e) in zip(found.tolist(), want, strict=True))
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------
