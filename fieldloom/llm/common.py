@@ -7,6 +7,7 @@ import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,25 @@ def shared_dir(spark: SparkSession) -> str:
 _cuts: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """Executions within give up their shuffle files when they end; only for ones whose result is a written table."""
+    was = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, was) if was is not None else spark.conf.unset(CLEAN_UP)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end_here(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _cuts[back] = path
     return back
