@@ -29,6 +29,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_search": search.ORACLE,
+    "op5_substrings": substrings.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
     "op8_mixture": mixture.ORACLE,
 }
