@@ -6,8 +6,8 @@ to maximal matches.  Tiles are marked longest first; what an earlier tile has co
 stands for its place anew, until no match of min_match words is left.  The tiles never overlap on either side, so
 passages in another order count.  A document is contaminated by an item if tiles cover at least ``coverage`` of the item.
 
-The benchmark is the stated query set: it goes to the tasks in blocks of at most block_chars characters, one pass
-over the documents a block, so there's no shuffle and no bound on its size.
+The benchmark is the stated query set: it goes to the tasks in blocks of about block_chars characters, as arrays of some 30 bytes a
+word, one pass over the documents a block, so there's no shuffle and no bound on its size.
 
 Defined results: a null or empty text matches nothing, nor does an item without words; an item with fewer than
 min_match words needs all of them in a row; repeated rows repeat; no rows give no rows; other columns are left out of
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,100 +46,111 @@ def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def maximal_matches(pairs: dict[int, list[int]], k: int) -> list[tuple[int, int, int]]:
-    """(length, place in the text, place in the item) from seeds by diagonal."""
-    out = []
-    for diagonal, at in pairs.items():
-        at.sort()
-        first = last = at[0]
-        for p in at[1:]:
-            if p != last + 1:
-                out.append((last - first + k, first, first - diagonal))
-                first = p
-            last = p
-        out.append((last - first + k, first, first - diagonal))
-    return out
-
-
-def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+def tile(matches: list[tuple[int, int, int]], least: int, text_words: int, item_words: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, text, item): the longest match still free, ties by place, until all are under least."""
     heap = [(-n, t, i) for n, t, i in matches if n >= least]
     heapq.heapify(heap)
-    text_marked: set[int] = set()
-    item_marked: set[int] = set()
+    text_marked, item_marked, left = bytearray(text_words), bytearray(item_words), item_words
     out = []
-    while heap:
+    while heap and left >= least:
         n, t, i = heapq.heappop(heap)
         n = -n
-        free = [t + d not in text_marked and i + d not in item_marked for d in range(n)]
-        if all(free):
+        if text_marked.find(1, t, t + n) < 0 and item_marked.find(1, i, i + n) < 0:
             out.append((n, t, i))
-            text_marked.update(range(t, t + n))
-            item_marked.update(range(i, i + n))
+            text_marked[t : t + n] = item_marked[i : i + n] = b"\1" * n
+            left -= n
             continue
-        d = 0
-        while d < n:
-            if not free[d]:
-                d += 1
-                continue
-            e = d
-            while e < n and free[e]:
-                e += 1
-            if e - d >= least:
-                heapq.heappush(heap, (d - e, t + d, i + d))
-            d = e
+        for run in FREE.finditer(bytes(map(int.__or__, text_marked[t : t + n], item_marked[i : i + n]))):
+            d = run.start()
+            if run.end() - d >= least:
+                heapq.heappush(heap, (d - run.end(), t + d, i + d))
     return out
 
 
+FREE = re.compile(b"\0+")
+PAIRS_AT_ONCE = 1 << 19
+
+
 class Index:
-    """A block of benchmark items: word numbers, and where each seed stands."""
+    """A block of benchmark items in arrays: the words of all items by number, and their seeds in order of hash."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
         self.vocabulary: dict[str, int] = {}
-        self.items, self.min_match = [], min_match
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
-            if not own:
+        own = [(item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]) for item_id, text in items]
+        own = [x for x in own if x[1]]
+        self.item_ids, self.min_match = [x[0] for x in own], min_match
+        self.begin = np.cumsum([0, *(len(x[1]) for x in own)])
+        self.flat = np.array([w for x in own for w in x[1]], np.uint64)
+        self.least = np.minimum(np.diff(self.begin), min_match)  # words of each item's seeds
+        owner = np.repeat(np.arange(len(own)), np.diff(self.begin))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(self.least).tolist():
+            at = np.arange(max(0, len(self.flat) - k + 1))
+            at = at[(owner[at] == owner[at + k - 1]) & (self.least[owner[at]] == k)]
+            h = window_hashes(self.flat, k)[at]
+            order = np.argsort(h, kind="stable")
+            self.seeds[k] = h[order], at[order]
+
+    def maximal_matches(self, ids: np.ndarray) -> np.ndarray:
+        """Rows (item, length, place in the text, place in the item) of the matches that can't be made longer.
+
+        Pairs of equal seeds are looked at a bounded number at once; only the first and the last one of a match are kept.
+        """
+        out = [np.empty((0, 4), np.int64)]
+        for k, (hashes, at) in self.seeds.items():
+            known = ids > 0
+            runs = known[: max(0, len(ids) - k + 1)].copy()
+            for j in range(1, k):
+                runs &= known[j : j + len(runs)]
+            place = np.flatnonzero(runs)
+            h = window_hashes(ids, k)[place]
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            place, low, count = place[high > low], low[high > low], (high - low)[high > low]
+            if not len(place):
                 continue
-            k = min(min_match, len(own))
-            for p, h in enumerate(window_hashes(np.array(own, np.uint64), k).tolist()):
-                seeds[k][h].append((len(self.items), p))
-            self.items.append((item_id, own, k))
-        self.seeds = {k: (np.array(sorted(s), np.uint64), dict(s)) for k, s in seeds.items()}
+            firsts, lasts = [], []
+            part = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()), PAIRS_AT_ONCE))
+            for a, b in zip(part.tolist(), [*part[1:].tolist(), len(place)], strict=True):
+                n = count[a:b]
+                t = np.repeat(place[a:b], n)
+                p = at[np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                same = np.ones(len(t), bool)
+                for j in range(k):
+                    same &= ids[t + j] == self.flat[p + j]
+                t, p = t[same], p[same]
+                item = np.searchsorted(self.begin, p, side="right") - 1
+                first = (t == 0) | (p == self.begin[item]) | (ids[t - 1] != self.flat[p - 1])
+                after, beyond = np.minimum(t + k, len(ids) - 1), np.minimum(p + k, len(self.flat) - 1)
+                last = (t + k == len(ids)) | (p + k == self.begin[item + 1]) | (ids[after] != self.flat[beyond])
+                rows = np.stack([item, t - p + self.begin[item], t], axis=1)
+                firsts.append(rows[first])
+                lasts.append(rows[last])
+            first, last = (x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))] for x in (np.concatenate(firsts), np.concatenate(lasts)))
+            out.append(np.stack([first[:, 0], last[:, 2] - first[:, 2] + k, first[:, 2], first[:, 2] - first[:, 1]], axis=1))
+        return np.concatenate(out)
 
     def tiles(self, text: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """(number of the item, its tiles in the text) for items with any."""
-        if not self.items:
+        if not self.item_ids:
             return []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words(text)), np.uint64)
-        by_item: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, (sorted_seeds, where) in self.seeds.items():
-            known = ids > 0
-            runs = known[: max(0, len(ids) - k + 1)].copy()
-            for j in range(1, k):
-                runs &= known[j : j + len(runs)]
-            at = np.flatnonzero(runs)
-            if not len(at):
-                continue
-            hashes = window_hashes(ids, k)[at]
-            place = np.minimum(np.searchsorted(sorted_seeds, hashes), len(sorted_seeds) - 1)
-            hit = sorted_seeds[place] == hashes
-            for t, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
-                for item, p in where[h]:
-                    if ids[t : t + k].tolist() == self.items[item][1][p : p + k]:
-                        by_item[item][t - p].append(t)
-        return [(item, tile(maximal_matches(d, self.items[item][2]), self.items[item][2])) for item, d in sorted(by_item.items())]
+        found = self.maximal_matches(ids)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]]) if len(found) else np.empty(0, np.int64)
+        out = []
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(found)], strict=False):
+            item = int(found[a, 0])
+            out.append((item, tile(found[a:b, 1:].tolist(), int(self.least[item]), len(ids), int(self.begin[item + 1] - self.begin[item]))))
+        return out
 
     def matches(self, text: str, coverage: float) -> list[tuple[int, float, int]]:
         """(item_id, share of the item's words that tiles cover, tiles) where the share reaches coverage."""
         out = []
         for item, found in self.tiles(text):
-            item_id, own, _ = self.items[item]
-            share = sum(n for n, _, _ in found) / len(own)
+            share = sum(n for n, _, _ in found) / int(self.begin[item + 1] - self.begin[item])
             if share >= coverage:
-                out.append((item_id, share, len(found)))
+                out.append((self.item_ids[item], share, len(found)))
         return out
 
 

@@ -368,11 +368,34 @@ def test_tiles_match_the_definition(a, b):
         assert a[t : t + n] == b[i : i + n] and n >= 3
     lengths = [n for n, _, _ in tiles]
     assert lengths == sorted(lengths, reverse=True)
-    assert (not tiles) == (slow_tiles(a, b, 3) == 0)
+    assert sum(lengths) == slow_tiles(a, b, 3)
     if tiles:
         assert lengths[0] == max(n for n in range(3, 26) for i in range(len(a)) for j in range(len(b)) if a[i : i + n] == b[j : j + n] and i + n <= len(a) and j + n <= len(b))
 
 
+def test_tiles_of_a_repeated_word():
+    import time
+
+    index, start = decontaminate.Index([(1, "la " * 300), (2, "some words that stand alone here")]), time.process_time()
+    assert index.matches("la " * 200_000 + "end", 0.5) == [(1, 1.0, 1)]
+    assert time.process_time() - start < 60
+
+
+def test_decontamination_of_a_table_by_brute_force(spark, docs, texts):
+    bench = [(1, texts[12][1]), (2, texts[43][1][-200:]), (3, " ".join(texts[3][1].split()[5:30][::-1])), (4, None), (5, "la la la")]
+    want = set()
+    for d, t in texts:
+        a = decontaminate.words(t or "")
+        for i, u in bench:
+            b = decontaminate.words(u or "")
+            if b and len(a) < 400:
+                n = slow_tiles(a, b, min(5, len(b)))
+                want |= {(d, i, round(n / len(b), 9))} if n / len(b) >= 0.5 else set()
+    short = docs.where("text is null or size(split(text, ' ')) < 400")
+    got = {(d, i, round(c, 9)) for d, i, c, _ in rows_of(decontaminate.pairs(short, spark.createDataFrame(bench, "item_id long, text string")))}
+    assert got == want and len(want) > 5
+
+
 # --- exact substrings -------------------------------------------------------------------------------------------------
 
 
