@@ -4,7 +4,8 @@ Fingerprints are split into ``radius + 2`` blocks; two fingerprints within the r
 blocks, so a row goes to one bucket for each pair of blocks.  Inside a bucket the bits stand vertically (one
 packed plane for each bit position) and all pairs at one lag of the sorted bucket are compared at once: the
 XORed planes are added into carry-save counters, and a lag is abandoned when every pair in it has exceeded the
-radius.  A bucket emits a spanning forest of its links, never all pairs.
+radius.  A bucket emits a spanning forest of its links, never all pairs; one with very many members is dealt into parts that
+meet two by two, so that no task holds it whole.
 
 similar() and keep_one() compare sets of five-word shingles for a similarity: longer fingerprints find who may be near, and
 the sets decide; see there.
@@ -163,9 +164,21 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate(src), np.concatenate(dst)
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def spread(keyed: DataFrame, member: str, most: int) -> DataFrame:
+    """keyed (k, member, ...) with a column q, so that any two rows of one k have a q in common, and no q has over about 2 * most rows.
+
+    A key with more rows is dealt into parts by a digest of the member, and each two parts meet under a q of their own.
+    """
+    hot = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = keyed.join(hot, "k", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.coalesce("parts", F.lit(1))).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("k", F.least("part", j), F.greatest("part", j)))
+    return dealt.withColumn("q", F.explode(F.when(F.col("parts").isNull(), F.array("k")).otherwise(meets))).drop("parts", "part")
+
+
+def links(distinct: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
     """(src, dst) among distinct fp values: enough links to connect all that lie within the radius of each other."""
-    keyed = distinct.select(F.explode(F.array(*bucket_keys("fp", radius))).alias("k"), "fp").repartition("k").sortWithinPartitions("k", "fp")
+    keyed = spread(distinct.select(F.explode(F.array(*bucket_keys("fp", radius))).alias("k"), "fp"), "fp", most)
+    keyed = keyed.select("q", "fp").repartition("q").sortWithinPartitions("q", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, f in whole_keys(batches, 50_000):
@@ -249,10 +262,10 @@ def wide_prints(prints: pa.Array, wide_words: int) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(len(prints), wide_words)
 
 
-def marked(keys: np.ndarray, wide: np.ndarray, lows: np.ndarray, short: int, long: int) -> np.ndarray:
-    """Rows that have another one within both radii under their key; a pair counts under the smallest key it shares."""
+def marked(groups: np.ndarray, keys: np.ndarray, wide: np.ndarray, lows: np.ndarray, short: int, long: int) -> np.ndarray:
+    """Rows that have another one within both radii in their group; a pair counts under the smallest key it shares."""
     out = np.zeros(len(keys), bool)
-    for rows, pairs in close(keys, wide[:, 0].view(np.int64).copy(), short):
+    for rows, pairs in close(groups, wide[:, 0].view(np.int64).copy(), short):
         own, bits, low, found = keys[rows], wide[rows], lows[rows], np.zeros(len(rows), bool)
         for every, lag in pairs:
             for part in range(0, len(every), 50_000):
@@ -294,7 +307,7 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
-def set_groups(docs: DataFrame, similarity: float, words_per_shingle: int, wide_words: int, keys: int) -> tuple[DataFrame, DataFrame]:
+def set_groups(docs: DataFrame, similarity: float, words_per_shingle: int, wide_words: int, keys: int, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(rows seen: doc_id, t1, t2, set_a, set_b; sets: set_a, set_b, first, label).
 
     first: (no id, doc_id, t1, t2) of the set's first row.  Sets of one label are linked by similar ones.
@@ -313,16 +326,18 @@ def set_groups(docs: DataFrame, similarity: float, words_per_shingle: int, wide_
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
     sets = seen.groupBy("set_a", "set_b").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     sets = cut(sets.withColumn("node", F.monotonically_increasing_id()), "sketch-sets")  # written, so a node keeps its number
-    keyed = sets.select(F.explode("keys").alias("k"), "node", "fp", "keys").repartition("k").sortWithinPartitions("k", "node")
+    keyed = spread(sets.select(F.explode("keys").alias("k"), "node", "fp", "keys"), "node", most)
+    keyed = keyed.select("q", "k", "node", "fp", "keys").repartition("q").sortWithinPartitions("q", "node")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, nodes, prints, lists in whole_keys(batches, 50_000):
-            lows, sizes = np.full((len(k), keys), NO_KEY), lists.value_lengths().to_numpy()
+        for q, k, nodes, prints, lists in whole_keys(batches, 50_000):
+            lows, sizes, k = np.full((len(q), keys), NO_KEY), lists.value_lengths().to_numpy(), k.to_numpy()
             lows[np.arange(keys)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
-            own = marked(k, wide_prints(prints, wide_words), lows, short, long)
+            own = marked(q, k, wide_prints(prints, wide_words), lows, short, long)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.to_numpy()[own]), pa.array(k[own])], ["node", "k"])
 
-    near = cut(keyed.mapInArrow(tidy(mark), "node long, k long").groupBy("node").agg(F.collect_list("k").alias("at")), "sketch-near")
+    near = cut(keyed.mapInArrow(tidy(mark), "node long, k long").distinct(), "sketch-near")
+    near = spread(near, "node", max(1, most // 4)).groupBy("node").agg(F.collect_list("q").alias("at"))
     asked = sets.join(near, "node").select(F.col("first.doc_id").alias("w_id"), F.col("first.t1").alias("w1"), F.col("first.t2").alias("w2"), "node", "fp", "at")
     base = named(docs)
     if repeated(seen).limit(1).count():
@@ -336,14 +351,14 @@ def set_groups(docs: DataFrame, similarity: float, words_per_shingle: int, wide_
                 hashes = [np.sort(shingle_hashes(t.as_py().encode(), words_per_shingle)).tobytes() for t in batch.column(0)]
                 at = batch.column(3)
                 row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
-                yield pa.RecordBatch.from_arrays([at.flatten(), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array([hashes[i] for i in row.tolist()], pa.binary())], ["k", "node", "fp", "hashes"])
+                yield pa.RecordBatch.from_arrays([at.flatten(), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array([hashes[i] for i in row.tolist()], pa.binary())], ["q", "node", "fp", "hashes"])
 
-    unfolded = texts.mapInArrow(tidy(unfold), "k long, node long, fp binary, hashes binary").repartition("k").sortWithinPartitions("k", "node")
+    unfolded = texts.mapInArrow(tidy(unfold), "q long, node long, fp binary, hashes binary").repartition("q").sortWithinPartitions("q", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, nodes, prints, hashes in whole_keys(batches, 5_000):
+        for q, nodes, prints, hashes in whole_keys(batches, 5_000):
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in hashes]
-            found = same_sets(k, nodes.to_numpy(), wide_prints(prints, wide_words), sets, short, long, similarity)
+            found = same_sets(q, nodes.to_numpy(), wide_prints(prints, wide_words), sets, short, long, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["src", "dst"])
 
     label = connected_components(unfolded.mapInArrow(tidy(compare), "src long, dst long"))

@@ -98,6 +98,42 @@ def test_components_of_long_chains(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
 
 
+def test_hot_buckets_are_split(spark):
+    rng = random.Random(8)
+    top = rng.getrandbits(40) << 24
+    prints = sorted({top | rng.getrandbits(24) if rng.random() < 0.9 else rng.getrandbits(64) for _ in range(700)})
+    signed = [(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(prints)]
+    found = rows_of(simhash.links(spark.createDataFrame([(f,) for _, f in signed], "fp long"), 3, 40))
+    label = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(found or [(0, 0)], "src long, dst long")).collect()}
+    want = slow_components([(i, f & (2**64 - 1)) for i, f in signed], 3)
+    groups = defaultdict(set)
+    for _, f in signed:
+        groups[label.get(f, f)].add(f & (2**64 - 1))
+    other = defaultdict(set)
+    for f, low in want.items():
+        other[low].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, other.values()))
+
+
+def test_hot_sets_are_split(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(9)
+    frame, rows = prose(rng, 120).split(), []
+    for i in range(90):
+        own = list(frame)
+        own[rng.randrange(len(own))] = f"x{i}"
+        if i % 3 == 0:
+            for at in rng.sample(range(120), 4):
+                own[at] = f"y{i}x{at}"
+        rows.append((i, " ".join(own)))
+    seen, sets = simhash.set_groups(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 5, 8, 8, 16)
+    got = defaultdict(set)
+    for r in seen.join(sets, ["set_a", "set_b"]).select("doc_id", "label").collect():
+        got[r["label"]].add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, slow_groups(rows)))
+
+
 def slow_groups(rows: list[tuple[int | None, str | None]], similarity: float = 0.8) -> list[set[int]]:
     """Numbers of rows by group, from all pairs of shingle sets."""
     sets = []
