@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -350,6 +351,39 @@ def test_chain_marginals_match_enumeration():
     assert np.allclose(good, want) and np.isclose(total, all_log) and np.allclose(pairs, want_pairs)
 
 
+def slow_score(field, text: str) -> float:
+    """A document's score from its lines' probabilities of being good, over all labellings for few lines, else forward and backward."""
+    features, _, length = quality.line_features([text.encode()])
+    unary = ((features - field.mean) / field.spread) @ field.weights
+    n, step = len(unary), np.exp(field.moves)
+    ahead, back = [[1.0, math.exp(unary[0])]], [[1.0, 1.0]]
+    for t in range(1, n):
+        now = [sum(ahead[-1][i] * step[i, j] for i in (0, 1)) * (math.exp(unary[t]) if j else 1.0) for j in (0, 1)]
+        ahead.append([x / sum(now) for x in now])
+    for t in range(n - 1, 0, -1):
+        now = [sum(step[i, j] * (math.exp(unary[t]) if j else 1.0) * back[0][j] for j in (0, 1)) for i in (0, 1)]
+        back.insert(0, [x / sum(now) for x in now])
+    good = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back, strict=True)]
+    evidence = sum(g * (w + 1e-3) for g, w in zip(good, length, strict=True)) / sum(w + 1e-3 for w in length)
+    return 1 / (1 + math.exp(-min(30, max(-30, field.slope * evidence + field.offset))))
+
+
+def test_quality_query_by_hand(spark, docs, texts, labels, tmp_path):
+    """Every score of the query, given the trained weights, and that they are trained on what they may be trained on."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    field = quality.fit(docs, labels)
+    got = quality.query(spark, str(tmp_path)).collect()
+    want = Counter((d, round(slow_score(field, t or ""), 6)) for d, t in texts)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+    for r in got:
+        assert r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    other = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - quality else quality end as quality")
+    same = quality.fit(docs, other)  # held-out labels don't count
+    assert np.array_equal(field.weights, same.weights) and (field.slope, field.offset) == (same.slope, same.offset)
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {s for _, s in rows_of(quality.score(docs, quality.fit(docs, none)))} == {0.5}
