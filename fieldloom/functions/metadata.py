@@ -59,6 +59,11 @@ def normalise_dims(dims: Column) -> Column:
     return F.when(F.size(kept) == 0, F.array(F.lit(1).cast("long"))).otherwise(kept)
 
 
+def reverse_dims(dims: Column) -> Column:
+    """Extents from the fastest on instead of the slowest, or back; the cells stay where they are."""
+    return F.reverse(dims)
+
+
 def product(dims: Column) -> Column:
     return F.aggregate(dims, F.lit(1).cast("long"), lambda a, d: a * d)
 

@@ -12,7 +12,8 @@ from fieldloom.operators.windows import along, shifted
 
 RADIUS = 32768
 
-#: Weights of the interpolators over their neighbours, in order of position.
+#: Weights of the interpolators over their neighbours, in order of position.  The monotone one (pchip) has a
+#: correction term of weight 0, so it is the linear one.
 STENCILS = {
     "linear": (("m1", "p1"), (0.5, 0.5)),
     "linear1": (("m3", "m1"), (-0.5, 1.5)),
@@ -21,12 +22,17 @@ STENCILS = {
     "quad_3": (("m5", "m3", "m1"), (3 / 8, -10 / 8, 15 / 8)),
     "cubic": (("m3", "m1", "p1", "p3"), (-1 / 16, 9 / 16, 9 / 16, -1 / 16)),
     "cubic_front": (("m1", "p1", "p3", "p5"), (5 / 16, 15 / 16, -5 / 16, 1 / 16)),
+    "cubic_front_2": (("m1", "p1", "p2", "p3"), (1 / 4, 6 / 4, -4 / 4, 1 / 4)),
     "cubic_back": (("m5", "m3", "m1", "p1"), (1 / 16, -5 / 16, 15 / 16, 5 / 16)),
+    "cubic_back_2": (("m7", "m5", "m3", "m1"), (-5 / 16, 21 / 16, -35 / 16, 35 / 16)),
+    "cubic2": (("m3", "m1", "p1", "p3"), (-3 / 40, 23 / 40, 23 / 40, -3 / 40)),
+    "ave3": (("m3", "m1", "p1"), (1 / 3, 1 / 3, 1 / 3)),
+    "pchip": (("m1", "p1"), (0.5, 0.5)),
 }
 
 
 def interpolate(kind: str, **values: Column) -> Column:
-    """An interpolator over neighbours named m5 .. p5 (m: before, p: after, in grid steps)."""
+    """An interpolator over neighbours named m7 .. p5 (m: before, p: after, in grid steps)."""
     names, weights = STENCILS[kind]
     out = F.lit(0.0)
     for name, weight in zip(names, weights, strict=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -32,6 +32,9 @@ for _name, _module in (("sz3", sz3), ("szx", szx), ("szp", szp), ("cuszp", cuszp
 register_surrogate("zfp", cr=sampled.zfp_cr, psnr=sampled.zfp_psnr, ssim=sampled.zfp_ssim)
 register_surrogate("sperr", cr=sampled.sperr_cr, psnr=sampled.sperr_psnr, ssim=sampled.sperr_ssim)
 
+#: Estimators of many bounds in one plan, by codec and metric.
+BOUNDS_AT_ONCE: dict[tuple[str, str], Callable] = {(name, metric): getattr(module, f"{metric}s") for name, module in (("szx", szx), ("szp", szp), ("cuszp", cuszp)) for metric in ("cr", "psnr")}
+
 #: Fixed value: the order in which codecs are tried; the first of equals wins.
 ORDER = ("sz3", "zfp", "szx", "sperr", "szp", "cuszp")
 DEFAULT = ("sz3", "zfp", "szx", "sperr")
@@ -45,13 +48,24 @@ def estimate(field: Field, name: str, eb: float, metric: str, **options) -> Data
     return value.select(F.lit(field.name).alias("field"), F.lit(name).alias("codec"), F.lit(float(eb)).alias("eb"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
 
 
+def estimate_all(field: Field, name: str, bounds: Sequence[float], metric: str, **options) -> DataFrame:
+    """(field, codec, eb, metric, value) of many bounds: in one plan that reads the field once, where the estimator is an expression."""
+    of_many = BOUNDS_AT_ONCE.get((name, metric))
+    if of_many is None:
+        return reduce(DataFrame.unionByName, [estimate(field, name, eb, metric, **options) for eb in bounds])
+    tried = [max(float(eb), 1e-16) for eb in bounds]
+    asked = F.element_at(F.array(*[F.lit(float(eb)) for eb in bounds]), F.col("at") + 1)
+    found = of_many(field, tried, **options)
+    return found.select(F.lit(field.name).alias("field"), F.lit(name).alias("codec"), asked.alias("eb"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
+
+
 def estimates(field: Field, codecs, eb: float, metric: str, options: dict | None = None) -> DataFrame:
     """The estimates of all codecs as one job."""
     return reduce(DataFrame.unionByName, [estimate(field, c, eb, metric, **(options or {}).get(c, {})) for c in codecs])
 
 
 def sweep(field: Field, codecs, bounds, metric: str, options: dict | None = None) -> DataFrame:
-    return reduce(DataFrame.unionByName, [estimates(field, codecs, eb, metric, options) for eb in bounds])
+    return reduce(DataFrame.unionByName, [estimate_all(field, c, bounds, metric, **(options or {}).get(c, {})) for c in codecs])
 
 
 def best(rows: DataFrame, largest: bool = True, by: str = "value") -> DataFrame:
@@ -75,17 +89,29 @@ def measure(field: Field, name: str, eb: float, metric: str) -> float:
         chunks.unpersist()
 
 
-def search(ask: Callable[[float], float], target: float, rising: bool, largest: float, low: float = -16.0, tolerance: float = 0.1) -> list[tuple[float, float]]:
+AHEAD = 4  # levels of a bisection that are asked in one job
+
+
+def search(ask: Callable[[float], float], target: float, rising: bool, largest: float, low: float = -16.0, tolerance: float = 0.1, ask_all: Callable[[list[float]], list[float]] | None = None) -> list[tuple[float, float]]:
     """Bisection of log10(bound): the probes (bound, value) in order; the last is the answer.
 
-    rising: whether the value grows with the bound.  An empty bracket gives no probe.
+    rising: whether the value grows with the bound.  An empty bracket gives no probe.  With ask_all the middles of the
+    next levels, whichever way they turn out, are asked at once; the probes are the same.
     """
     if largest <= 0:
         return []
-    high, probes = math.log10(largest), []
+    high, probes, known = math.log10(largest), [], {}
+
+    def middles(a: float, b: float, levels: int) -> list[float]:
+        middle = (a + b) / 2
+        return [] if not levels or b - a <= tolerance else [middle, *middles(a, middle, levels - 1), *middles(middle, b, levels - 1)]
+
     while high - low > tolerance:
         middle = (low + high) / 2
-        value = ask(10**middle)
+        if ask_all and middle not in known:
+            asked = middles(low, high, AHEAD)
+            known.update(zip(asked, ask_all([10**m for m in asked]), strict=True))
+        value = known[middle] if ask_all else ask(10**middle)
         probes.append((10**middle, value))
         if (value < target) if rising else (value > target):
             low = middle
@@ -94,14 +120,23 @@ def search(ask: Callable[[float], float], target: float, rising: bool, largest:
     return probes
 
 
-def find_bound(field: Field, name: str, metric: str, target: float, options: dict | None = None, **bracket) -> list[tuple[float, float]]:
-    """Probes for the bound at which a codec's estimate meets the target."""
-    own = (options or {}).get(name, {})
+def asker(field: Field, name: str, metric: str, options: dict) -> tuple[Callable[[float], float], Callable[[list[float]], list[float]] | None]:
+    """Functions that give the estimates of one bound, and of many in one job where the codec has that."""
 
     def ask(eb: float) -> float:
-        return estimate(field, name, eb, metric, **own).first()["value"]
+        return estimate(field, name, eb, metric, **options).first()["value"]
+
+    def ask_all(bounds: list[float]) -> list[float]:
+        found = {r["eb"]: r["value"] for r in estimate_all(field, name, bounds, metric, **options).collect()}  # a row a bound
+        return [found[eb] for eb in bounds]
+
+    return ask, ask_all if (name, metric) in BOUNDS_AT_ONCE else None
 
-    return search(ask, target, metric == "cr", field.range, **bracket)
+
+def find_bound(field: Field, name: str, metric: str, target: float, options: dict | None = None, **bracket) -> list[tuple[float, float]]:
+    """Probes for the bound at which a codec's estimate meets the target."""
+    ask, ask_all = asker(field, name, metric, (options or {}).get(name, {}))
+    return search(ask, target, metric == "cr", field.range, ask_all=ask_all, **bracket)
 
 
 def choose(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None, prefer: str = "small") -> DataFrame:
@@ -132,15 +167,17 @@ def autotune(field: Field, name: str, metric: str, target: float, tolerance: flo
 
     A coarse grid over the decades first, then golden sections around its best point.
     """
-    own, tried = (options or {}).get(name, {}), {}
+    (ask, ask_all), tried = asker(field, name, metric, (options or {}).get(name, {})), {}
 
     def off(log: float) -> float:
         if log not in tried:
-            tried[log] = estimate(field, name, 10**log, metric, **own).first()["value"]
+            tried[log] = ask(10**log)
         return abs(tried[log] - target)
 
     top = math.log10(field.range)
     grid = [top - 8 * i / 12 for i in range(13)]
+    if ask_all:
+        tried.update(zip(grid, ask_all([10**g for g in grid]), strict=True))
     centre = min(grid, key=off)
     low, high = centre - 8 / 12, min(top, centre + 8 / 12)
     ratio = (math.sqrt(5) - 1) / 2
@@ -177,8 +214,9 @@ def chunk_shape(dims: tuple[int, ...], cells: int = 1 << 16) -> tuple[int, ...]:
 CHUNKS = "field string, chunk_id long, codec string, eb double, method_id int, dtype string, dims array<long>, start long, payload binary, payload_bytes long"
 
 
-def compress(field: Field, name: str, eb: float, method: int = 3, cells: int = 1 << 16) -> DataFrame:
-    """Self-describing chunks of a field.  A chunk's cells meet in one task; its size is bounded by ``cells``."""
+def compress(field: Field, name: str | Sequence[str], eb: float, method: int = 3, cells: int = 1 << 16) -> DataFrame:
+    """Self-describing chunks of a field, by one codec or by each of several.  A chunk's cells meet in one task; its size is bounded by ``cells``."""
+    names = [name] if isinstance(name, str) else list(name)
     shape = chunk_shape(field.dims, cells)
     size = math.prod(shape)
     label, dims, dtype = field.name, field.dims, field.dtype
@@ -188,17 +226,19 @@ def compress(field: Field, name: str, eb: float, method: int = 3, cells: int = 1
         cells = table.sort_by("idx").column("v").to_numpy()
         values, bound = as_floats(cells, eb)
         own = (len(values) // math.prod(dims[1:]), *dims[1:])
-        payload = codec(name).encode(values.reshape(own), bound)
-        data = chunk_header(len(payload), method, eb) + payload
-        row = {"field": label, "chunk_id": chunk, "codec": name, "eb": eb, "method_id": method, "dtype": dtype, "dims": [int(d) for d in own], "start": chunk * size, "payload": data, "payload_bytes": len(data)}
+        rows = []
+        for used in names:
+            payload = codec(used).encode(values.reshape(own), bound)
+            data = chunk_header(len(payload), method, eb) + payload
+            rows.append({"field": label, "chunk_id": chunk, "codec": used, "eb": eb, "method_id": method, "dtype": dtype, "dims": [int(d) for d in own], "start": chunk * size, "payload": data, "payload_bytes": len(data)})
         kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64()]
-        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), kinds, strict=True)})
+        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in zip(rows[0], kinds, strict=True)})
 
     return field.cells.withColumn("chunk_id", F.expr(f"idx div {size}")).groupBy("chunk_id").applyInArrow(run, CHUNKS)
 
 
-def decompress(chunks: DataFrame) -> DataFrame:
-    """(idx, v) of chunks."""
+def decompress(chunks: DataFrame, with_codec: bool = False) -> DataFrame:
+    """(idx, v) of chunks, and the codec if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +246,10 @@ def decompress(chunks: DataFrame) -> DataFrame:
                 size, _, _ = read_chunk_header(data)
                 head = struct.calcsize("<Qid")
                 values = codec(name).decode(data[head : head + size]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(values))), pa.array(values.astype("<f4"))], ["idx", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(values))), pa.array(values.astype("<f4")), pa.array([name] * len(values))], ["idx", "v", "codec"])
 
-    return chunks.select("codec", "start", "payload").mapInArrow(run, "idx long, v float")
+    cells = chunks.select("codec", "start", "payload").mapInArrow(run, "idx long, v float, codec string")
+    return cells if with_codec else cells.select("idx", "v")
 
 
 def compress_field(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None) -> DataFrame:

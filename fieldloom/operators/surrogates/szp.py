@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from fieldloom.functions.bits import bit_width, quantize_half_away, quantize_tru
 from fieldloom.operators.sampling import sample_blocks
 from fieldloom.operators.ssim import mean_ssim
 from fieldloom.operators.stats import psnr_of
+from fieldloom.operators.surrogates.bounds import of_bounds, one_bound
 from fieldloom.sources.fixtures import Field, coords
 
 STRIDE, BLOCK = 5, 32
@@ -21,29 +24,32 @@ def sampled(field: Field, stride: int, block: int) -> DataFrame:
     return field.cells.where((b >= whole) | (b % stride == 0)).select(b.alias("block_id"), F.expr(f"cast(idx % {block} as int)").alias("pos"), "v")
 
 
-def block_sizes(rows: DataFrame, eb: float) -> DataFrame:
-    """(block_id, cells, bytes): 4 for the first value, 1 for the width, then signs and magnitudes of the differences."""
-    code = quantize_truncate(F.col("v"), eb)
-    coded = rows.withColumn("code", code)
-    steps = coded.withColumn("step", F.abs(F.col("code") - F.lag("code").over(Window.partitionBy("block_id").orderBy("pos"))))
-    b = steps.groupBy("block_id").agg(F.count("*").alias("cells"), F.coalesce(F.max("step"), F.lit(0)).alias("most"))
+def block_sizes(rows: DataFrame) -> DataFrame:
+    """(at, eb, block_id, cells, bytes): 4 for the first value, 1 for the width, then signs and magnitudes of the differences."""
+    coded = rows.withColumn("code", quantize_truncate(F.col("v"), F.col("eb")))
+    steps = coded.withColumn("step", F.abs(F.col("code") - F.lag("code").over(Window.partitionBy("at", "block_id").orderBy("pos"))))
+    b = steps.groupBy("at", "eb", "block_id").agg(F.count("*").alias("cells"), F.coalesce(F.max("step"), F.lit(0)).alias("most"))
     n = F.col("cells") - 1
     width = bit_width(F.col("most"))
     rest = width % 8
     packed = F.floor(width / 8) * n + F.when(rest == 0, F.lit(0)).otherwise(F.floor((rest * n - 1) / 8) + 1)
-    return b.select("block_id", "cells", (5 + F.when(F.col("most") > 0, F.floor((n + 7) / 8) + packed).otherwise(F.lit(0))).cast("long").alias("bytes"))
+    return b.select("at", "eb", "block_id", "cells", (5 + F.when(F.col("most") > 0, F.floor((n + 7) / 8) + packed).otherwise(F.lit(0))).cast("long").alias("bytes"))
 
 
-def cr(field: Field, eb: float, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
-    """Values counted are the differences, one fewer than the cells of a block."""
-    return block_sizes(sampled(field, stride, block), eb).agg((4 * F.sum(F.col("cells") - 1) / F.sum("bytes")).alias("value"))
+def crs(field: Field, bounds: Sequence[float], stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
+    """(at, eb, value) of all bounds.  Values counted are the differences, one fewer than the cells of a block."""
+    sizes = block_sizes(of_bounds(sampled(field, stride, block), bounds))
+    return sizes.groupBy("at", "eb").agg((4 * F.sum(F.col("cells") - 1) / F.sum("bytes")).alias("value"))
 
 
-def psnr(field: Field, eb: float, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
+def psnrs(field: Field, bounds: Sequence[float], stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
     v = F.col("v").cast("double")
-    back = quantize_half_away(F.col("v"), eb) * (2 * eb)
-    rows = sampled(field, stride, block).where("pos > 0")
-    return rows.agg(psnr_of(F.avg((v - back) * (v - back)), (F.max("v") - F.min("v")).cast("double")).alias("value"))
+    back = quantize_half_away(F.col("v"), F.col("eb")) * (2 * F.col("eb"))
+    rows = of_bounds(sampled(field, stride, block).where("pos > 0"), bounds)
+    return rows.groupBy("at", "eb").agg(psnr_of(F.avg((v - back) * (v - back)), (F.max("v") - F.min("v")).cast("double")).alias("value"))
+
+
+cr, psnr = one_bound(crs), one_bound(psnrs)
 
 
 def ssim(field: Field, eb: float, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def prefix_sum(rows: DataFrame, value: str, out: str, order: str = "idx", chunk: int = CHUNK) -> DataFrame:
+SUM_CHUNK = 1 << 20
+
+
+def prefix_sum(rows: DataFrame, value: str, out: str, order: str = "idx", chunk: int = SUM_CHUNK) -> DataFrame:
     """rows with the running sum of value in the order of a dense position.
 
-    Sums of chunks are summed first (one row a chunk), then every chunk runs on from where the one before ended.
+    Sums of chunks are summed first (one row for a million cells, the only rows that meet in one task), then every chunk runs
+    on from where the one before ended.
     """
     dealt = rows.withColumn("chunk", F.expr(f"{order} div {chunk}"))
     sums = dealt.groupBy("chunk").agg(F.sum(value).alias("chunk_sum"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import bits, kit, metadata
 from fieldloom.operators import predict, sampling, selection, ssim, stats
 from fieldloom.operators.codecs import CODECS
+from fieldloom.operators.surrogates.bounds import of_bounds
 from fieldloom.operators.surrogates import szp, szx
 from fieldloom.operators.windows import prefix_sum, shifted
 from fieldloom.sources.fixtures import coords, fixture, with_sql
@@ -191,6 +192,12 @@ def ssim_3d(spark, d):
     return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims)
 
 
+@query(with_sql("walk4") + ", " + pairs_sql("walk4", ", c0, c1, c2, c3") + ssim_sql([(f"c{i} // 4", f"c{i} // 4 <= (SELECT (k - 4) // 4 FROM side4)") for i in range(4)]))
+def ssim_4d(spark, d):
+    f = fixture(spark, d, "walk4")
+    return ssim.mean_ssim(coords(pairs(f), f.dims), f.dims, 4, 4)
+
+
 @query(with_sql("walk") + ", " + pairs_sql("walk") + ", n AS (SELECT count(*) AS n FROM walk)" + ", ex AS (SELECT x, y, unnest(range(greatest(0, (idx - 8 + 3) // 3), least((n - 8) // 3, idx // 3) + 1)) AS w FROM pairs, n)" + ssim_sql([("w", "true")]).replace("FROM pairs", "FROM ex"))
 def ssim_overlap(spark, d):
     f = fixture(spark, d, "walk")
@@ -415,12 +422,13 @@ def huffman_bits(spark, d):
 
 # --- predictors -------------------------------------------------------------------------------------------------------
 
-NEAR = ", ".join(f"CAST({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER (ORDER BY idx) AS DOUBLE) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in (-5, -3, -1, 1, 3, 5))
+NEIGHBOURS = (-7, -5, -3, -1, 1, 2, 3, 5)
+NEAR = ", ".join(f"CAST({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER (ORDER BY idx) AS DOUBLE) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in NEIGHBOURS)
 
 
 @query(with_sql("walk") + f", n AS (SELECT idx, {NEAR} FROM walk) SELECT idx, " + ", ".join(f"round({' + '.join(f'{w!r} * {n}' for n, w in zip(*predict.STENCILS[k], strict=True))}, 4) AS {k}" for k in predict.STENCILS) + " FROM n")
 def interp_formulas(spark, d):
-    names = {("m" if k < 0 else "p") + str(abs(k)): ("v", k) for k in (-5, -3, -1, 1, 3, 5)}
+    names = {("m" if k < 0 else "p") + str(abs(k)): ("v", k) for k in NEIGHBOURS}
     near = shifted(fixture(spark, d, "walk").cells, names)
     at = {n: F.col(n).cast("double") for n in names}
     return near.select("idx", *[F.round(predict.interpolate(k, **at), 4).alias(k) for k in predict.STENCILS])
@@ -463,6 +471,16 @@ def lorenzo1_3d(spark, d):
     return predict.lorenzo_nd(fixture(spark, d, "cube3d").with_coords(), 3).select("idx", F.round("pred", 4).alias("pred"))
 
 
+@query(with_sql("walk4") + ", " + lorenzo_sql("walk4", 4, 1) + " SELECT idx, round(pred, 4) AS pred FROM lz")
+def lorenzo1_4d(spark, d):
+    return predict.lorenzo_nd(fixture(spark, d, "walk4").with_coords(), 4).select("idx", F.round("pred", 4).alias("pred"))
+
+
+@query(with_sql("cube3d") + ", " + lorenzo_sql("cube3d", 3, 2) + " SELECT idx, round(pred, 4) AS pred FROM lz")
+def lorenzo2_3d(spark, d):
+    return predict.lorenzo_nd(fixture(spark, d, "cube3d").with_coords(), 3, 2).select("idx", F.round("pred", 4).alias("pred"))
+
+
 REGRESSION = f"""rs AS (SELECT c0 // 6 AS b0, c1 // 6 AS b1, count(*) AS num, sum({D}) AS s, sum(c0 % 6 * {D}) AS s0, sum(c1 % 6 * {D}) AS s1, max(c0 % 6) + 1 AS d0, max(c1 % 6) + 1 AS d1 FROM emb2d GROUP BY ALL),
   rc AS (SELECT *, CASE WHEN d0 > 1 THEN (2 * s0 / (d0 - 1) - s) * 6 / (num * (d0 + 1)) END AS slope0, CASE WHEN d1 > 1 THEN (2 * s1 / (d1 - 1) - s) * 6 / (num * (d1 + 1)) END AS slope1 FROM rs),
   reg AS (SELECT *, s / num - (d0 - 1) * slope0 / 2 - (d1 - 1) * slope1 / 2 AS constant FROM rc)"""
@@ -568,6 +586,14 @@ def dims_normalised(spark, d):
     return rows.select("dims", F.array_join(metadata.normalise_dims(own), "x").alias("kept"), metadata.product(metadata.normalise_dims(own)).alias("num"), metadata.dims_status(own).alias("status"))
 
 
+@query("""SELECT d AS dims, array_to_string(list_reverse(string_split(d, 'x')), 'x') AS turned, CAST(list_product(list_transform(string_split(d, 'x'), lambda x: x::BIGINT)) AS BIGINT) AS num
+  FROM (SELECT unnest(['1x500x1x100', '500x500x100', '7', '2x3']) AS d)""")
+def dims_reversed(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("1x500x1x100", "500x500x100", "7", "2x3")], "dims string")
+    own = metadata.reverse_dims(F.transform(F.split("dims", "x"), lambda x: x.cast("long")))
+    return rows.select("dims", F.array_join(own, "x").alias("turned"), metadata.product(own).alias("num"))
+
+
 @query(with_sql("walk") + f""" SELECT idx, round(1 / (1 + exp(-{D} / 100)), 6) AS sigmoid, round(ln(p / (1 - p)), 4) AS logit, round(0.5 * ln((1 + t) / (1 - t)), 4) AS arctanh, round(tanh({D} / 1000), 6) AS tanh
   FROM (SELECT *, least(greatest(abs({D}) / 2000, 1e-7), 1 - 1e-7) AS p, least(greatest({D} / 2000, 1e-7 - 1), 1 - 1e-7) AS t FROM walk)""")
 def transform_functions(spark, d):
@@ -649,7 +675,7 @@ SZP = f"""{EB}, zs AS (SELECT idx // 32 AS block_id, idx % 32 AS pos, v FROM wal
 @query(with_sql("walk") + ", " + SZP + " SELECT block_id, cells, bytes FROM zz")
 def szp_block_bytes(spark, d):
     f = fixture(spark, d, "walk")
-    return szp.block_sizes(szp.sampled(f, 5, 32), f.bound(REL))
+    return szp.block_sizes(of_bounds(szp.sampled(f, 5, 32), [f.bound(REL)])).select("block_id", "cells", "bytes")
 
 
 SZP_CR = "(SELECT 4 * sum(cells - 1) / sum(bytes) FROM zz)"
@@ -774,7 +800,7 @@ NATIVE = ("szx", "szp", "sz3")
 
 
 def _best(spark, d, metric: str, codecs=NATIVE):
-    f = fixture(spark, d, "walk")
+    f = fixture(spark, d, "walk").keep()
     rows = selection.best(selection.estimates(f, codecs, f.bound(REL), metric, OPTIONS))
     return rows.select("field", "codec", F.round("value", 6).alias("value"))
 
@@ -880,12 +906,10 @@ def decompress_chunks(spark, d):
 
 def _round_trips(spark, d, name: str, rank: int):
     f = fixture(spark, d, name)
-    eb, out = f.bound(REL), None
-    for codec in CODECS:
-        pairs_ = stats.zipped(f.cells, selection.decompress(selection.compress(f, codec, eb)))
-        row = pairs_.agg(F.lit(codec).alias("codec"), F.count("*").alias("cells"), (F.max(F.abs(F.col("x") - F.col("y"))) <= eb).alias("within_bound"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    eb = f.bound(REL)
+    back = selection.decompress(selection.compress(f, list(CODECS), eb), with_codec=True)
+    pairs_ = f.cells.select("idx", F.col("v").cast("double").alias("x")).join(back.select("idx", "codec", F.col("v").cast("double").alias("y")), "idx")
+    return pairs_.groupBy("codec").agg(F.count("*").alias("cells"), (F.max(F.abs(F.col("x") - F.col("y"))) <= eb).alias("within_bound"))
 
 
 TRIPS = " SELECT codec, count(*) AS cells, true AS within_bound FROM {0}, unnest(['sz3', 'zfp', 'szx', 'sperr', 'szp', 'qoz', 'trunc']) t(codec) GROUP BY ALL"

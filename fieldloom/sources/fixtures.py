@@ -43,6 +43,12 @@ class Field:
     def with_coords(self) -> DataFrame:
         return coords(self.cells, self.dims)
 
+    def reshaped(self, dims: tuple[int, ...]) -> Field:
+        """The same cells in other extents of the same product."""
+        if int(np.prod(dims)) != self.n:
+            raise ValueError(f"{dims} hold {int(np.prod(dims))} cells, not {self.n}")
+        return replace(self, dims=tuple(dims))
+
     def keep(self) -> Field:
         return replace(self, cells=self.cells.persist())
 
@@ -73,14 +79,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> Field:
-    if name in ("events", "walk", "cube3d"):
+    if name in ("events", "walk", "cube3d", "walk4"):
         events = _table(spark, sf_dir, "events")
         n = events.count()
         if name == "events":
             return Field(name, events.select(F.col("event_id").alias("idx"), F.col("value").cast("float").alias("v")), (n,))
         steps = events.select(F.col("event_id").alias("idx"), (F.round(F.col("value") * 100).cast("long") - 5000).alias("step"))
         cells = prefix_sum(steps, "step", "total").select("idx", (F.col("total").cast("double") / 100.0).cast("float").alias("v"))
-        dims = (n,) if name == "walk" else cube_dims(n)
+        side = next(k - 1 for k in range(1, n + 2) if k**4 > n)
+        dims = {"walk": (n,), "cube3d": cube_dims(n), "walk4": (side,) * 4}[name]  # cells beyond the product of dims are left out
         return Field(name, cells.where(F.col("idx") < int(np.prod(dims))), dims)
     if name == "orders":
         t = _table(spark, sf_dir, "orders")
@@ -109,14 +116,16 @@ SQL = {
     "emb2d": "SELECT vec_id * 64 + c1 AS idx, CAST(v AS FLOAT) AS v, CAST(vec_id AS INTEGER) AS c0, CAST(c1 AS INTEGER) AS c1 FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS c1 FROM embeddings)",
 }
 SQL["shape3"] = "SELECT CASE count(*) WHEN 1000 THEN 10 WHEN 10000 THEN 20 ELSE 50 END AS d1, CASE count(*) WHEN 1000 THEN 10 WHEN 10000 THEN 20 ELSE 40 END AS d2, CASE count(*) WHEN 1000 THEN 10 WHEN 10000 THEN 25 ELSE count(*) // 2000 END AS d0 FROM events"
-SQL["cube3d"] = "SELECT idx, v, CAST(idx // (d1 * d2) AS INTEGER) AS c0, CAST((idx // d2) % d1 AS INTEGER) AS c1, CAST(idx % d2 AS INTEGER) AS c2 FROM walk, shape3"
+SQL["cube3d"] = "SELECT idx, v, CAST(idx // (d1 * d2) AS INTEGER) AS c0, CAST((idx // d2) % d1 AS INTEGER) AS c1, CAST(idx % d2 AS INTEGER) AS c2 FROM walk, shape3 WHERE idx < d0 * d1 * d2"
+SQL["side4"] = "SELECT max(k) AS k FROM range(1, 3000) t(k), (SELECT count(*) AS n FROM events) WHERE k * k * k * k <= n"
+SQL["walk4"] = "SELECT idx, v, CAST(idx // (k * k * k) AS INTEGER) AS c0, CAST((idx // (k * k)) % k AS INTEGER) AS c1, CAST((idx // k) % k AS INTEGER) AS c2, CAST(idx % k AS INTEGER) AS c3 FROM walk, side4 WHERE idx < k * k * k * k"
 
 
 def with_sql(*names: str) -> str:
     """A WITH clause that defines the fixtures and what they need."""
     needed: list[str] = []
     for name in names:
-        for x in (("walk", "shape3", "cube3d") if name == "cube3d" else (name,)):
+        for x in {"cube3d": ("walk", "shape3", "cube3d"), "walk4": ("walk", "side4", "walk4")}.get(name, (name,)):
             if x not in needed:
                 needed.append(x)
     # a fixture named like a table reads the table, so it gets a name of its own
