@@ -33,7 +33,28 @@ class Codec:
 CODECS = {name: Codec(own) for name, own in (("sz3", multilevel), ("zfp", transform), ("szx", blockfloat), ("sperr", wavelet), ("szp", delta), ("qoz", lorenzo), ("trunc", truncate))}
 
 
-def codec(name: str) -> Codec:
-    if name not in CODECS:
-        raise ValueError(f"no codec named {name}; there are {', '.join(CODECS)}")
-    return CODECS[name]
+class Smaller:
+    """Of several codecs the one with the smallest result for the block, whose number goes first."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def encode(self, values: np.ndarray, eb: float) -> bytes:
+        tried = [CODECS[n].encode(values, eb) for n in self.names]
+        best = min(range(len(tried)), key=lambda i: (len(tried[i]), i))
+        return bytes([best]) + tried[best]
+
+    def decode(self, data: bytes) -> np.ndarray:
+        return CODECS[self.names[data[0]]].decode(data[1:])
+
+
+#: Names of the algorithms that block settings may ask for.
+ALGORITHMS = {"LORENZO_REG": CODECS["qoz"], "INTERP": CODECS["sz3"], "INTERP_LORENZO": Smaller("sz3", "qoz")}
+
+
+def codec(name: str) -> Codec | Smaller:
+    """A codec by its name or its algorithm's."""
+    known = {**CODECS, **ALGORITHMS}
+    if name not in known:
+        raise ValueError(f"no codec named {name}; there are {', '.join(known)}")
+    return known[name]

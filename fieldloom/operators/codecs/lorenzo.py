@@ -1,7 +1,8 @@
-"""Lorenzo or block regression, chosen by block, quantized, Huffman-coded and squeezed.
+"""A composed predictor by block: Lorenzo, a regression plane, or zero; quantized, Huffman-coded and squeezed.
 
 Values are first rounded to steps of twice the bound; Lorenzo differences of whole numbers are exact, so blocks decode
-with running sums.  A block takes the plane instead where its codes are smaller in sum.
+with running sums.  A block takes the predictor whose codes are smallest in sum, the plane at the price of its
+coefficients; values that the steps cannot hold are stored as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from fieldloom.operators.codecs.packing import huffman_decode, huffman_encode, p
 
 EDGE = {1: 128, 2: 16, 3: 6, 4: 4}
 MOST = 2**40
+STEP, PLANE, ZERO = range(3)  # predictors of a block
+PLANE_PRICE = 32  # in steps
 
 
 def tiles(shape: tuple[int, ...]):
@@ -53,10 +56,11 @@ def encode(values: np.ndarray, eb: float) -> bytes:
         by_step = differences(block)
         c = plane(block)
         by_plane = block - plane_values(c, block.shape)
-        kinds.append(int(np.abs(by_plane).sum() + 32 < np.abs(by_step).sum()))
-        if kinds[-1]:
+        choices = by_step, by_plane, block
+        kinds.append(int(np.argmin([np.abs(x).sum() + price for x, price in zip(choices, (0, PLANE_PRICE, 0), strict=True)])))
+        if kinds[-1] == PLANE:
             planes.append(c.tobytes())
-        codes.append((by_plane if kinds[-1] else by_step).ravel())
+        codes.append(choices[kinds[-1]].ravel())
     coded = huffman_encode(np.concatenate(codes) if codes else np.zeros(0, np.int64))
     return pack(shape_bytes(values.shape), struct.pack("<d", eb), squeeze(coded), squeeze(bytes(kinds)), squeeze(b"".join(planes)))
 
@@ -73,10 +77,10 @@ def decode(data: bytes) -> np.ndarray:
         block = out[tile]
         own = codes[at : at + block.size].reshape(block.shape)
         at += block.size
-        if kind:
+        if kind == PLANE:
             own = own + plane_values(planes[used], block.shape)
             used += 1
-        else:
+        elif kind == STEP:
             for axis in range(own.ndim):
                 own = np.cumsum(own, axis=axis)
         out[tile] = own

@@ -130,22 +130,42 @@ def conditioned(a: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def encode(values: np.ndarray, eb: float) -> bytes:
+    """Every value within eb: cells that the coefficients leave further off are corrected."""
     x = np.ascontiguousarray(values, "<f4").astype(float)
     if x.size and (x == x.flat[0]).all():
         return pack(shape_bytes(values.shape), struct.pack("<f", x.flat[0]))
+    return encode_step(x, 1.5 * eb, eb)
+
+
+def encode_step(x: np.ndarray, step: float, eb: float = 0.0) -> bytes:
+    """Coefficients in steps; corrections up to the bound eb if there is one."""
     mean, centred = conditioned(x)
     coefficients = dwt(centred)
-    step = 1.5 * eb
     whole = np.floor(np.abs(coefficients) / step).astype(np.int64)
     planes = int(whole.max()).bit_length() if whole.size else 0
     bits = Bits()
     set_partition(whole, x.shape, planes, bits)
     for negative in (coefficients < 0)[whole > 0].ravel().tolist():
         bits.put(int(negative))
-    back = rebuild(whole, coefficients < 0, step, mean)
-    wrong = np.flatnonzero(np.abs(back.astype("<f4").astype(float) - x) > eb)
-    fix = x.ravel()[wrong].astype("<f4")
-    return pack(shape_bytes(values.shape), struct.pack("<ddi", mean, step, planes), squeeze(bits.tobytes(), 9), squeeze(np.diff(wrong, prepend=0).astype("<u4").tobytes() + fix.tobytes(), 9))
+    head = struct.pack("<ddid", mean, step, planes, eb)
+    back = rebuild(whole, coefficients < 0, step, mean).astype("<f4").ravel()
+    if not eb:
+        return pack(shape_bytes(x.shape), head, squeeze(bits.tobytes(), 9), b"", b"")
+    flat = x.ravel()
+    off = flat - back
+    size = np.where(np.abs(off) > eb, np.rint(np.minimum(np.abs(off) / eb, 2.0**40)), 0).astype(np.int64)
+    outliers, top = Bits(), int(size.max()).bit_length() if size.size else 0
+    set_partition(size, size.shape, top, outliers)
+    for negative in (off < 0)[size > 0].tolist():
+        outliers.put(int(negative))
+    fixed = corrected(back, size, off < 0, eb)
+    wrong = np.flatnonzero(~(np.abs(fixed.astype(float) - flat) <= eb))  # finer than a float's digits
+    rest = np.diff(wrong, prepend=0).astype("<u4").tobytes() + flat[wrong].astype("<f4").tobytes()
+    return pack(shape_bytes(x.shape), head, squeeze(bits.tobytes(), 9), struct.pack("<i", top) + squeeze(outliers.tobytes(), 9) if top else b"", squeeze(rest, 9) if rest else b"")
+
+
+def corrected(back: np.ndarray, size: np.ndarray, negative: np.ndarray, eb: float) -> np.ndarray:
+    return (back.astype(float) + np.where(negative, -size, size) * eb).astype("<f4")
 
 
 def rebuild(whole: np.ndarray, negative: np.ndarray, step: float, mean: float) -> np.ndarray:
@@ -153,18 +173,58 @@ def rebuild(whole: np.ndarray, negative: np.ndarray, step: float, mean: float) -
     return idwt(np.where(negative, -size, size)) + mean
 
 
+def signed_set(bits: Bits, shape: tuple[int, ...], planes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(magnitudes, whether negative) as set_partition and the signs after it have them."""
+    whole = set_partition(None, shape, planes, bits)
+    negative = np.zeros(shape, bool)
+    negative[whole > 0] = [bits.get() for _ in range(int((whole > 0).sum()))]
+    return whole, negative
+
+
 def decode(data: bytes) -> np.ndarray:
     shape, head, *rest = unpack(data)
     shape = read_shape(shape)
     if not rest:
         return np.full(shape, struct.unpack("<f", head)[0], "<f4")
-    mean, step, planes = struct.unpack("<ddi", head)
-    bits = Bits(unsqueeze(rest[0]))
-    whole = set_partition(None, shape, planes, bits)
-    negative = np.zeros(shape, bool)
-    negative[whole > 0] = [bits.get() for _ in range(int((whole > 0).sum()))]
+    mean, step, planes, eb = struct.unpack("<ddid", head)
+    whole, negative = signed_set(Bits(unsqueeze(rest[0])), shape, planes)
     out = rebuild(whole, negative, step, mean).astype("<f4").ravel()
-    fix = unsqueeze(rest[1])
-    n = len(fix) // 8
-    out[np.cumsum(np.frombuffer(fix, "<u4", n))] = np.frombuffer(fix, "<f4", n, 4 * n)
+    if rest[1]:
+        size, negative = signed_set(Bits(unsqueeze(rest[1][4:])), out.shape, struct.unpack_from("<i", rest[1])[0])
+        out = corrected(out, size, negative, eb)
+    if rest[2]:
+        fix = unsqueeze(rest[2])
+        n = len(fix) // 8
+        out[np.cumsum(np.frombuffer(fix, "<u4", n))] = np.frombuffer(fix, "<f4", n, 4 * n)
     return out.reshape(shape)
+
+
+def encode_target(values: np.ndarray, bits_per_value: float | None = None, psnr: float | None = None) -> bytes:
+    """At most so many bits a value, or at least such a ratio of signal to noise (in dB of the values' range); one of the two.
+
+    The step is found by bisection of its logarithm; decode() reads the result like any other.
+    """
+    if (bits_per_value is None) == (psnr is None):
+        raise ValueError("one target is needed: bits_per_value or psnr")
+    x = np.ascontiguousarray(values, "<f4").astype(float)
+    spread = float(x.max() - x.min()) if x.size else 0.0
+    if not spread:
+        return encode(values, 1.0)
+
+    def holds(data: bytes) -> bool:
+        if psnr is None:
+            return 8 * len(data) <= bits_per_value * x.size
+        error = float(((decode(data).astype(float) - x) ** 2).mean())
+        return error == 0 or 10 * np.log10(spread * spread / error) >= psnr
+
+    low, high, best = np.log2(spread) - 30, np.log2(spread) + 2, None
+    while high - low > 0.05:
+        middle = (low + high) / 2
+        data = encode_step(x, 2.0**middle)
+        if holds(data):
+            best = data
+        if holds(data) == (psnr is None):
+            high = middle  # fewer bits than allowed: finer steps
+        else:
+            low = middle
+    return best if best is not None else encode_step(x, 2.0 ** (high if psnr is None else low))

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 import __spark_entry__
 from fieldloom.functions import bits, kit, metadata
 from fieldloom.operators import legacy, sampling, selection, stats
-from fieldloom.operators.codecs import CODECS, arithmetic, packing, transform, wavelet
+from fieldloom.operators.codecs import ALGORITHMS, CODECS, arithmetic, codec, lorenzo, multilevel, packing, transform, wavelet
 from fieldloom.operators.surrogates import szp, szx
 from fieldloom.plans import catalog
 from fieldloom.sources import config, raw
@@ -71,6 +71,33 @@ def test_codecs_hold_their_bound(name, seed, shape, rel, kind):
     assert np.array_equal(CODECS[name].decode(CODECS[name].encode(a, eb)), a, equal_nan=True)
 
 
+@pytest.mark.parametrize("shape", [(500,), (40, 30), (12, 14, 10)])
+def test_algorithms_and_levels(shape):
+    a = np.random.default_rng(3).normal(size=shape).cumsum(axis=-1).astype("f4")
+    for name in ALGORITHMS:
+        assert np.abs(codec(name).decode(codec(name).encode(a, 1e-2)).astype(float) - a.astype(float)).max() <= 1e-2
+    assert len(codec("INTERP_LORENZO").encode(a, 1e-2)) == 1 + min(len(CODECS[n].encode(a, 1e-2)) for n in ("sz3", "qoz"))
+    flat = np.zeros(shape, "f4")
+    flat.flat[np.random.default_rng(5).random(flat.size) < 0.05] = 1
+    assert set(packing.unsqueeze(packing.unpack(lorenzo.encode(flat, 0.1))[3])) >= {lorenzo.ZERO}  # where nothing is near, nothing predicts best
+    for alpha, beta, linear in ((1.0, 1.0, True), (1.5, 3.0, False), (2.0, 2.0, True)):
+        assert np.abs(multilevel.decode(multilevel.encode(a, 1e-2, alpha, beta, linear)).astype(float) - a.astype(float)).max() <= 1e-2
+
+
+def test_wavelet_targets():
+    a = np.random.default_rng(4).normal(size=(24, 20, 20)).cumsum(axis=0).astype("f4")
+    spread = float(a.max() - a.min())
+    for bits in (1.0, 3.0):
+        data = wavelet.encode_target(a, bits_per_value=bits)
+        assert 0.7 * bits * a.size <= 8 * len(data) <= bits * a.size
+    for psnr in (40.0, 70.0):
+        back = wavelet.decode(wavelet.encode_target(a, psnr=psnr))
+        assert psnr <= 10 * math.log10(spread**2 / ((back.astype(float) - a) ** 2).mean()) <= psnr + 3
+    assert np.array_equal(wavelet.decode(wavelet.encode_target(np.ones((9, 9)), psnr=50.0)), np.ones((9, 9)))
+    with pytest.raises(ValueError, match="one target"):
+        wavelet.encode_target(a)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(-(2**31), 2**31), max_size=400))
 def test_huffman_round_trip(values):
