@@ -289,20 +289,24 @@ def test_block_max_wand_is_exact(seed, dense):
         terms = sorted({t for t, _, _ in entries})
         counts = np.array([sum(x[0] == t for x in entries) for t in terms], np.int32)
         runs.append(([f"t{t}" for t in terms], counts, search.joined(ids[part], length[part], np.array([x[1] for x in entries], "<u2"), np.array([x[2] for x in entries], "<i4"))))
-    was, search.DENSE = search.DENSE, dense
+    was, (search.DENSE, search.ROOM) = (search.DENSE, search.ROOM), (dense, int(rng.integers(0, 9)))
     shard = search.Shard(runs, 40.0)
-    search.DENSE = was
-    asked = [t for t in range(vocabulary) if f"t{t}" in shard.numbers and rng.random() < 0.7]
-    weight, k = {t: float(rng.random() * 5) + 0.01 for t in asked}, int(rng.integers(1, 12))
-    score = Counter()
-    for d in range(n):
-        own = [weight[int(t)] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[d] / 40))) for t, f in zip(rows[d], tfs[d], strict=True) if int(t) in weight]
-        if own:
-            score[int(ids[d])] = sum(own)
-    want = sorted((-round(s, 9), d) for d, s in score.items())[:k]
-    found, got = shard.search(np.array([shard.numbers[f"t{t}"] for t in asked], np.int64), np.array([weight[t] for t in asked]), k)
-    assert len(found) == len(want) and all(abs(s + w) < 1e-6 for s, (w, _) in zip(got, want, strict=True))
-    assert all(d == e or abs(score[d] - score[e]) < 1e-8 for d, (_, e) in zip(found.tolist(), want, strict=True))
+    search.DENSE, search.ROOM = was
+    asked, wanted, k = [], [], int(rng.integers(1, 12))
+    for _ in range(int(rng.integers(1, 5))):
+        own = [t for t in range(vocabulary) if f"t{t}" in shard.numbers and rng.random() < 0.7]
+        weight = {t: float(rng.random() * 5) + 0.01 for t in own}
+        asked.append((np.array([shard.numbers[f"t{t}"] for t in own], np.int64), np.array([weight[t] for t in own])))
+        score = Counter()
+        for d in range(n):
+            parts = [weight[int(t)] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[d] / 40))) for t, f in zip(rows[d], tfs[d], strict=True) if int(t) in weight]
+            if parts:
+                score[int(ids[d])] = sum(parts)
+        wanted.append(score)
+    for (found, got), score in zip(shard.search(asked, k), wanted, strict=True):
+        want = sorted((-round(s, 9), d) for d, s in score.items())[:k]
+        assert len(found) == len(want) and all(abs(s + w) < 1e-6 for s, (w, _) in zip(got, want, strict=True))
+        assert all(d == e or abs(score[d] - score[e]) < 1e-8 for d, (_, e) in zip(found.tolist(), want, strict=True))
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------
