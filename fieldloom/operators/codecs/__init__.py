@@ -18,10 +18,10 @@ class Codec:
     def __init__(self, own: ModuleType):
         self.own = own
 
-    def encode(self, values: np.ndarray, eb: float) -> bytes:
+    def encode(self, values: np.ndarray, eb: float, **options) -> bytes:
         if values.size and not np.isfinite(values).all():
             return AS_IT_IS + pack(shape_bytes(values.shape), np.ascontiguousarray(values, "<f4").tobytes())
-        return self.own.encode(values, eb)
+        return self.own.encode(values, eb, **options)
 
     def decode(self, data: bytes) -> np.ndarray:
         if data[: len(AS_IT_IS)] == AS_IT_IS:

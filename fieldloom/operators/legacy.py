@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from fieldloom.operators import selection, stats
 from fieldloom.operators.codecs import codec
-from fieldloom.sources.config import Setting, Settings, Target
+from fieldloom.sources.config import BlockSettings, Setting, Settings, Target
 from fieldloom.sources.fixtures import Field
 
 SMALL = 20  # fields with fewer cells are stored as they are
@@ -42,6 +42,23 @@ def legacy_compress(field: Field, settings: Settings, override: Setting | None =
     return selection.compress(field, name, eb)
 
 
+def block_compress(field: Field, settings: BlockSettings) -> DataFrame:
+    """Chunks by the algorithm of block settings.
+
+    With a sample rate the levels of interpolation are tuned on that share of the chunks for the tuning target; they
+    concern the algorithm of interpolation alone.
+    """
+    mode = {"ABS": "abs", "REL": "rel", "PSNR": "psnr", "NORM": "norm", "ABS_AND_REL": "abs_and_rel", "ABS_OR_REL": "abs_or_rel"}[settings.mode]
+    eb = stats.error_bound(mode, field.range, field.n, abs_=settings.abs_bound, rel=settings.rel_bound, psnr_=settings.psnr_bound, norm=settings.norm_bound)
+    if settings.algorithm != "ALGO_INTERP":
+        return selection.compress(field, settings.algorithm.removeprefix("ALGO_"), eb)
+    level = (settings.alpha, settings.beta, settings.interpolation == "INTERP_ALGO_LINEAR")
+    if settings.sample_rate > 0:
+        best = selection.tune_levels(field, eb, settings.tuning, max(1, round(1 / settings.sample_rate))).first()
+        level = (best["alpha"], best["beta"], best["linear"])
+    return selection.compress(field, "INTERP", eb, options={"alpha": level[0], "beta": level[1], "linear": level[2]})
+
+
 def tuned(field: Field, name: str, target: Target) -> float:
     share = target.tolerance / 100 if target.tolerance > 1 else target.tolerance
     return selection.autotune(field.keep(), name, target.metric, target.value, share)[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 from collections.abc import Callable, Iterator, Sequence
@@ -9,12 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.metadata import GOALS, REGISTERED, chunk_header, read_chunk_header
 from fieldloom.operators import stats
-from fieldloom.operators.codecs import codec
+from fieldloom.operators.codecs import codec, multilevel
 from fieldloom.operators.ssim import mean_ssim
 from fieldloom.operators.surrogates import cuszp, sampled, sz3, szp, szx
 from fieldloom.sources.fixtures import Field, coords
@@ -92,11 +93,10 @@ def measure(field: Field, name: str, eb: float, metric: str) -> float:
 AHEAD = 4  # levels of a bisection that are asked in one job
 
 
-def search(ask: Callable[[float], float], target: float, rising: bool, largest: float, low: float = -16.0, tolerance: float = 0.1, ask_all: Callable[[list[float]], list[float]] | None = None) -> list[tuple[float, float]]:
-    """Bisection of log10(bound): the probes (bound, value) in order; the last is the answer.
+def bisection(target: float, rising: bool, largest: float, low: float = -16.0, tolerance: float = 0.1, ahead: int = 1):
+    """Bisection of log10(bound) as a generator: it yields lists of bounds, takes their values, and returns the probes (bound, value).
 
-    rising: whether the value grows with the bound.  An empty bracket gives no probe.  With ask_all the middles of the
-    next levels, whichever way they turn out, are asked at once; the probes are the same.
+    A list holds the middles of the next ``ahead`` levels, whichever way they turn out; the probes are those of ahead=1.
     """
     if largest <= 0:
         return []
@@ -108,18 +108,43 @@ def search(ask: Callable[[float], float], target: float, rising: bool, largest:
 
     while high - low > tolerance:
         middle = (low + high) / 2
-        if ask_all and middle not in known:
-            asked = middles(low, high, AHEAD)
-            known.update(zip(asked, ask_all([10**m for m in asked]), strict=True))
-        value = known[middle] if ask_all else ask(10**middle)
-        probes.append((10**middle, value))
-        if (value < target) if rising else (value > target):
+        if middle not in known:
+            asked = middles(low, high, ahead)
+            known.update(zip(asked, (yield [10**m for m in asked]), strict=True))
+        probes.append((10**middle, known[middle]))
+        if (known[middle] < target) if rising else (known[middle] > target):
             low = middle
         else:
             high = middle
     return probes
 
 
+def bisect_all(running: list, ask_all: Callable[[list[float]], list[float]]) -> list[list[tuple[float, float]]]:
+    """The probes of several bisections that go on together: one call for what all of them ask next."""
+    out: list = [None] * len(running)
+    answers: dict[int, list[float] | None] = dict.fromkeys(range(len(running)))
+    while answers:
+        asked = {}
+        for i, answer in answers.items():
+            try:
+                asked[i] = running[i].send(answer)
+            except StopIteration as end:
+                out[i] = end.value
+        bounds = sorted({eb for own in asked.values() for eb in own})
+        value = dict(zip(bounds, ask_all(bounds) if bounds else [], strict=True))
+        answers = {i: [value[eb] for eb in own] for i, own in asked.items()}
+    return out
+
+
+def search(ask: Callable[[float], float], target: float, rising: bool, largest: float, low: float = -16.0, tolerance: float = 0.1, ask_all: Callable[[list[float]], list[float]] | None = None) -> list[tuple[float, float]]:
+    """The probes (bound, value) of a bisection of log10(bound) in order; the last is the answer.
+
+    rising: whether the value grows with the bound.  An empty bracket gives no probe.  ask_all: values of many bounds.
+    """
+    own = bisection(target, rising, largest, low, tolerance, AHEAD if ask_all else 1)
+    return bisect_all([own], ask_all or (lambda bounds: [ask(eb) for eb in bounds]))[0]
+
+
 def asker(field: Field, name: str, metric: str, options: dict) -> tuple[Callable[[float], float], Callable[[list[float]], list[float]] | None]:
     """Functions that give the estimates of one bound, and of many in one job where the codec has that."""
 
@@ -133,13 +158,20 @@ def asker(field: Field, name: str, metric: str, options: dict) -> tuple[Callable
     return ask, ask_all if (name, metric) in BOUNDS_AT_ONCE else None
 
 
+def find_bounds(field: Field, name: str, metric: str, targets: Sequence[float], options: dict | None = None, **bracket) -> list[list[tuple[float, float]]]:
+    """Probes for the bounds at which a codec's estimate meets each target; bracket: largest, low and tolerance of bisection()."""
+    ask, ask_all = asker(field, name, metric, (options or {}).get(name, {}))
+    largest = bracket.pop("largest", None) or field.range
+    running = [bisection(t, metric == "cr", largest, ahead=AHEAD if ask_all else 1, **bracket) for t in targets]
+    return bisect_all(running, ask_all or (lambda bounds: [ask(eb) for eb in bounds]))
+
+
 def find_bound(field: Field, name: str, metric: str, target: float, options: dict | None = None, **bracket) -> list[tuple[float, float]]:
     """Probes for the bound at which a codec's estimate meets the target."""
-    ask, ask_all = asker(field, name, metric, (options or {}).get(name, {}))
-    return search(ask, target, metric == "cr", field.range, ask_all=ask_all, **bracket)
+    return find_bounds(field, name, metric, [target], options, **bracket)[0]
 
 
-def choose(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None, prefer: str = "small") -> DataFrame:
+def choose(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None, prefer: str = "small", bracket: dict | None = None) -> DataFrame:
     """The codec and bound for a goal 'fixed_improved': one row (field, codec, eb, metric, value).
 
     eb_*: the bound is given.  psnr_cr, ssim_cr, cr_psnr, cr_ssim: every codec's bound is searched, then the improved
@@ -153,7 +185,7 @@ def choose(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict
         return best(estimates(kept, codecs, target, improved, options))
     bounds = {}
     for name in codecs:
-        probes = find_bound(kept, name, fixed, target, options)
+        probes = find_bound(kept, name, fixed, target, options, **(bracket or {}))
         if probes:
             bounds[name] = probes[-1][0]
     if improved == "eb":
@@ -214,9 +246,12 @@ def chunk_shape(dims: tuple[int, ...], cells: int = 1 << 16) -> tuple[int, ...]:
 CHUNKS = "field string, chunk_id long, codec string, eb double, method_id int, dtype string, dims array<long>, start long, payload binary, payload_bytes long"
 
 
-def compress(field: Field, name: str | Sequence[str], eb: float, method: int = 3, cells: int = 1 << 16) -> DataFrame:
-    """Self-describing chunks of a field, by one codec or by each of several.  A chunk's cells meet in one task; its size is bounded by ``cells``."""
-    names = [name] if isinstance(name, str) else list(name)
+def compress(field: Field, name: str | Sequence[str], eb: float | Sequence[float], method: int = 3, cells: int = 1 << 16, options: dict | None = None) -> DataFrame:
+    """Self-describing chunks of a field, by one codec or by each of several, under one bound or each of several.
+
+    A chunk's cells meet in one task; its size is bounded by ``cells``.  options go to the codec's encode().
+    """
+    names, bounds = [name] if isinstance(name, str) else list(name), list(eb) if isinstance(eb, Sequence) else [eb]
     shape = chunk_shape(field.dims, cells)
     size = math.prod(shape)
     label, dims, dtype = field.name, field.dims, field.dtype
@@ -224,11 +259,11 @@ def compress(field: Field, name: str | Sequence[str], eb: float, method: int = 3
     def run(key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
         cells = table.sort_by("idx").column("v").to_numpy()
-        values, bound = as_floats(cells, eb)
-        own = (len(values) // math.prod(dims[1:]), *dims[1:])
+        values = [as_floats(cells, eb) for eb in bounds]
+        own = (len(cells) // math.prod(dims[1:]), *dims[1:])
         rows = []
-        for used in names:
-            payload = codec(used).encode(values.reshape(own), bound)
+        for used, (eb, (floats, bound)) in itertools.product(names, zip(bounds, values, strict=True)):
+            payload = codec(used).encode(floats.reshape(own), bound, **(options or {}))
             data = chunk_header(len(payload), method, eb) + payload
             rows.append({"field": label, "chunk_id": chunk, "codec": used, "eb": eb, "method_id": method, "dtype": dtype, "dims": [int(d) for d in own], "start": chunk * size, "payload": data, "payload_bytes": len(data)})
         kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64()]
@@ -252,6 +287,75 @@ def decompress(chunks: DataFrame, with_codec: bool = False) -> DataFrame:
     return cells if with_codec else cells.select("idx", "v")
 
 
+def decompress_range(chunks: DataFrame, first: int, last: int) -> DataFrame:
+    """(idx, v) of the cells from first up to last; only chunks that hold some of them are decoded."""
+    size = F.aggregate("dims", F.lit(1).cast("long"), lambda a, d: a * d)
+    return decompress(chunks.where((F.col("start") < last) & (F.col("start") + size > first))).where((F.col("idx") >= first) & (F.col("idx") < last))
+
+
+def chunk_table(chunks: DataFrame) -> DataFrame:
+    """(field, codec, chunk_id, start, cells, offset, bytes, eb, method_id): the header of a stream of chunks, read from theirs.
+
+    offset: bytes of the chunks before; chunks are summed up by field and codec, which have a row for 65,536 cells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [read_chunk_header(x.as_py()) for x in batch.column(4)]
+            cells = [math.prod(x.as_py()) for x in batch.column(5)]
+            sizes = [h[0] + struct.calcsize("<Qid") for h in heads]
+            columns = [*batch.columns[:4], pa.array(cells, pa.int64()), pa.array(sizes, pa.int64()), pa.array([h[2] for h in heads], pa.float64()), pa.array([h[1] for h in heads], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["field", "codec", "chunk_id", "start", "cells", "bytes", "eb", "method_id"])
+
+    read = chunks.select("field", "codec", "chunk_id", "start", "payload", "dims").mapInArrow(run, "field string, codec string, chunk_id long, start long, cells long, bytes long, eb double, method_id int")
+    before = Window.partitionBy("field", "codec").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    return read.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+
+
+def real_ratios(field: Field, name: str, bounds: Sequence[float]) -> DataFrame:
+    """(eb, ratio) that a codec really reaches under each bound, in one job."""
+    made = compress(field, name, [float(eb) for eb in bounds])
+    return made.groupBy("eb").agg((F.lit(field.n * 4) / F.sum("payload_bytes")).alias("ratio"))
+
+
+#: What levels can be tuned for.
+TUNING_TARGETS = ("TUNING_TARGET_RD", "TUNING_TARGET_CR", "TUNING_TARGET_SSIM", "TUNING_TARGET_AC")
+LEVELS = tuple((a, b, linear) for linear in (False, True) for a, b in ((1.0, 1.0), (1.25, 2.0), (1.5, 3.0), (2.0, 4.0)))
+
+
+def tune_levels(field: Field, eb: float, target: str = "TUNING_TARGET_RD", every: int = 5, cells: int = 1 << 12) -> DataFrame:
+    """(alpha, beta, linear, bits, rmse, ssim, autocorrelation, value), best first: levels of the interpolation codec, tried on a sample.
+
+    Every every-th chunk is coded with each choice.  value is the smaller the better: bits a cell for CR, bits and the
+    logarithm of the error for RD, one less the similarity for SSIM, the errors' lag-one correlation for AC.
+    """
+    if target not in TUNING_TARGETS:
+        raise ValueError(f"{target} is none of {', '.join(TUNING_TARGETS)}")
+    size = math.prod(chunk_shape(field.dims, cells))
+    dims = field.dims
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = table.sort_by("idx").column("v").to_numpy().astype("<f4")
+        x = x.reshape(len(x) // math.prod(dims[1:]), *dims[1:])
+        rows = []
+        for n, (alpha, beta, linear) in enumerate(LEVELS):
+            data = multilevel.encode(x, eb, alpha, beta, linear)
+            y, wide = multilevel.decode(data).astype(float).ravel(), x.astype(float).ravel()
+            e = y - wide
+            c1, c2 = (0.01 * (np.ptp(wide) or 1.0)) ** 2, (0.03 * (np.ptp(wide) or 1.0)) ** 2
+            like = (2 * wide.mean() * y.mean() + c1) * (2 * np.mean((wide - wide.mean()) * (y - y.mean())) + c2) / ((wide.mean() ** 2 + y.mean() ** 2 + c1) * (wide.var() + y.var() + c2))
+            rows.append((n, len(wide), 8 * len(data), float((e * e).sum()), float(like), float((e[1:] * e[:-1]).sum())))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("n", "cells", "bits", "sse", "ssim", "lagged"), zip(*rows, strict=True), kinds, strict=True)})
+
+    chosen = field.cells.withColumn("chunk_id", F.expr(f"idx div {size}")).where(F.col("chunk_id") % every == 0)
+    tried = chosen.groupBy("chunk_id").applyInArrow(run, "n int, cells long, bits long, sse double, ssim double, lagged double")
+    tried = tried.groupBy("n").agg((F.sum("bits") / F.sum("cells")).alias("bits"), F.sqrt(F.sum("sse") / F.sum("cells")).alias("rmse"), F.avg("ssim").alias("ssim"), F.coalesce(F.abs(F.sum("lagged")) / F.nullif(F.sum("sse"), F.lit(0.0)), F.lit(0.0)).alias("autocorrelation"))
+    value = {"CR": F.col("bits"), "RD": F.col("bits") + F.log2(F.greatest("rmse", F.lit(1e-300))), "SSIM": 1 - F.col("ssim"), "AC": F.col("autocorrelation")}[target.rsplit("_", 1)[1]]
+    level = F.element_at(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(x).alias("linear")) for a, b, x in LEVELS]), F.col("n") + 1)
+    return tried.withColumn("value", value).withColumn("level", level).orderBy("value", "n").select("level.*", "bits", "rmse", "ssim", "autocorrelation", "value")
+
+
 def compress_field(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None) -> DataFrame:
     """Choose for the goal, then compress: at most one row comes to the driver in between."""
     for name in codecs:

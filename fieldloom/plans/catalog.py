@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import bits, kit, metadata
 from fieldloom.operators import predict, sampling, selection, ssim, stats
-from fieldloom.operators.codecs import CODECS
+from fieldloom.operators.codecs import ALGORITHMS, CODECS
 from fieldloom.operators.surrogates.bounds import of_bounds
 from fieldloom.operators.surrogates import szp, szx
 from fieldloom.operators.windows import prefix_sum, shifted
@@ -871,13 +872,28 @@ def search_cr_psnr(spark, d):
 
 @query()
 def target_ratio_bounds(spark, d):
-    """For target ratios, the bound found for a codec and the ratio that it really gets there."""
+    """For nine target ratios, the bound found for a codec and the ratio that it really gets there."""
     f = fixture(spark, d, "walk").keep()
-    rows = []
-    for target in (1.5, 2.0, 3.0):
-        eb, estimated = selection.find_bound(f, "szp", "cr", target, OPTIONS)[-1]
-        rows.append((target, eb, estimated, selection.measure(f, "szp", eb, "cr")))
-    return spark.createDataFrame(rows, "target double, eb double, estimated double, real double")
+    targets = [1 + t / 10 for t in range(2, 11)]
+    found = [(t, *probes[-1]) for t, probes in zip(targets, selection.find_bounds(f, "szp", "cr", targets, OPTIONS), strict=True)]
+    asked = spark.createDataFrame(found, "target double, eb double, estimated double")
+    return asked.join(selection.real_ratios(f, "szp", sorted({eb for _, eb, _ in found})), "eb").select("target", "eb", "estimated", F.col("ratio").alias("real"))
+
+
+@query()
+def eb_sweep_real(spark, d):
+    """Estimated and real ratio under each of sixteen bounds."""
+    f, bounds = fixture(spark, d, "walk").keep(), [10 ** (-i / 3) for i in range(16)]
+    guessed = selection.estimate_all(f, "szp", bounds, "cr").select("eb", F.col("value").alias("estimated"))
+    return guessed.join(selection.real_ratios(f, "szp", bounds), "eb").select(F.round("eb", 8).alias("eb"), F.round("estimated", 6).alias("estimated"), F.round("ratio", 6).alias("real"))
+
+
+@query()
+def tuned_levels(spark, d):
+    """The best levels of the interpolation codec for each tuning target."""
+    f = fixture(spark, d, "walk").keep()
+    rows = [selection.tune_levels(f, f.bound(REL), t, 2, 500).limit(1).select(F.lit(t).alias("target"), "alpha", "beta", "linear") for t in selection.TUNING_TARGETS]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query()
@@ -896,6 +912,19 @@ def compress_chunks(spark, d):
     return selection.compress(f, "sz3", f.bound(REL), cells=2000).select("field", "chunk_id", "codec", "eb", "method_id", "dtype", "dims", "start", "payload_bytes")
 
 
+@query(with_sql("cube3d") + """ SELECT 'cube3d' AS field, 'trunc' AS codec, c AS chunk_id, c * m AS start, least(m, n - c * m) AS cells, 3 AS method_id
+  FROM (SELECT d1 * d2 * greatest(1, 2000 // (d1 * d2)) AS m, d0 * d1 * d2 AS n FROM shape3), range(0, 100000) t(c) WHERE c * m < n""")
+def stream_header(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return selection.chunk_table(selection.compress(f, "trunc", 0.0, cells=2000)).select("field", "codec", "chunk_id", "start", "cells", "method_id")
+
+
+@query(with_sql("cube3d") + " SELECT idx, v FROM cube3d WHERE idx >= 300 AND idx < 700")
+def decompress_part(spark, d):
+    f = fixture(spark, d, "cube3d")
+    return selection.decompress_range(selection.compress(f, "trunc", 0.0, cells=200), 300, 700)
+
+
 @query(with_sql("cube3d") + " SELECT idx, true AS within_bound FROM cube3d")
 def decompress_chunks(spark, d):
     f = fixture(spark, d, "cube3d")
@@ -915,6 +944,39 @@ def _round_trips(spark, d, name: str, rank: int):
 TRIPS = " SELECT codec, count(*) AS cells, true AS within_bound FROM {0}, unnest(['sz3', 'zfp', 'szx', 'sperr', 'szp', 'qoz', 'trunc']) t(codec) GROUP BY ALL"
 
 
+@query(with_sql("cube3d") + " SELECT algorithm, count(*) AS cells, true AS within_bound FROM cube3d, unnest(['LORENZO_REG', 'INTERP', 'INTERP_LORENZO']) t(algorithm) GROUP BY ALL")
+def algorithms_3d(spark, d):
+    f = fixture(spark, d, "cube3d")
+    eb = f.bound(REL)
+    back = selection.decompress(selection.compress(f, list(ALGORITHMS), eb), with_codec=True).select("idx", F.col("codec").alias("algorithm"), F.col("v").cast("double").alias("y"))
+    pairs_ = f.cells.select("idx", F.col("v").cast("double").alias("x")).join(back, "idx")
+    return pairs_.groupBy("algorithm").agg(F.count("*").alias("cells"), (F.max(F.abs(F.col("x") - F.col("y"))) <= eb).alias("within_bound"))
+
+
+@query("SELECT unnest(['bits', 'bits', 'psnr', 'psnr']) AS kind, unnest([2.0, 6.0, 40.0, 60.0]::DOUBLE[]) AS target, true AS met")
+def wavelet_targets(spark, d):
+    """Whether blocks of a field meet targets of bits a value and of signal to noise."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.operators.codecs import wavelet
+
+    f = fixture(spark, d, "cube3d")
+    members = sampling.sperr_members(f.with_coords(), f.dims, 8).withColumn("block_id", F.col("block_id").cast("long"))
+
+    def run(key, table):
+        a = table.sort_by("pos").column("v").to_numpy().reshape(9, 9, 9)
+        spread, rows = float(np.ptp(a)), []
+        for target in (2.0, 6.0):
+            rows.append(("bits", target, 8 * len(wavelet.encode_target(a, bits_per_value=target)) <= target * a.size))
+        for target in (40.0, 60.0):
+            off = wavelet.decode(wavelet.encode_target(a, psnr=target)).astype(float) - a
+            rows.append(("psnr", target, not off.any() or 10 * np.log10(spread**2 / (off**2).mean()) >= target))
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "target", "met"), zip(*rows), (pa.string(), pa.float64(), pa.bool_()))})
+
+    return members.groupBy("block_id").applyInArrow(run, "kind string, target double, met boolean").groupBy("kind", "target").agg(F.every("met").alias("met"))
+
+
 @query(with_sql("walk") + TRIPS.format("walk"))
 def round_trip_1d(spark, d):
     return _round_trips(spark, d, "walk", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import duckdb
@@ -220,6 +221,38 @@ def test_settings_and_legacy(spark):
     assert stats.zipped(tiny.cells, legacy.legacy_decompress(legacy.legacy_compress(tiny, plain))).where("x <> y").count() == 0
 
 
+def test_block_settings(spark):
+    text = "[GlobalSettings]\nCmprAlgo = ALGO_INTERP\nErrorBoundMode = REL\nRelErrorBound = 1e-3\ntuningTarget = TUNING_TARGET_CR\n[AlgoSettings]\nInterpolationAlgo = INTERP_ALGO_LINEAR\nalpha = 1.5\nbeta = 3\nautoTuningRate = 0.5\nwavelet = 1\n"
+    found = config.load_block_settings(text=text)
+    assert found == config.BlockSettings("ALGO_INTERP", "REL", 1e-3, 1e-3, 0.0, 0.0, "TUNING_TARGET_CR", "INTERP_ALGO_LINEAR", 1.5, 3.0, 0.5, ("AlgoSettings.wavelet",))
+    f = field_of(spark, np.random.default_rng(2).normal(size=9000).cumsum())
+    for name in config.ALGORITHM_NAMES:
+        chunks = legacy.block_compress(f, config.BlockSettings(name, "REL", rel_bound=1e-3, sample_rate=0.5))
+        assert stats.zipped(f.cells, selection.decompress(chunks)).selectExpr("max(abs(x - y))").first()[0] <= 1e-3 * f.range
+    best = [selection.tune_levels(f, 1e-2, t, 1).first() for t in selection.TUNING_TARGETS]
+    tried = selection.tune_levels(f, 1e-2, "TUNING_TARGET_CR", 1).collect()
+    assert len(tried) == len(selection.LEVELS) and best[1]["bits"] == min(r["bits"] for r in tried) and best[2]["ssim"] == max(r["ssim"] for r in tried)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fieldloom.__main__ import main
+
+    values = np.random.default_rng(6).normal(size=(40, 50)).cumsum(axis=1).astype("<f4")
+    (tmp_path / "a.f32").write_bytes(values.tobytes())
+    source, shape = str(tmp_path / "a.f32"), ["--dims", "40x50"]
+    assert main(["words", "--mode", "REL", "--bound", "1e-4"]) == 0
+    assert capsys.readouterr().out.strip() == "1,0,0,1058682594,3944497965,0,0,0,0"
+    assert main(["estimate", source, *shape, "--codec", "szp", "--eb", "0.01"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["value"] > 1
+    assert main(["choose", source, *shape, "--goal", "cr_eb", "--target", "3", "--codecs", "szp,szx", "--prefer", "large", "--bracket", "-5", "1", "0.05"], spark) == 0
+    assert 1e-5 < json.loads(capsys.readouterr().out)["eb"] < 10
+    for n, how in enumerate((["--goal", "eb_cr", "--target", "0.01", "--codecs", "szp,szx"], ["--codec", "INTERP", "--eb", "0.01"])):
+        assert main(["compress", source, str(tmp_path / f"out{n}"), *shape, *how], spark) == 0
+        assert main(["decompress", str(tmp_path / f"out{n}"), str(tmp_path / f"back{n}")], spark) == 0
+        assert np.abs(np.fromfile(tmp_path / f"back{n}", "<f4").astype(float) - values.ravel()).max() <= 0.01
+    assert main(["compress", source, str(tmp_path / "none"), *shape], spark) == 2
+
+
 def test_stream_of_chunks(spark, tmp_path):
     from fieldloom.streaming import chunks
 
