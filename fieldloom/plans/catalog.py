@@ -660,7 +660,14 @@ def szx_psnr(spark, d):
     return _est(spark, d, "szx", "psnr")
 
 
-@query()
+SZX_LENGTH = f"greatest(9, 9 + (CAST(({UINT.format('radius')} >> 23) & 255 AS INTEGER) - 127) - (CAST((CAST(CAST(eb AS BIT) AS UBIGINT) >> 52) & 2047 AS INTEGER) - 1023) + 1)"
+
+
+@query(with_sql("walk") + f""", {EB}, sb AS (SELECT (idx // 128) // 3 * 128 + idx % 128 AS idx, v FROM walk, eb WHERE idx // 128 < n // 128 AND (idx // 128) % 3 = 0),
+  xb AS (SELECT idx // 128 AS block_id, min(v) AS low, CAST(CAST(max(v) - min(v) AS DOUBLE) / 2 AS FLOAT) AS radius FROM sb GROUP BY ALL),
+  blk AS (SELECT block_id, CAST(low + radius AS FLOAT) AS med, CAST(radius AS DOUBLE) <= eb AS con, (8 - least({SZX_LENGTH}, 32) % 8) % 8 AS sh FROM xb, eb),
+  pairs AS (SELECT idx, {D} AS x, CAST(CASE WHEN con THEN med ELSE CAST(CAST(CAST({UINT.format('v')} & (4294967295 - (4294967295::UBIGINT >> (23 - sh))) AS UINTEGER) AS BIT) AS FLOAT) END AS DOUBLE) AS y FROM sb JOIN blk ON block_id = idx // 128)"""
+       + ssim_sql([("idx // 8", "true")]).replace("SELECT count(*) AS windows, round(avg(", "SELECT 'szx' AS codec, round(avg(").replace("AS ssim FROM k", "AS value FROM k"))
 def szx_ssim(spark, d):
     return _est(spark, d, "szx", "ssim")
 
@@ -750,17 +757,56 @@ def sz3_cr(spark, d):
     return _est(spark, d, "sz3", "cr")
 
 
-@query()
+def interpolated_sql(sample: int) -> str:
+    """The prediction on a grid of m points, from the point's number i and its neighbours."""
+    inner = f"(i - 3) % {2 * sample} = 0"
+    return f"""CASE WHEN m < 5 THEN CASE WHEN i + 1 < m AND (i - 1) % {2 * sample} = 0 THEN m1/2 + p1/2 WHEN m % 2 = 0 AND i = m - 1 THEN CASE WHEN m < 4 THEN m1 ELSE -0.5*m3 + 1.5*m1 END END
+    WHEN i >= 3 AND i + 3 < m AND {inner} THEN -m3/16 + 9*m1/16 + 9*p1/16 - p3/16 WHEN i = 1 THEN 3*m1/8 + 6*p1/8 - p3/8
+    WHEN i = CASE WHEN m % 2 = 0 THEN m - 3 ELSE m - 2 END THEN -m3/8 + 6*m1/8 + 3*p1/8 WHEN m % 2 = 0 AND i = m - 1 THEN 3*m5/8 - 10*m3/8 + 15*m1/8 END"""
+
+
+def near_sql(window: str) -> str:
+    return ", ".join(f"CAST({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER ({window}) AS DOUBLE) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in (-5, -3, -1, 1, 3))
+
+
+#: What follows from predictions (idx, v, pred): codes, and the errors that are left.
+CODED = f"""iq AS (SELECT *, {D} - pred AS diff, CAST(trunc(abs({D} - pred) / eb) + 1 AS BIGINT) // 2 AS steps FROM ip, eb WHERE pred IS NOT NULL),
+  ir AS (SELECT *, CAST(pred + 2 * (CASE WHEN diff < 0 THEN -steps ELSE steps END) * eb AS FLOAT) AS recon FROM iq),
+  iz AS (SELECT *, steps < 32768 AND abs(CAST(recon AS DOUBLE) - {D}) <= eb AS holds FROM ir),
+  ic AS (SELECT idx, CASE WHEN holds THEN 32768 + CASE WHEN diff < 0 THEN -steps ELSE steps END ELSE 0 END AS code FROM iz)"""
+
+#: All levels over a line, and those of them that the walk from the coarsest on comes to before it holds over 5000 errors.
+SZ3_WALK = f"""{EB}, lv AS (SELECT l, CAST(pow(2, l - 1) AS BIGINT) AS s FROM range(1, 60) t(l), eb WHERE pow(2, l - 1) < n),
+  gr AS (SELECT l, idx, v, idx // s AS i, (n - 1) // s + 1 AS m, {near_sql('PARTITION BY l ORDER BY idx')} FROM walk, lv, eb WHERE idx % s = 0),
+  ip AS (SELECT l, idx, v, {interpolated_sql(3)} AS pred FROM gr WHERE i % 2 = 1), {CODED},
+  held AS (SELECT l, count(*) AS c FROM iz GROUP BY l), used AS (SELECT l FROM (SELECT l, coalesce(sum(c) OVER (ORDER BY l DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM held) WHERE before <= 5000),
+  er AS (SELECT idx, CASE WHEN holds THEN CAST(recon AS DOUBLE) - {D} ELSE 0 END AS err FROM iz JOIN used USING (l))"""
+
+
+@query(with_sql("walk") + f", {SZ3_WALK} SELECT 'sz3' AS codec, round(-20*log10(sqrt((SELECT avg(err * err) FROM er))/rng + 1e-16), 6) AS value FROM eb")
 def sz3_psnr(spark, d):
     return _est(spark, d, "sz3", "psnr")
 
 
-@query()
+@query(with_sql("walk") + f""", {SZ3_WALK}, nr AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS k, err FROM er),
+  sb AS (SELECT (idx // 32) // 3 * 32 + idx % 32 AS idx, v FROM walk, eb WHERE idx // 32 < n // 32 AND (idx // 32) % 3 = 0),
+  pairs AS (SELECT idx, {D} AS x, {D} + err AS y FROM sb JOIN nr ON k = (idx * 7919) % (SELECT count(*) FROM nr))"""
+       + ssim_sql([("idx // 8", "true")]).replace("SELECT count(*) AS windows, round(avg(", "SELECT 'sz3' AS codec, round(avg(").replace("AS ssim FROM k", "AS value FROM k"))
 def sz3_ssim(spark, d):
     return _est(spark, d, "sz3", "ssim")
 
 
-@query()
+def finest_3d_sql(sample: int) -> str:
+    """Predictions of the finest level's passes along the three axes."""
+    out = []
+    for axis in range(3):
+        others = " AND ".join(f"c{o} % {sample if o < axis else 2 * sample} = 0" for o in range(3) if o != axis)
+        lines = ", ".join(f"c{o}" for o in range(3) if o != axis)
+        out.append(f"SELECT idx, v, c{axis} AS i, d{axis} AS m, {near_sql(f'PARTITION BY {lines} ORDER BY c{axis}')} FROM cube3d, shape3 WHERE {others}")
+    return f"gr AS ({' UNION ALL '.join(out)}), ip AS (SELECT idx, v, {interpolated_sql(sample)} AS pred FROM gr WHERE i % 2 = 1)"
+
+
+@query(with_sql("cube3d") + ", " + EB.replace("FROM walk", "FROM cube3d") + ", " + finest_3d_sql(3) + ", " + CODED + ", " + ENTROPY.format(codes="ic") + " SELECT 'sz3' AS codec, round(32 / bits, 6) AS value FROM e")
 def sz3_cr_3d(spark, d):
     return _est(spark, d, "sz3", "cr", "cube3d")
 
