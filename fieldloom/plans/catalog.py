@@ -866,7 +866,7 @@ def best_codec_psnr(spark, d):
     return _best(spark, d, "psnr", ("szx", "szp"))
 
 
-@query()
+@query("SELECT 'walk' AS field, codec, value FROM (" + " UNION ALL ".join(f"SELECT codec, value, {r} AS r FROM ({ORACLES[n + '_ssim']})" for r, n in enumerate(("sz3", "szx", "szp"))) + ") ORDER BY value DESC, r LIMIT 1")
 def best_codec_ssim(spark, d):
     return _best(spark, d, "ssim")
 
@@ -901,17 +901,60 @@ def _search(spark, d, goal: str, target: float, **more):
     return rows.select("field", "codec", F.round(F.log10("eb"), 6).alias("log_eb"), "metric", F.round("value", 6).alias("value"))
 
 
-@query()
+def clamped(x: str) -> str:
+    return f"CAST(greatest(least(trunc({x}), 4e18), -4e18) AS BIGINT)"
+
+
+HALF_CLAMPED = f"({clamped(f'{D} * (0.5 / eb) + 0.5')} - CASE WHEN {D} * (0.5 / eb) < -0.5 THEN 1 ELSE 0 END)"
+
+#: Every bound that a bisection can come to, and what both codecs' estimates say there.
+GRID = with_sql("walk").replace("WITH", "WITH RECURSIVE", 1) + ", " + SZX_SAMPLE.format(view="walk") + f""",
+  r0 AS (SELECT CAST(max(v) - min(v) AS DOUBLE) AS rng, count(*) AS n FROM walk),
+  tree(lo, hi) AS (SELECT -16.0::DOUBLE, log10(rng) FROM r0 UNION ALL
+    SELECT CASE side WHEN 0 THEN lo ELSE (lo + hi) / 2 END, CASE side WHEN 0 THEN (lo + hi) / 2 ELSE hi END FROM tree, (VALUES (0), (1)) t(side) WHERE hi - lo > 0.1),
+  bs AS (SELECT (lo + hi) / 2 AS mid, pow(10.0::DOUBLE, (lo + hi) / 2) AS eb FROM tree WHERE hi - lo > 0.1),
+  xb AS (SELECT block_id, min(v) AS low, CAST(CAST(max(v) - min(v) AS DOUBLE) / 2 AS FLOAT) AS radius FROM s GROUP BY ALL),
+  xc AS (SELECT *, CAST(low + radius AS FLOAT) AS med, CAST(radius AS DOUBLE) <= eb AS con, {SZX_LENGTH} AS len0 FROM xb, bs),
+  blk AS (SELECT mid, eb, block_id, con, CASE WHEN len0 > 32 AND NOT con THEN 0.0::FLOAT ELSE med END AS med, (least(len0, 32) + 7) // 8 AS bytes, (8 - least(len0, 32) % 8) % 8 AS sh FROM xc),
+  xv AS (SELECT mid, block_id, pos, bytes, {UINT.format('CAST(v - med AS FLOAT)')} >> sh AS b FROM s JOIN blk USING (block_id) WHERE NOT con),
+  xl AS (SELECT mid, bytes, xor(b, coalesce(lag(b) OVER (PARTITION BY mid, block_id ORDER BY pos), 0::UINTEGER)) AS x FROM xv),
+  ld AS (SELECT mid, sum(least(CASE WHEN x >> 8 = 0 THEN 3 WHEN x >> 16 = 0 THEN 2 WHEN x >> 24 = 0 THEN 1 ELSE 0 END, bytes)) AS lead_bytes FROM xl GROUP BY mid),
+  cm AS (SELECT mid, count(*) AS blocks, sum(con::INTEGER) AS constant_blocks, coalesce(sum(CASE WHEN NOT con THEN bytes END), 0) AS req_bytes, coalesce(any_value(lead_bytes), 0) AS lead_bytes FROM blk LEFT JOIN ld USING (mid) GROUP BY mid),
+  zs AS (SELECT idx // 32 AS block_id, idx % 32 AS pos, v FROM walk, r0 WHERE idx // 32 >= n // 32 OR (idx // 32) % 5 = 0),
+  zc AS (SELECT mid, block_id, pos, {clamped(f'{D} * (1 / eb)')} AS code FROM zs, bs),
+  zd AS (SELECT mid, block_id, abs(code - lag(code) OVER (PARTITION BY mid, block_id ORDER BY pos)) AS step FROM zc),
+  zb AS (SELECT mid, block_id, count(*) AS cells, count(*) - 1 AS m, coalesce(max(step), 0) AS most FROM zd GROUP BY ALL),
+  zw AS (SELECT *, CASE WHEN most = 0 THEN 0 ELSE len(bin(most)) END AS w FROM zb),
+  vals AS (SELECT 'szx' AS codec, 2 AS r, 'cr' AS metric, mid, {SZX_CR} AS value FROM cm, r0
+    UNION ALL SELECT 'szx', 2, 'psnr', mid, -20*log10(sqrt(sum(CASE WHEN con THEN ({D}-CAST(med AS DOUBLE))*({D}-CAST(med AS DOUBLE)) ELSE eb*eb END)/max(n))/max(rng) + 1e-16) FROM s JOIN blk USING (block_id), r0 GROUP BY mid
+    UNION ALL SELECT 'szp', 4, 'cr', mid, 4 * sum(cells - 1) / sum(5 + CASE WHEN most > 0 THEN (m + 7) // 8 + w // 8 * m + CASE WHEN w % 8 = 0 THEN 0 ELSE (w % 8 * m - 1) // 8 + 1 END ELSE 0 END) FROM zw GROUP BY mid
+    UNION ALL SELECT 'szp', 4, 'psnr', mid, -20*log10(sqrt(avg(({D} - {HALF_CLAMPED}*(2*eb))*({D} - {HALF_CLAMPED}*(2*eb))))/CAST(max(v)-min(v) AS DOUBLE) + 1e-16) FROM zs, bs WHERE pos > 0 GROUP BY mid),
+"""
+
+
+def search_sql(fixed: str, target: float, pick: str) -> str:
+    """The path of a bisection for a target, and the codec that pick (value, metric, order) prefers at its end."""
+    goes_on = f"value < {target}" if fixed == "cr" else f"value > {target}"
+    value, metric, order = pick.split("|")
+    return GRID + f"""  path(codec, r, depth, lo, hi) AS (SELECT codec, r, 0, -16.0::DOUBLE, log10(rng) FROM (VALUES ('szx', 2), ('szp', 4)) t(codec, r), r0 UNION ALL
+    SELECT p.codec, p.r, depth + 1, CASE WHEN {goes_on} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {goes_on} THEN hi ELSE (lo + hi) / 2 END
+    FROM path p JOIN vals w ON w.codec = p.codec AND w.metric = '{fixed}' AND w.mid = (lo + hi) / 2 WHERE hi - lo > 0.1),
+  ends AS (SELECT codec, r, (lo + hi) / 2 AS mid FROM path WHERE hi - lo > 0.1 QUALIFY row_number() OVER (PARTITION BY codec ORDER BY depth DESC) = 1),
+  got AS (SELECT e.codec, e.r, e.mid, {value} AS value FROM ends e LEFT JOIN vals w ON w.codec = e.codec AND w.metric = '{metric}' AND w.mid = e.mid)
+  SELECT 'walk' AS field, codec, round(mid, 6) AS log_eb, '{metric}' AS metric, round(value, 6) AS value FROM got ORDER BY value {order}, r LIMIT 1"""
+
+
+@query(search_sql("cr", 4.0, "pow(10.0::DOUBLE, e.mid)|eb|ASC"))
 def search_cr_eb(spark, d):
     return _search(spark, d, "cr_eb", 4.0)
 
 
-@query()
+@query(search_sql("psnr", 60.0, "value|cr|DESC"))
 def search_psnr_cr(spark, d):
     return _search(spark, d, "psnr_cr", 60.0)
 
 
-@query()
+@query(search_sql("cr", 4.0, "value|psnr|DESC"))
 def search_cr_psnr(spark, d):
     return _search(spark, d, "cr_psnr", 4.0)
 
