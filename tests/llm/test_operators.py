@@ -288,7 +288,8 @@ def test_block_max_wand_is_exact(seed, dense):
         entries = sorted((int(t), i, int(f)) for i, d in enumerate(part) for t, f in zip(rows[d], tfs[d], strict=True))
         terms = sorted({t for t, _, _ in entries})
         counts = np.array([sum(x[0] == t for x in entries) for t in terms], np.int32)
-        runs.append(([f"t{t}" for t in terms], counts, search.joined(ids[part], length[part], np.array([x[1] for x in entries], "<u2"), np.array([x[2] for x in entries], "<i4"))))
+        places = search.steps(np.array([x[1] for x in entries], "<u2"))
+        runs.append(search.joined(ids[part], length[part], places, np.array([x[2] for x in entries], "<i4"), counts, search.text_bytes([f"t{t}" for t in terms])))
     was, (search.DENSE, search.ROOM) = (search.DENSE, search.ROOM), (dense, int(rng.integers(0, 9)))
     shard = search.Shard(runs, 40.0)
     search.DENSE, search.ROOM = was
