@@ -3,12 +3,13 @@
 Every line is good or bad.  Its features are shares of character and word classes, repetition, and those of the
 lines before and after it.  The field has weights for the features and for the four transitions; it is trained by
 gradient ascent on the likelihood of line labels taken from their document, on at most ``train_docs`` labelled
-documents, the ones with the smallest digest of their id.  A document's evidence is the mean of its lines' forward-backward
+documents, the ones with the smallest digest of their id, as far as they have at most MOST_LINES lines: what the driver
+holds for training is bounded by both.  Scores are of whole texts, whatever their lines.  A document's evidence is the mean of its lines' forward-backward
 marginals, weighted by length; a logistic curve fitted on the same sample turns that evidence into a score.
 
 Defined results: a null text counts as empty; an empty text is one empty line; labels that are null or contradict
 each other for a doc_id are left out; without labels of both kinds the score is the share of good ones (0.5 without any);
-repeated rows repeat; no rows give no rows.  Scores never depend on labels, lang, source or doc_id.
+repeated rows repeat, and count once in training; no rows give no rows.  Scores never depend on labels, lang, source or doc_id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import keep_rows, tidy
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS, MOST_LINES = 4000, 250
 THRESHOLD = 0.7
 
 #: The byte classes that are counted in a line.
@@ -218,7 +219,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Train on at most train_docs labelled documents that aren't held out."""
+    """Train on at most train_docs labelled documents that aren't held out; of rows of one doc_id the text with the smallest digest counts."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     clear = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("doc_id", "y")
     some = clear.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(train_docs)  # the bound of the broadcast below
@@ -233,7 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *[pa.array(r, pa.binary()) for r in rows]], ["doc_id", "y", "x", "length"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = base.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(tidy(run), "doc_id long, y int, x binary, length binary")
+    text = F.coalesce("text", F.lit(""))
+    short = base.join(F.broadcast(some), "doc_id").where(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < MOST_LINES)
+    once = short.groupBy("doc_id", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    sample = once.select("doc_id", "text", "y").mapInArrow(tidy(run), "doc_id long, y int, x binary, length binary")
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     n = PLAIN * 3 + 4
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, n) for r in got]
