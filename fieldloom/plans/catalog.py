@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1045,7 +1046,6 @@ def algorithms_3d(spark, d):
 @query("SELECT unnest(['bits', 'bits', 'psnr', 'psnr']) AS kind, unnest([2.0, 6.0, 40.0, 60.0]::DOUBLE[]) AS target, true AS met")
 def wavelet_targets(spark, d):
     """Whether blocks of a field meet targets of bits a value and of signal to noise."""
-    import numpy as np
     import pyarrow as pa
 
     from fieldloom.operators.codecs import wavelet
@@ -1117,10 +1117,24 @@ def interp_akima(spark, d):
     return near.select("idx", F.round(predict.akima(*(F.col(n).cast("double") for n in names)), 4).alias("akima"))
 
 
-@query()
+def quadratic_weights(edge: int) -> str:
+    """(h, p0, p1, term, w): what a cell at (p0, p1) of a block of h lines adds to a term's least-squares coefficient."""
+    rows = []
+    for h in range(1, edge + 1):
+        at = np.indices((h, edge)).reshape(2, -1).T
+        design = np.stack([at[:, 0] ** a * at[:, 1] ** b for a, b in predict.polynomial_terms(2)], axis=1).astype(float)
+        for term, weights in enumerate(np.linalg.pinv(design)):
+            rows += [f"({h}, {x}, {y}, {term}, {w!r}::DOUBLE)" for (x, y), w in zip(at.tolist(), weights.tolist(), strict=True)]
+    return f"qw(h, p0, p1, term, w) AS (VALUES {', '.join(rows)})"
+
+
+@query(with_sql("emb2d") + ", " + quadratic_weights(8) + f""", qh AS (SELECT c0 // 8 AS b0, c1 // 8 AS b1, max(c0 % 8) + 1 AS h FROM emb2d GROUP BY ALL)
+  SELECT CAST(b0 AS INTEGER) AS b0, CAST(b1 AS INTEGER) AS b1, CAST(term AS INTEGER) AS term, round(sum({D} * w), 4) + 0.0 AS coefficient
+  FROM emb2d JOIN qh ON b0 = c0 // 8 AND b1 = c1 // 8 JOIN qw ON qw.h = qh.h AND p0 = c0 % 8 AND p1 = c1 % 8 GROUP BY ALL""")
 def quadratic_block_coeffs(spark, d):
     f = fixture(spark, d, "emb2d")
-    return predict.quadratic_blocks(f.with_coords(), f.dims, 8)
+    found = predict.quadratic_blocks(f.with_coords(), f.dims, 8)
+    return found.withColumn("coefficient", F.round("coefficient", 4) + 0.0)
 
 
 @query("SELECT l AS level, round(CASE WHEN l >= 3 THEN 0.005 ELSE 0.01 END, 8) AS by_ratio, round(0.01 / least(pow(1.5, l - 1), 4.0), 8) AS by_power, round(0.01 * greatest(1 - (l - 1) * 0.2, 0.1), 8) AS by_share FROM range(1, 9) t(l)")
@@ -1140,7 +1154,6 @@ def outlier_fix(spark, d):
 @query()
 def cdf97_energy(spark, d):
     """How much of each wavelet block's energy its low band keeps."""
-    import numpy as np
     import pyarrow as pa
 
     from fieldloom.operators.codecs import wavelet
