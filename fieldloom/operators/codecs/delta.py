@@ -13,7 +13,7 @@ BLOCK = 32
 
 def encode(values: np.ndarray, eb: float) -> bytes:
     flat = np.ascontiguousarray(values, "<f4").ravel().astype(float)
-    code = np.rint(flat / (2 * eb)).astype(np.int64)
+    code = np.clip(np.rint(flat / (2 * eb)), -(2.0**40), 2.0**40).astype(np.int64)  # past 2^30 it is not used
     back = (code * (2 * eb)).astype("<f4").astype(float)
     if len(code) and (np.abs(code).max() >= 2**30 or np.abs(back - flat).max() > eb):  # finer than a float's digits
         return pack(shape_bytes(values.shape), b"", np.ascontiguousarray(values, "<f4").tobytes())
