@@ -502,6 +502,38 @@ def test_substrings(docs, texts, least, gram, hot):
     assert got == want
 
 
+def test_substrings_in_shares(docs, texts, monkeypatch):
+    """Only a share of the anchors' strings is on disk at a time, and results stay exact."""
+    seen = []
+
+    def spy(df, label):
+        back = cut(df, label)
+        if label == "substring-windows":
+            seen.append({r["key"] for r in back.select("key").collect()})
+        return back
+
+    cut = substrings.cut
+    monkeypatch.setattr(substrings, "cut", spy)
+    monkeypatch.setattr(substrings, "WHOLE_BYTES", 0)
+    raw = [(d, (t or "").encode()) for d, t in texts]
+    want = Counter((d, len(b), k) for (d, b), k in zip(raw, slow_removed(raw, 24), strict=True))
+    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in substrings.dedup(docs, 24, 8, 1).collect()) == want
+    assert len(seen) == substrings.PARTS and sum(map(len, seen)) == len(set().union(*seen)) and max(map(len, seen)) < sum(map(len, seen)) / 2
+
+
+def test_equal_strings_of_many_slices_are_not_cut_up(spark, monkeypatch):
+    from tests.llm.conftest import prose
+
+    def never(*_):
+        raise AssertionError("cut into windows")
+
+    monkeypatch.setattr(substrings, "crowded_decisions", never)
+    shared = prose(random.Random(5), 60)
+    alike = spark.createDataFrame([(i, shared if i < 9 else shared + " x") for i in range(12)], "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.dedup(alike, hot=2).collect()}
+    assert got == {0: shared.encode(), **{i: b"" for i in (*range(1, 9), 10, 11)}, 9: b" x"}
+
+
 def test_anchors_agree_wherever_a_string_stands():
     rng = np.random.default_rng(1)
     shared = bytes(rng.integers(97, 105, 300).astype(np.uint8)) + b"ab" * 100
