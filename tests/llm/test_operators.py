@@ -268,6 +268,27 @@ def test_search_is_exact(spark, tmp_path, monkeypatch, texts, shard_bytes):
     assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, slow_search(rows, 10), strict=True))
 
 
+def test_search_sends_queries_in_rounds(spark, tmp_path, monkeypatch):
+    """The copies of queries that go to shards at a time stay under a share of the text; results stay exact."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(200)], k=30))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search, "SHARD_BYTES", 2500)
+    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 2)
+    sent, whole = [], search.search
+
+    def spy(index, queries, n_docs, mean_length, shards, *rest):
+        sizes = [len(r["data"]) for r in queries.collect()]
+        sent.append((sum(sizes) * shards, len(sizes)))
+        return whole(index, queries, n_docs, mean_length, shards, *rest)
+
+    monkeypatch.setattr(search, "search", spy)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search.query(spark, str(tmp_path)).collect())
+    assert got == [x[:3] for x in slow_search(rows, 10)]
+    room = search.COPIES * sum(len(t) for _, t in rows)
+    assert len(sent) > 1 and all(size <= 2 * room or blocks == 1 for size, blocks in sent)
+
+
 def test_search_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
     spark.createDataFrame([(20, None), (None, "x"), (40, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
