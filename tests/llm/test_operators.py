@@ -808,6 +808,25 @@ def test_passages_with_scattered_partners(spark):
     assert got[0][2] - got[0][1] == 60
 
 
+def test_passages_link_all_of_a_group(spark):
+    """Every pair of differently edited copies is linked, not only those with the nearest smaller ones."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(23)
+    shared = prose(rng, 90).split()
+    rows = []
+    for i in range(24):
+        part = list(shared)
+        for at in rng.sample(range(90), 4):
+            part[at] = f"e{i}x{at}"
+        rows.append((i, prose(rng, 20) + " " + " ".join(part) + " " + prose(rng, 20)))
+    got = {(g[0], g[3]) for g in rows_of(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))}
+    words = {d: np.array(passages.word_hashes(t), np.uint64) for d, t in rows}
+    n = len(words[0])
+    want = {(a, b) for a in words for b in words if b < a and passages.align(words[a], words[b], np.array([[0, 0, n]]), 50, 0.8)}
+    assert len(want) > 200 and want <= got
+
+
 def test_passages_of_repeated_ids(spark):
     from tests.llm.conftest import prose
 
