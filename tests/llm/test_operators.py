@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -910,6 +911,46 @@ def test_passages_with_many_edits(spark):
     assert {(g[0], g[3]) for g in got} == {(100 + i, i) for i in range(40)}
 
 
+def test_passages_align_no_chains_that_end_with_their_texts():
+    """Seeds at the very end or beginning of texts, too short to become a passage, are told before words are fetched."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(31)
+    shared = prose(rng, 12)
+    texts = [prose(rng, 60) + " " + shared, prose(rng, 70) + " " + shared, shared + " " + prose(rng, 60), shared + " " + prose(rng, 70)]
+    whole = prose(rng, 70)
+    for rows, n in ((texts, 0), ([whole, "one more " + whole], 1)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], ["doc_id", "text"])
+        sown = sorted((b for x in passages.seed_blobs(4, 5, 50, 1)(iter([batch])) for b in x.to_pylist()), key=lambda x: x["kind"])
+        matched = list(passages.seed_matches(1)(iter([pa.RecordBatch.from_pylist(sown)])))
+        assert sum(map(len, passages.chains(4, 32, 50)(iter(matched)))) == n
+
+
+def test_passages_of_many_fragments_at_once():
+    rng = np.random.default_rng(5)
+    a, b, fragments = [], [], []
+    for i in range(700):
+        n = int(rng.integers(20, 200))
+        words = rng.integers(0, 1 << 62, n + 40, dtype=np.uint64)
+        x, y = (int(v) for v in rng.integers(0, 20, 2))
+        own, other = words.copy(), words.copy()
+        own[: x // 2] = 1
+        changed = rng.random(len(own)) < rng.choice([0, 0.05, 0.15, 0.3])
+        if i % 3 == 0:
+            changed[n // 2 : n // 2 + int(rng.integers(0, 16))] = True  # two passages may be on either side
+        own[changed] = rng.integers(0, 1 << 62, int(changed.sum()), dtype=np.uint64)
+        own, other = np.r_[rng.integers(0, 9, x, dtype=np.uint64), own], np.r_[rng.integers(0, 9, y, dtype=np.uint64), other]
+        begin = int(rng.integers(0, n))
+        a.append(own)
+        b.append(other)
+        fragments.append((x + begin, y + begin, min(int(rng.integers(4, 60)), n + 40 - begin)))
+    flat = [passages.flat_words(pa.array([passages.pack_words(w) for w in side])) for side in (a, b)]
+    found, left = passages.align_fragments(*flat[0], *flat[1], np.array(fragments), 50, 0.8)
+    want = {(i, *p) for i, f in enumerate(fragments) for p in passages.align(a[i], b[i], np.array([f]), 50, 0.8)}
+    assert {tuple(x) for x in found.tolist()} == {x for x in want if x[0] not in set(left.tolist())}
+    assert len(found) > 200 and 0 < len(left) < 200
+
+
 def slow_chain(fragments) -> float:
     """Best chain score by looking at all pairs."""
     f = sorted(map(tuple, fragments.tolist()))
