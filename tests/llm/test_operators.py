@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from math import log
@@ -543,6 +544,54 @@ def test_substrings_in_shares(docs, texts, monkeypatch):
     assert len(seen) == substrings.PARTS and sum(map(len, seen)) == len(set().union(*seen)) and max(map(len, seen)) < sum(map(len, seen)) / 2
 
 
+def test_substrings_travel_packed_by_documents(spark, monkeypatch):
+    """Places and spans go between tasks in a few rows for each task, not in a row for each of them."""
+    from tests.llm.conftest import prose
+
+    rows = {}
+
+    def spy(df, label):
+        back = cut(df, label)
+        rows[label] = rows.get(label, 0) + back.count()
+        return back
+
+    cut = substrings.cut
+    monkeypatch.setattr(substrings, "cut", spy)
+    rng = random.Random(6)
+    shared = [prose(rng, 80) for _ in range(40)]
+    raw = [(i, f"{prose(rng, 30)} {' '.join(rng.sample(shared, 4))}".encode()) for i in range(120)]
+    docs = spark.createDataFrame([(d, b.decode()) for d, b in raw], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.dedup(docs).collect()}
+    assert got == {d: k for (d, _), k in zip(raw, slow_removed(raw, 50), strict=True)}
+    assert rows["substring-found"] < 1000 < rows["substring-windows"]
+
+
+@pytest.mark.parametrize(("rows", "bin_bytes", "batch"), [(1, 1, 1), (7, 200, 3), (1 << 14, 1 << 15, 1000)])
+def test_decisions_wherever_batches_end(rows, bin_bytes, batch, monkeypatch):
+    """Equal windows have one anchor, so the strings of each are of letters of its own."""
+    monkeypatch.setattr(substrings, "ROWS", rows)
+    monkeypatch.setattr(substrings, "BIN_BYTES", bin_bytes)
+    rng = random.Random(7)
+    held = sorted((k, bytes(rng.choices((65 + 2 * k, 66 + 2 * k), k=rng.randint(8, 14))), rng.randint(0, 9)) for k in range(30) for _ in range(rng.choice((1, 2, 9))))
+    rng.shuffle(held)
+    held.sort(key=lambda x: x[0])
+    key, strings, docs = map(list, zip(*held, strict=True))
+    sid = substrings.string_ids(strings).tolist()
+    table = pa.table([pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(strings, pa.binary()), pa.array(docs, pa.int64()), pa.array(docs, pa.int64())], ["key", "sid", "string", "first_doc", "last_doc"])
+    got = {}
+    for out in substrings.decisions(8)(iter(table.to_batches(max_chunksize=batch))):
+        for r in out.to_pylist():
+            assert (r["key"], r["sid"]) not in got
+            got[r["key"], r["sid"]] = [low for _, n, low in struct.iter_unpack("<3q", r["runs"]) for _ in range(n)]
+    first = {}
+    for k, string, doc in held:
+        for i in range(len(string) - 7):
+            first[k, string[i : i + 8]] = min(doc, first.get((k, string[i : i + 8]), doc))
+    for k, s, string, doc in zip(key, sid, strings, docs, strict=True):
+        lows = [first[k, string[i : i + 8]] for i in range(len(string) - 7)]
+        assert got.get((k, s), [doc] * len(lows)) == lows
+
+
 def test_equal_strings_of_many_slices_are_not_cut_up(spark, monkeypatch):
     from tests.llm.conftest import prose
 
