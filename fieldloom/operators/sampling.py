@@ -40,28 +40,27 @@ def _half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
 
-def zfp_starts(dims: Sequence[int], ratio: float) -> list[list[int]]:
-    """Starts of the 4-blocks sampled along each axis."""
-    if len(dims) == 1:
-        n = dims[0]
-        m = int(math.floor(n * ratio)) // 4 * 4
-        blocks, total = m // 4, n // 4
-        step = max(1, _half_up(total / blocks)) * 4 if blocks else n
-        starts = [i for i in range(0, n, step) if i + 4 < n][:blocks]
-        return [starts]
-    out = []
-    for size in dims:
-        blocks = size // 4
-        k = max(1, int(math.floor(ratio ** (1 / len(dims)) * blocks)))
-        out.append([_half_up(i / (k - 1) * (blocks - 1)) * 4 if k > 1 else 0 for i in range(k)])
-    return out
+def zfp_counts(dims: Sequence[int], ratio: float) -> list[tuple[int, int]]:
+    """(whole 4-blocks, how many of them are sampled) of each axis."""
+    return [(size // 4, max(1, math.floor(ratio ** (1 / len(dims)) * (size // 4)))) for size in dims]
+
+
+def zfp_place(block: Column, blocks: int, k: int) -> tuple[Column, Column]:
+    """(whether a 4-block is one of the k sampled ones, its number among them); they are spread evenly from the first to the last.
+
+    Arithmetic on the block's number, as an axis can have any number of sampled blocks.  The spacing is 1 at least, so the
+    only one that can start at a block is the nearest.
+    """
+    if k == 1:
+        return block == 0, F.lit(0).cast("long")
+    place = F.floor(block * (k - 1) / (blocks - 1) + 0.5)
+    return (block < blocks) & (F.floor(place / (k - 1) * (blocks - 1) + 0.5) == block), place
 
 
 def sample_zfp(cells: DataFrame, dims: Sequence[int], ratio: float = 0.2) -> tuple[DataFrame, tuple[int, ...]]:
     """(idx, v, source_idx) of the cells in sampled 4-blocks; in one dimension unfilled places of the sample hold 0.
 
-    The starts are bounded by a share of each axis, not of the cells, except in one dimension, where they follow a rule:
-    membership is then arithmetic, without a list.
+    Membership is arithmetic, without a list of starts.
     """
     if len(dims) == 1:
         n = dims[0]
@@ -74,11 +73,11 @@ def sample_zfp(cells: DataFrame, dims: Sequence[int], ratio: float = 0.2) -> tup
         rest = cells.sparkSession.range(filled * 4, m).select(F.col("id").alias("idx"), F.lit(0.0).cast("float").alias("v"), F.lit(None).cast("long").alias("source_idx"))
         return hit.unionByName(rest), (m,)
     new, keep, out = [], F.lit(True), []
-    for axis, starts in enumerate(zfp_starts(dims, ratio)):
-        place = F.array_position(F.array(*[F.lit(s) for s in starts]), F.expr(f"cast(c{axis} div 4 * 4 as int)"))
-        keep = keep & (place > 0)
-        new.append((place - 1) * 4 + F.expr(f"c{axis} % 4"))
-        out.append(4 * len(starts))
+    for axis, (blocks, k) in enumerate(zfp_counts(dims, ratio)):
+        hit, place = zfp_place(F.expr(f"c{axis} div 4"), blocks, k)
+        keep = keep & hit
+        new.append(place * 4 + F.expr(f"c{axis} % 4"))
+        out.append(4 * k)
     return cells.where(keep).select(idx_of(tuple(out), *new).alias("idx"), "v", F.col("idx").alias("source_idx")), tuple(out)
 
 

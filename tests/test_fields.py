@@ -265,6 +265,25 @@ def test_stream_of_chunks(spark, tmp_path):
     assert len(got) == 400 and max(abs(r["v"] - float(v)) for r, v in zip(got, values, strict=True)) <= 1e-3
 
 
+@pytest.mark.parametrize(("dims", "ratio"), [((8003, 13), 0.2), ((4001, 40), 0.97), ((600, 6), 1.0), ((3, 50), 0.2), ((41, 30, 22), 0.4)])
+def test_zfp_sample_is_arithmetic(spark, dims, ratio):
+    starts = []
+    for size in dims:
+        blocks = size // 4
+        k = max(1, int(ratio ** (1 / len(dims)) * blocks))
+        starts.append([math.floor(i / (k - 1) * (blocks - 1) + 0.5) * 4 if k > 1 else 0 for i in range(k)])
+    axes = [[s + j for s in own for j in range(4)] for own in starts]
+    source = np.indices([len(a) for a in axes]).reshape(len(dims), -1)
+    source = [np.array(a)[i] for a, i in zip(axes, source, strict=True)]
+    inside = np.all([x < d for x, d in zip(source, dims, strict=True)], axis=0)
+    want = dict(zip(np.flatnonzero(inside).tolist(), np.ravel_multi_index([x[inside] for x in source], dims).tolist(), strict=True))
+    f = field_of(spark, np.zeros(dims))
+    sample, out = sampling.sample_zfp(f.with_coords(), f.dims, ratio)
+    assert out == tuple(map(len, axes)) and {r["idx"]: r["source_idx"] for r in sample.collect()} == want
+    size = len(sampling.sample_zfp(f.with_coords(), dims, ratio)[0]._jdf.queryExecution().analyzed().toJSON())
+    assert size < 60_000  # a plan with a list of starts grows with the field
+
+
 def test_chunk_volume_covers():
     for dims, chunk in (((25, 20, 20), (8, 8, 6)), ((5,), (9,)), ((64, 64), (64, 10))):
         tiles = sampling.chunk_volume(dims, chunk)
