@@ -1055,11 +1055,11 @@ def wavelet_targets(spark, d):
 
     def run(key, table):
         a = table.sort_by("pos").column("v").to_numpy().reshape(9, 9, 9)
-        spread, rows = float(np.ptp(a)), []
+        spread, rows, steps = float(np.ptp(a)), [], wavelet.Steps(a)
         for target in (2.0, 6.0):
-            rows.append(("bits", target, 8 * len(wavelet.encode_target(a, bits_per_value=target)) <= target * a.size))
+            rows.append(("bits", target, 8 * len(wavelet.encode_target(a, bits_per_value=target, steps=steps)) <= target * a.size))
         for target in (40.0, 60.0):
-            off = wavelet.decode(wavelet.encode_target(a, psnr=target)).astype(float) - a
+            off = wavelet.decode(wavelet.encode_target(a, psnr=target, steps=steps)).astype(float) - a
             rows.append(("psnr", target, not off.any() or 10 * np.log10(spread**2 / (off**2).mean()) >= target))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "target", "met"), zip(*rows), (pa.string(), pa.float64(), pa.bool_()))})
 

@@ -99,6 +99,48 @@ def test_wavelet_targets():
         wavelet.encode_target(a)
 
 
+def plain_partition(magnitude: np.ndarray, planes: int) -> list[int]:
+    """The bits of set partitioning, box by box."""
+    out, sets, known = [], [tuple((0, d) for d in magnitude.shape)], []
+    for plane in range(planes - 1, -1, -1):
+        old, waiting, todo = len(known), [], sets[::-1]
+        while todo:
+            box = todo.pop()
+            hit = int(magnitude[tuple(slice(a, b) for a, b in box)].max() >> plane > 0)
+            out.append(hit)
+            if not hit:
+                waiting.append(box)
+            elif all(b - a == 1 for a, b in box):
+                known.append(tuple(a for a, _ in box))
+            else:
+                todo += wavelet.split(box)[::-1]
+        out += [int(magnitude[cell]) >> plane & 1 for cell in known[:old]]
+        sets = waiting
+    return out
+
+
+@pytest.mark.parametrize("shape", [(1,), (37,), (9, 9, 9), (5, 16), (1, 6, 1)])
+def test_set_partition_by_hand(shape):
+    rng = np.random.default_rng(sum(shape))
+    for top in (0, 1, 9, 40, 60):
+        a = (rng.random(shape) ** 9 * 2.0**top).astype(np.int64)
+        a.flat[0] = (1 << top) - 1
+        bits, planes = packing.Bits(), int(a.max()).bit_length()
+        wavelet.set_partition(a, shape, planes, bits)
+        assert bits.bits == plain_partition(a, planes)
+        assert np.array_equal(wavelet.set_partition(None, shape, planes, bits), a)
+
+
+def test_wavelet_targets_search_without_decoding(monkeypatch):
+    a = np.random.default_rng(6).normal(size=(9, 9, 9)).cumsum(axis=0).astype("f4")
+    apart, calls = [wavelet.encode_target(a, psnr=p) for p in (40.0, 60.0)], []
+    coder = wavelet.set_partition
+    monkeypatch.setattr(wavelet, "set_partition", lambda *args: calls.append(1) or coder(*args))
+    steps = wavelet.Steps(a)
+    assert [wavelet.encode_target(a, psnr=p, steps=steps) for p in (40.0, 60.0)] == apart
+    assert len(calls) == 2  # what is found is coded, and nothing else
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(-(2**31), 2**31), max_size=400))
 def test_huffman_round_trip(values):
