@@ -273,17 +273,22 @@ def compress(field: Field, name: str | Sequence[str], eb: float | Sequence[float
 
 
 def decompress(chunks: DataFrame, with_codec: bool = False) -> DataFrame:
-    """(idx, v) of chunks, and the codec if asked for."""
+    """(idx, v) of chunks, and the codec if asked for.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, start, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                size, _, _ = read_chunk_header(data)
-                head = struct.calcsize("<Qid")
-                values = codec(name).decode(data[head : head + size]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(values))), pa.array(values.astype("<f4")), pa.array([name] * len(values))], ["idx", "v", "codec"])
+    Chunks are grouped by their start and codec, so that a Python process holds one at a time, not all that a batch of rows has.
+    """
 
-    cells = chunks.select("codec", "start", "payload").mapInArrow(run, "idx long, v float, codec string")
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for name, start, data in zip(*table.columns, strict=True):
+            size, _, _ = read_chunk_header(data.as_py())
+            head = struct.calcsize("<Qid")
+            values = codec(name.as_py()).decode(data.as_py()[head : head + size]).ravel()
+            first = start.as_py()
+            parts.append(pa.table({"idx": np.arange(first, first + len(values)), "v": values.astype("<f4"), "codec": pa.repeat(name, len(values))}))
+        return pa.concat_tables(parts)
+
+    cells = chunks.select("codec", "start", "payload").groupBy("start", "codec").applyInArrow(run, "idx long, v float, codec string")
     return cells if with_codec else cells.select("idx", "v")
 
 

@@ -326,6 +326,17 @@ def test_zfp_sample_is_arithmetic(spark, dims, ratio):
     assert size < 60_000  # a plan with a list of starts grows with the field
 
 
+def test_decompress_holds_one_chunk_at_a_time(spark):
+    values = np.random.default_rng(8).normal(size=4000).cumsum()
+    chunks = selection.compress(field_of(spark, values), ["trunc", "sz3"], [0.0, 0.5], cells=300).coalesce(1)
+    back = selection.decompress(chunks, with_codec=True)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # there a batch of rows would hold many chunks
+    rows = back.collect()
+    assert sorted((r["idx"], r["codec"]) for r in rows) == sorted((i, c) for i in range(4000) for c in ("trunc", "sz3") for _ in range(2))
+    assert max(abs(r["v"] - values[r["idx"]]) for r in rows) <= 0.5 + 1e-4
+
+
 def test_chunk_volume_covers():
     for dims, chunk in (((25, 20, 20), (8, 8, 6)), ((5,), (9,)), ((64, 64), (64, 10))):
         tiles = sampling.chunk_volume(dims, chunk)
