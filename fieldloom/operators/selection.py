@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.metadata import GOALS, REGISTERED, chunk_header, read_chunk_header
@@ -328,26 +328,27 @@ TUNING_TARGETS = ("TUNING_TARGET_RD", "TUNING_TARGET_CR", "TUNING_TARGET_SSIM",
 LEVELS = tuple((a, b, linear) for linear in (False, True) for a, b in ((1.0, 1.0), (1.25, 2.0), (1.5, 3.0), (2.0, 4.0)))
 
 
-def tune_levels(field: Field, eb: float, target: str = "TUNING_TARGET_RD", every: int = 5, cells: int = 1 << 12) -> DataFrame:
-    """(alpha, beta, linear, bits, rmse, ssim, autocorrelation, value), best first: levels of the interpolation codec, tried on a sample.
-
-    Every every-th chunk is coded with each choice.  value is the smaller the better: bits a cell for CR, bits and the
-    logarithm of the error for RD, one less the similarity for SSIM, the errors' lag-one correlation for AC.
-    """
+def tuning_value(target: str) -> Column:
+    """How well levels of tried_levels() do, the smaller the better."""
     if target not in TUNING_TARGETS:
         raise ValueError(f"{target} is none of {', '.join(TUNING_TARGETS)}")
+    return {"CR": F.col("bits"), "RD": F.col("bits") + F.log2(F.greatest("rmse", F.lit(1e-300))), "SSIM": 1 - F.col("ssim"), "AC": F.col("autocorrelation")}[target.rsplit("_", 1)[1]]
+
+
+def tried_levels(field: Field, eb: float, every: int, cells: int) -> DataFrame:
+    """(n, level, bits, rmse, ssim, autocorrelation) of the interpolation codec with each of LEVELS on every every-th chunk."""
     size = math.prod(chunk_shape(field.dims, cells))
     dims = field.dims
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         x = table.sort_by("idx").column("v").to_numpy().astype("<f4")
         x = x.reshape(len(x) // math.prod(dims[1:]), *dims[1:])
-        rows = []
+        wide, rows = x.astype(float).ravel(), []
+        c1, c2 = (0.01 * (np.ptp(wide) or 1.0)) ** 2, (0.03 * (np.ptp(wide) or 1.0)) ** 2
         for n, (alpha, beta, linear) in enumerate(LEVELS):
-            data = multilevel.encode(x, eb, alpha, beta, linear)
-            y, wide = multilevel.decode(data).astype(float).ravel(), x.astype(float).ravel()
+            data, back = multilevel.encode_and_decode(x, eb, alpha, beta, linear)
+            y = back.astype(float).ravel()
             e = y - wide
-            c1, c2 = (0.01 * (np.ptp(wide) or 1.0)) ** 2, (0.03 * (np.ptp(wide) or 1.0)) ** 2
             like = (2 * wide.mean() * y.mean() + c1) * (2 * np.mean((wide - wide.mean()) * (y - y.mean())) + c2) / ((wide.mean() ** 2 + y.mean() ** 2 + c1) * (wide.var() + y.var() + c2))
             rows.append((n, len(wide), 8 * len(data), float((e * e).sum()), float(like), float((e[1:] * e[:-1]).sum())))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -356,9 +357,26 @@ def tune_levels(field: Field, eb: float, target: str = "TUNING_TARGET_RD", every
     chosen = field.cells.withColumn("chunk_id", F.expr(f"idx div {size}")).where(F.col("chunk_id") % every == 0)
     tried = chosen.groupBy("chunk_id").applyInArrow(run, "n int, cells long, bits long, sse double, ssim double, lagged double")
     tried = tried.groupBy("n").agg((F.sum("bits") / F.sum("cells")).alias("bits"), F.sqrt(F.sum("sse") / F.sum("cells")).alias("rmse"), F.avg("ssim").alias("ssim"), F.coalesce(F.abs(F.sum("lagged")) / F.nullif(F.sum("sse"), F.lit(0.0)), F.lit(0.0)).alias("autocorrelation"))
-    value = {"CR": F.col("bits"), "RD": F.col("bits") + F.log2(F.greatest("rmse", F.lit(1e-300))), "SSIM": 1 - F.col("ssim"), "AC": F.col("autocorrelation")}[target.rsplit("_", 1)[1]]
     level = F.element_at(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(x).alias("linear")) for a, b, x in LEVELS]), F.col("n") + 1)
-    return tried.withColumn("value", value).withColumn("level", level).orderBy("value", "n").select("level.*", "bits", "rmse", "ssim", "autocorrelation", "value")
+    return tried.withColumn("level", level)
+
+
+def tune_levels(field: Field, eb: float, target: str = "TUNING_TARGET_RD", every: int = 5, cells: int = 1 << 12) -> DataFrame:
+    """(alpha, beta, linear, bits, rmse, ssim, autocorrelation, value), best first: levels of the interpolation codec, tried on a sample.
+
+    Every every-th chunk is coded with each choice.  value is the smaller the better: bits a cell for CR, bits and the
+    logarithm of the error for RD, one less the similarity for SSIM, the errors' lag-one correlation for AC.
+    """
+    value = tuning_value(target)
+    return tried_levels(field, eb, every, cells).withColumn("value", value).orderBy("value", "n").select("level.*", "bits", "rmse", "ssim", "autocorrelation", "value")
+
+
+def best_levels(field: Field, eb: float, targets: Sequence[str] = TUNING_TARGETS, every: int = 5, cells: int = 1 << 12) -> DataFrame:
+    """(target, alpha, beta, linear): for each target the first row of tune_levels(), from one trial for all of them."""
+    asked = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), tuning_value(t).alias("value")) for t in targets]))
+    tried = tried_levels(field, eb, every, cells).select("n", "level", asked.alias("asked"))
+    best = F.min_by("level", F.struct("asked.value", "n")).alias("level")
+    return tried.groupBy(F.col("asked.target").alias("target")).agg(best).select("target", "level.*")
 
 
 def compress_field(field: Field, goal: str, target: float, codecs=DEFAULT, options: dict | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -982,8 +981,7 @@ def eb_sweep_real(spark, d):
 def tuned_levels(spark, d):
     """The best levels of the interpolation codec for each tuning target."""
     f = fixture(spark, d, "walk").keep()
-    rows = [selection.tune_levels(f, f.bound(REL), t, 2, 500).limit(1).select(F.lit(t).alias("target"), "alpha", "beta", "linear") for t in selection.TUNING_TARGETS]
-    return reduce(DataFrame.unionByName, rows)
+    return selection.best_levels(f, f.bound(REL), every=2, cells=500)
 
 
 @query()

@@ -276,6 +276,18 @@ def test_block_settings(spark):
     assert len(tried) == len(selection.LEVELS) and best[1]["bits"] == min(r["bits"] for r in tried) and best[2]["ssim"] == max(r["ssim"] for r in tried)
 
 
+def test_levels_are_tried_once_for_all_targets(spark):
+    assert catalog.QUERIES["tuned_levels"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    f = field_of(spark, np.random.default_rng(9).normal(size=3000).cumsum())
+    got = {r["target"]: tuple(r)[1:] for r in selection.best_levels(f, 1e-2, every=2, cells=500).collect()}
+    assert got == {t: tuple(selection.tune_levels(f, 1e-2, t, 2, 500).first())[:3] for t in selection.TUNING_TARGETS}
+    for shape in ((500,), (9, 31), (5, 6, 7), (1,)):
+        a = np.random.default_rng(10).normal(size=shape).astype("f4") * 1e3
+        for levels in selection.LEVELS:
+            data, back = multilevel.encode_and_decode(a, 1e-3, *levels)
+            assert np.array_equal(multilevel.decode(data), back)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from fieldloom.__main__ import main
 
