@@ -683,6 +683,22 @@ def test_pii_rows(docs, texts):
     assert got == {(d, hashlib.sha256(",".join(slow_spans(t or "")).encode()).hexdigest()) for d, t in texts}
 
 
+def test_search_multiplies_the_words_of_a_block_only():
+    rng, n = np.random.default_rng(2), 6 * search.BLOCK
+    terms = [f"{'ab'[i % 2]}{j}" for i in range(n) for j in rng.permutation(40)[:20]]  # two languages
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(terms))}
+    term = np.array([numbers[w] for w in terms])
+    order = np.argsort(term, kind="stable")
+    place = np.repeat(np.arange(n, dtype="<u2"), 20)[order]
+    run = search.joined(np.arange(n, dtype="<i8"), np.full(n, 20, "<i4"), search.steps(place), np.ones(len(term), "<i4"), np.bincount(term).astype("<i4"), search.text_bytes(list(numbers)))
+    shard = search.Shard([run], 20.0)
+    assert len(shard.block_most) == 80 and {len(t) for t in shard.tables} == {40}
+    asked = [(np.array([shard.numbers[w] for w in terms[20 * i : 20 * i + 20]]), np.ones(20)) for i in range(0, n, 37)]
+    for (own, _), (ids, scores) in zip(asked, shard.search(asked, 5), strict=True):
+        by_hand = sorted((-round(len(set(own.tolist()) & {shard.numbers[w] for w in terms[20 * i : 20 * i + 20]}), 9), i) for i in range(n))[:5]
+        assert [(-round(x), i) for x, i in zip(scores.tolist(), ids.tolist(), strict=True)] == by_hand
+
+
 # --- URL filter -------------------------------------------------------------------------------------------------------
 
 
