@@ -901,6 +901,39 @@ def test_passages_link_all_of_a_group(spark):
     assert len(want) > 200 and want <= got
 
 
+def test_passages_link_all_of_a_crowd(spark, monkeypatch):
+    """So is every pair of more copies than FULL, also where the crowd meets in parts; unless both hold what a smaller document has, too."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(29)
+    shared, rows = prose(rng, 90).split(), []
+    for i in range(150):
+        part = list(shared)
+        if i % 3:
+            for at in rng.sample(range(90), 4):
+                part[at] = f"e{i}x{at}"
+        rows.append((i, prose(rng, 20) + " " + " ".join(part) + " " + prose(rng, 20)))
+    words = {d: np.array(passages.word_hashes(t), np.uint64) for d, t in rows}
+    n = len(words[0])
+    want = {(a, b) for a in words for b in words if b < a and passages.align(words[a], words[b], np.array([[0, 0, n]]), 50, 0.8)}
+    monkeypatch.setattr(passages, "PART", 40, raising=False)
+    got = rows_of(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    linked = {(g[0], g[3]) for g in got}
+    copies = defaultdict(set)  # documents that hold a passage of another one as it is
+    for g in got:
+        if g[7] == 1:
+            copies[g[0]].add(g[3])
+    assert len(want) > 9000
+
+    def told(a: int, b: int, deep: int = 12) -> bool:
+        """By itself, or between what either is a copy of."""
+        a, b = max(a, b), min(a, b)
+        return a == b or (a, b) in linked or deep > 0 and (any(told(c, b, deep - 1) for c in copies[a]) or any(told(a, c, deep - 1) for c in copies[b]))
+
+    assert {(a, b) for a, b in want if a % 3 and b % 3} <= linked  # every one has edits of its own
+    assert all(told(a, b) for a, b in want)
+
+
 def test_passages_of_repeated_ids(spark):
     from tests.llm.conftest import prose
 
