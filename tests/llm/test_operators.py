@@ -1032,6 +1032,35 @@ def test_passages_align_no_chains_that_end_with_their_texts():
         assert sum(map(len, passages.chains(4, 32, 50)(iter(matched)))) == n
 
 
+def test_passages_in_shares_of_documents(spark, monkeypatch):
+    """Words that many chains want are kept once, travel in shares, and give what all at once give; a stretch may be longer than a piece."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(41)
+    base, long = prose(rng, 500).split(), prose(rng, 5000)
+    rows = [(0, " ".join(base)), (1, long), (2, prose(rng, 2300) + " " + long)]
+    rows += [(10 + i, prose(rng, 40) + " " + " ".join(base[12 * i : 12 * i + 80]) + " " + prose(rng, 40)) for i in range(30)]
+    table, kept, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), [], []
+
+    def cut(df, label, real=passages.cut):
+        out = real(df, label)
+        labels.append(label)
+        if label == "passage-words":
+            kept.append(out.agg(F.sum(F.octet_length("words"))).first()[0])
+        return out
+
+    monkeypatch.setattr(passages, "cut", cut)
+    whole = sorted(rows_of(passages.passages(table)))
+    assert {(10 + i, 0) for i in range(30)} | {(2, 1)} <= {(r[0], r[3]) for r in whole}
+    assert max(r[2] - r[1] for r in whole) > 2 * 2048
+    words = sum(len(passages.word_hashes(t)) for _, t in rows)
+    assert kept[0] <= passages.WORD_BYTES * words
+    monkeypatch.setattr(passages, "WHOLE_BYTES", 1)
+    monkeypatch.setattr(passages, "SHARE", 0.2)
+    assert sorted(rows_of(passages.passages(table))) == whole
+    assert labels.count("passage-found") > 1
+
+
 def test_passages_of_many_fragments_at_once():
     rng = np.random.default_rng(5)
     a, b, fragments = [], [], []
