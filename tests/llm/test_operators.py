@@ -1061,6 +1061,21 @@ def test_passages_in_shares_of_documents(spark, monkeypatch):
     assert labels.count("passage-found") > 1
 
 
+@given(st.lists(st.integers(0, 9), max_size=9), st.lists(st.integers(0, 9), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_passages_columns_of_gaps(a, b):
+    """Gaps with nothing in common, or only in place, take no table; they have a longest common subsequence all the same."""
+    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+    at = to = matches = 0
+    for p, q, same in passages.common_subsequence(a, b):
+        assert not (p and q) or same == (a[at] == b[to])
+        at, to, matches = at + p, to + q, matches + same
+    assert (at, to, matches) == (len(a), len(b), longest[-1][-1])
+
+
 def test_passages_of_many_fragments_at_once():
     rng = np.random.default_rng(5)
     a, b, fragments = [], [], []
