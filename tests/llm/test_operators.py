@@ -699,6 +699,29 @@ def test_search_multiplies_the_words_of_a_block_only():
         assert [(-round(x), i) for x, i in zip(scores.tolist(), ids.tolist(), strict=True)] == by_hand
 
 
+def test_search_scores_the_best_of_many_queries_together(monkeypatch):
+    """One call for a block of queries, also where it is done in several parts; a posting takes 8 bytes."""
+    rng, n = np.random.default_rng(5), 300
+    terms = [f"w{j}" for _ in range(n) for j in rng.permutation(90)[:20]]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(terms))}
+    term = np.array([numbers[w] for w in terms])
+    order = np.argsort(term, kind="stable")
+    place = np.repeat(np.arange(n, dtype="<u2"), 20)[order]
+    run = search.joined(np.arange(n, dtype="<i8"), np.full(n, 20, "<i4"), search.steps(place), np.ones(len(term), "<i4"), np.bincount(term).astype("<i4"), search.text_bytes(list(numbers)))
+    monkeypatch.setattr(search, "DENSE", 4)  # some words are rare, some common
+    shard, calls = search.Shard([run], 20.0), []
+    assert shard.postings.itemsize == 8
+    monkeypatch.setattr(shard, "scores", lambda *x, real=shard.scores: calls.append(1) or real(*x))
+    own = [np.array([shard.numbers[w] for w in terms[20 * i : 20 * i + 20]]) for i in range(n)]
+    asked = [(own[i], rng.random(20) + 0.5) for i in range(0, n, 7)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    got = shard.search(asked, 5)
+    assert len(calls) == 1 and len(asked) > search.SCORED and len(got[-1][0]) == 0
+    for (words_, weights), (ids, scores) in zip(asked, got, strict=True):
+        weight = dict(zip(words_.tolist(), weights.tolist(), strict=True))
+        by_hand = sorted((-sum(weight.get(t, 0) for t in own[i].tolist()), i) for i in range(n) if weight)[:5]
+        assert ids.tolist() == [i for _, i in by_hand] and np.allclose(scores, [-x for x, _ in by_hand])
+
+
 # --- URL filter -------------------------------------------------------------------------------------------------------
 
 
